@@ -76,40 +76,54 @@ def with_hashed_counts(
     if n_features < 1:
         raise ValueError("n_features must be positive")
     kept = list(keep) if keep is not None else df.columns
-    hashed = df.select(
-        *kept,
-        F.sort_array(
-            F.transform(
-                F.coalesce(F.col(tokens) if isinstance(tokens, str) else tokens, F.array().cast("array<string>")),
-                lambda t: bucket_of(t, n_features, hash_fn),
-            )
-        ).alias("_sorted"),
+    words = F.coalesce(
+        F.col(tokens) if isinstance(tokens, str) else tokens, F.array().cast("array<string>")
+    )
+    ordered = F.sort_array(F.transform(words, lambda t: bucket_of(t, n_features, hash_fn)))
+    return df.select(*kept, _bind(ordered, _run_lengths).alias("_hashed")).select(
+        *kept, "_hashed.buckets", "_hashed.counts", "_hashed.n_terms"
     )
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    A plain intermediate column may be substituted into the lambdas that use it
+    when the optimizer moves a filter below it, and would then be evaluated
+    again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _run_lengths(ordered: Column) -> Column:
+    """Distinct values of a sorted array and how often each occurs."""
+    n = F.size(ordered)
+    none = F.array().cast("array<int>")
     # sequence(0, -1) would count down, hence the guard for empty documents
-    positions = F.when(
-        F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)
-    ).otherwise(F.array().cast("array<int>"))
-    starts = hashed.select(
-        *kept,
-        "_sorted",
-        F.filter(
-            positions,
-            lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
-        ).alias("_starts"),
+    positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
+    starts = F.filter(
+        positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
     )
-    return starts.select(
-        *kept,
-        F.transform("_starts", lambda s: F.get("_sorted", s)).alias("buckets"),
-        F.transform(
-            "_starts",
-            lambda s, i: F.coalesce(F.get("_starts", i + 1), F.size("_sorted")) - s,
-        ).alias("counts"),
-        F.size("_sorted").alias("n_terms"),
+    return _bind(
+        starts,
+        lambda first: F.struct(
+            F.transform(first, lambda s: F.get(ordered, s)).alias("buckets"),
+            F.transform(
+                first, lambda s, i: F.coalesce(F.get(first, i + 1), n) - s
+            ).alias("counts"),
+            n.alias("n_terms"),
+        ),
     )
 
 
 def explode_counts(df: DataFrame, *keep: str) -> DataFrame:
-    """Long form ``(keep..., bucket, tf)`` of the parallel arrays."""
-    return df.select(*keep, "counts", F.posexplode("buckets").alias("_pos", "bucket")).select(
-        *keep, "bucket", F.get("counts", F.col("_pos")).cast("bigint").alias("tf")
+    """Long form ``(keep..., bucket, tf)`` of the parallel arrays.
+
+    The outer variant keeps the planner from adding a size filter below, which
+    would tokenize every document a second time.
+    """
+    return (
+        df.select(*keep, "counts", F.posexplode_outer("buckets").alias("_pos", "bucket"))
+        .where(F.col("bucket").isNotNull())
+        .select(*keep, "bucket", F.get("counts", F.col("_pos")).cast("bigint").alias("tf"))
     )

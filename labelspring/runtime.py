@@ -52,7 +52,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def planned_bytes(df: DataFrame) -> int:
     """The planner's own size estimate; for a file scan, the size of the files."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
