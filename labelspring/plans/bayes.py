@@ -14,6 +14,7 @@ keeps the model as sparse as the data and the feature count a free parameter.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -108,6 +109,7 @@ class Model:
     cells: DataFrame
     params: Params
     runs: tuple[int, ...] = field(default=(0,))
+    is_frozen: bool = False
 
     @cached_property
     def prior(self) -> DataFrame:
@@ -150,8 +152,14 @@ class Model:
         )
 
     def frozen(self, name: str = "cells") -> Model:
-        """The same model over a cell table written to the shared folder."""
-        return Model(durable(self.cells, name), self.params, self.runs)
+        """The same model over a cell table written to the shared folder, once."""
+        if self.is_frozen:
+            return self
+        return Model(durable(self.cells, name), self.params, self.runs, True)
+
+    def restricted(self, runs: Sequence[int]) -> Model:
+        kept = self.cells.where(F.col("run").isin(list(runs)))
+        return Model(kept, self.params, tuple(runs), self.is_frozen)
 
 
 def fit(rows: DataFrame, params: Params) -> Model:

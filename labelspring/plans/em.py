@@ -4,8 +4,10 @@ Each epoch is one pass over the term counts: score every row, give the
 unlabelled ones their best class, and aggregate the class cells of the combined
 set.  Class sizes, training and test hits come out of the same aggregate, and
 the log-probabilities follow from its result.  Documents stay where they are;
-only (class, feature) sums are shuffled, and those are written to the shared
-folder at the end of the epoch, so plans do not grow with the epochs.
+only (class, feature) sums are shuffled.  At the end of the epoch those become
+the next model: as arrays on the driver while their size is within the inline
+limit, as a table in the shared folder beyond it.  Plans never grow with the
+epochs.
 
 Several runs, which differ in which rows are labelled, share every pass.
 """
@@ -16,13 +18,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.plans import scoring
 from labelspring.plans.bayes import Model, Params, class_cells
-from labelspring.plans.likelihood import log_probs, relative_difference
+from labelspring.plans.likelihood import LN2, log_probs, relative_difference
 from labelspring.runtime import durable
 
 WEIGHTINGS = ("hard", "row", "soft")
@@ -86,10 +90,12 @@ def em_rows(
     return reduce(DataFrame.unionByName, frames)
 
 
-def _assignments(rows: DataFrame, params: Params, em: EMParams, table, runs: Sequence[int]) -> DataFrame:
+def _assignments(
+    rows: DataFrame, params: Params, em: EMParams, labels: Sequence, runs: Sequence[int]
+) -> DataFrame:
     """One row per (document, run) with its class, weight and marker."""
     label = params.label
-    k = len(table.labels)
+    k = len(labels)
     own = F.array(*[F.lit(r) for r in runs])
 
     def one(run: Column, i: Column) -> Column:
@@ -104,7 +110,7 @@ def _assignments(rows: DataFrame, params: Params, em: EMParams, table, runs: Seq
     )
     is_test = F.col("part") == "test"
     known = F.array_contains("known", F.col("run"))
-    guess = scoring.label_at(F.col("best"), table.labels)
+    guess = scoring.label_at(F.col("best"), labels)
     hit = F.coalesce(guess == F.col(label), F.lit(False))
     marker = (
         F.when(is_test & hit, TEST_HIT)
@@ -131,7 +137,7 @@ def _assignments(rows: DataFrame, params: Params, em: EMParams, table, runs: Seq
             F.col("_hard").alias(label),
             F.when(F.col("_settled"), 1.0).otherwise(float(free_weight)).alias("row_weight"),
         )
-    names = F.array(*[F.lit(x) for x in table.labels])
+    names = F.array(*[F.lit(x) for x in labels])
     single = F.array(
         F.struct(F.col("_hard").alias("label"), F.lit(1.0).alias("w"), F.lit(1).alias("counted"))
     )
@@ -155,7 +161,7 @@ def _assignments(rows: DataFrame, params: Params, em: EMParams, table, runs: Seq
     )
 
 
-def _epoch_metrics(markers: list[Row], run: int) -> dict:
+def _epoch_metrics(markers: list[dict], run: int) -> dict:
     own = [m for m in markers if m["run"] == run]
 
     def rows_of(*buckets: int) -> int:
@@ -178,6 +184,64 @@ def _epoch_metrics(markers: list[Row], run: int) -> dict:
     }
 
 
+class _DenseState:
+    """Model kept as arrays on the driver: an epoch is a single Spark job."""
+
+    def __init__(self, model: scoring.DenseModel, cells: pa.Table | None = None):
+        self.model, self.cells = model, cells
+
+    def with_raw(self, rows: DataFrame, id_col: str) -> DataFrame:
+        return scoring.with_raw_inline(rows, self.model)
+
+    def advance(self, stats: DataFrame, epoch: int) -> tuple[_DenseState, list[dict]]:
+        table = stats.toArrow()
+        markers = table.filter(pc.field("bucket") < 0).to_pylist()
+        cells = table.filter(pc.field("bucket") >= UNLABELLED)
+        m = self.model
+        dense = scoring.DenseModel.from_cells(cells, m.params, m.runs, m.labels)
+        return _DenseState(dense, cells), markers
+
+    def log_probs(self) -> dict[int, tuple[float, float]]:
+        return self.model.log_probs()
+
+    def restricted(self, runs: Sequence[int]) -> _DenseState:
+        return _DenseState(self.model.restricted(runs), self._cells_of(runs))
+
+    def _cells_of(self, runs: Sequence[int]) -> pa.Table:
+        return self.cells.filter(pc.field("run").isin(list(runs)))
+
+    def finished_cells(self, runs: Sequence[int], like: DataFrame) -> DataFrame:
+        local = like.sparkSession.createDataFrame(self._cells_of(runs), like.schema)
+        return durable(local, "model")
+
+
+class _TableState:
+    """Model kept as a table in the shared folder, for sizes beyond the inline limit."""
+
+    def __init__(self, model: Model, labels: Sequence):
+        self.model, self.labels = model, labels
+
+    def with_raw(self, rows: DataFrame, id_col: str) -> DataFrame:
+        return scoring.with_raw_joined(rows, self.model, self.labels, id_col)
+
+    def advance(self, stats: DataFrame, epoch: int) -> tuple[_TableState, list[dict]]:
+        table = durable(stats, f"epoch{epoch}")
+        markers = [r.asDict() for r in table.where(F.col("bucket") < 0).collect()]
+        cells = table.where(F.col("bucket") >= UNLABELLED)
+        model = Model(cells, self.model.params, self.model.runs, True)
+        return _TableState(model, self.labels), markers
+
+    def log_probs(self) -> dict[int, tuple[float, float]]:
+        rows = log_probs(self.model).collect()
+        return {r["run"]: (r["model_log_prob"], r["data_log_prob"]) for r in rows}
+
+    def restricted(self, runs: Sequence[int]) -> _TableState:
+        return _TableState(self.model.restricted(runs), self.labels)
+
+    def finished_cells(self, runs: Sequence[int], like: DataFrame) -> DataFrame:
+        return self.model.restricted(runs).cells
+
+
 def run_em(
     rows: DataFrame,
     params: Params,
@@ -210,54 +274,58 @@ def run_em(
 
 def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tuple[int, ...]) -> EMResult:
     spark = rows.sparkSession
-    seed_rows = rows.where(F.col("part") == "train").select(
-        F.explode("known").alias("run"), params.label, params.buckets, params.counts
-    ).where(F.col("run").isin(list(runs)))
+    seed_rows = (
+        rows.where(F.col("part") == "train")
+        .select(F.explode("known").alias("run"), params.label, params.buckets, params.counts)
+        .where(F.col("run").isin(list(runs)))
+    )
     supervised = Model(class_cells(seed_rows, params), params, runs).frozen("supervised")
-
-    model, active = supervised, runs
+    labels = scoring.labels_of(supervised.cells)
+    if scoring.pick_way(em.way, params, len(runs), len(labels)) == "inline":
+        cells = supervised.cells.toArrow()
+        dense = scoring.DenseModel.from_cells(cells, params, runs, labels)
+        state: _DenseState | _TableState = _DenseState(dense, cells)
+    else:
+        state = _TableState(supervised, labels)
+
+    active = runs
     last: dict[int, float] = {}
     trace: list[dict] = []
     finished: list[DataFrame] = []
     epochs: dict[int, int] = {}
     for epoch in range(1, em.max_epoch + 1):
-        table = scoring.class_table(model)
-        scored = scoring.with_raw(rows, model, table, id_col, em.way)
-        assigned = _assignments(scored, params, em, table, active)
-        stats = durable(class_cells(assigned, params), f"epoch{epoch}")
-        model = Model(stats.where(F.col("bucket") >= UNLABELLED), params, active)
-        markers = stats.where(F.col("bucket") < 0).collect()
-        logs = {r["run"]: r for r in log_probs(model, em.unit).collect()}
-        still = []
+        scored = state.with_raw(rows, id_col)
+        stats = class_cells(_assignments(scored, params, em, labels, active), params)
+        state, markers = state.advance(stats, epoch)
+        logs = state.log_probs()
+        done = []
         for run in active:
-            total = logs[run]["log_prob"]
+            bits, nats = logs[run]
+            total = bits + nats / (LN2 if em.unit == "bits" else 1.0)
             change = relative_difference(total, last.get(run))
             trace.append(
                 {
                     "run": run,
                     "epoch": epoch,
                     **_epoch_metrics(markers, run),
-                    "model_log_prob": logs[run]["model_log_prob"],
-                    "data_log_prob": logs[run]["data_log_prob"],
+                    "model_log_prob": bits,
+                    "data_log_prob": nats,
                     "log_prob": total,
                     "improvement": change,
                 }
             )
-            epochs[run] = epoch
-            last[run] = total
-            if change is None or not change < em.min_improvement:
-                still.append(run)
-        done = [r for r in active if r not in still] if epoch < em.max_epoch else list(active)
-        if done:
-            finished.append(model.cells.where(F.col("run").isin(done)))
-        active = tuple(r for r in active if r not in done)
-        if not active:
-            break
+            epochs[run], last[run] = epoch, total
+            if epoch == em.max_epoch or (change is not None and change < em.min_improvement):
+                done.append(run)
         if done:
-            model = Model(model.cells.where(F.col("run").isin(list(active))), params, active)
+            finished.append(state.finished_cells(done, supervised.cells))
+            active = tuple(r for r in active if r not in done)
+            if not active:
+                break
+            state = state.restricted(active)
     columns = [c.split(" ")[0] for c in TRACE_SCHEMA.split(", ")]
     frame = spark.createDataFrame([[t[c] for c in columns] for t in trace], TRACE_SCHEMA)
-    final = Model(reduce(DataFrame.unionByName, finished), params, runs)
+    final = Model(reduce(DataFrame.unionByName, finished), params, runs, True)
     return EMResult(final, frame, epochs, supervised)
 
 
@@ -276,10 +344,10 @@ def _in_chunks(rows, params, em, id_col, runs, size, cache) -> EMResult:
         return reduce(DataFrame.unionByName, [pick(p) for p in parts])
 
     return EMResult(
-        Model(joined(lambda p: p.model.cells), params, runs),
+        Model(joined(lambda p: p.model.cells), params, runs, True),
         joined(lambda p: p.trace),
         {k: v for p in parts for k, v in p.epochs.items()},
-        Model(joined(lambda p: p.supervised.cells), params, runs),
+        Model(joined(lambda p: p.supervised.cells), params, runs, True),
     )
 
 
@@ -287,9 +355,10 @@ def em_step(
     rows: DataFrame, model: Model, em: EMParams = EMParams(), id_col: str = "doc_id"
 ) -> Model:
     """One E-step and M-step: the refitted model over the combined set."""
-    table = scoring.class_table(model)
-    scored = scoring.with_raw(rows, model, table, id_col, em.way)
-    cells = class_cells(_assignments(scored, model.params, em, table, model.runs), model.params)
+    model = model.frozen()
+    labels = scoring.labels_of(model.cells)
+    scored = scoring.with_raw(rows, model, labels, id_col, em.way)
+    cells = class_cells(_assignments(scored, model.params, em, labels, model.runs), model.params)
     return Model(cells.where(F.col("bucket") >= UNLABELLED), model.params, model.runs)
 
 
@@ -308,24 +377,24 @@ def pseudo_labelled(
 
 def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "auto") -> DataFrame:
     """``(run, n_rows, accuracy)`` of every run of the model on labelled rows."""
-    size = max(1, scoring.INLINE_CELLS // max(1, _class_total(model) * model.params.n_features))
+    model = model.frozen()
+    labels = scoring.labels_of(model.cells)
+    k = len(labels)
+    size = max(1, scoring.INLINE_CELLS // (k * model.params.n_features))
     parts = []
-    for i in range(0, len(model.runs), size):
-        some = model.runs[i : i + size]
-        part = Model(model.cells.where(F.col("run").isin(list(some))), model.params, some)
-        table = scoring.class_table(part)
-        k = len(table.labels)
+    for first in range(0, len(model.runs), size):
+        part = model.restricted(model.runs[first : first + size])
         best = F.transform(
-            F.array(*[F.lit(r) for r in some]),
+            F.array(*[F.lit(r) for r in part.runs]),
             lambda run, i: F.struct(
                 run.alias("run"),
                 scoring.best_of(F.slice("raw", i * k + 1, F.lit(k))).alias("best"),
             ),
         )
-        guesses = scoring.with_raw(rows, part, table, id_col, way).select(
+        guesses = scoring.with_raw(rows, part, labels, id_col, way).select(
             model.params.label, F.explode(best).alias("_a")
         )
-        hit = F.col(model.params.label) == scoring.label_at(F.col("_a.best"), table.labels)
+        hit = F.col(model.params.label) == scoring.label_at(F.col("_a.best"), labels)
         parts.append(
             guesses.groupBy(F.col("_a.run").alias("run")).agg(
                 F.count("*").alias("n_rows"),
@@ -333,7 +402,3 @@ def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str
             )
         )
     return reduce(DataFrame.unionByName, parts)
-
-
-def _class_total(model: Model) -> int:
-    return model.prior.select("label").distinct().count()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,61 +30,112 @@ _BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
-class ClassTable:
-    """The class-level part of one or more models: k rows per run, on the driver."""
+class DenseModel:
+    """One or more models as arrays on the driver; only built when their size is checked.
 
+    First axis runs, second axis classes in label order.  A run that lacks a
+    class has n = 0 there and never predicts it.
+    """
+
+    params: Params
     runs: tuple[int, ...]
     labels: tuple
-    bias: np.ndarray  # (runs, classes), -inf where a run lacks the class
-    unseen: np.ndarray  # log-likelihood of a feature the class never showed
-    rows: list
+    n: np.ndarray
+    n_rows: np.ndarray
+    mass: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def from_cells(cells: pa.Table, params: Params, runs: Sequence[int], labels: Sequence) -> DenseModel:
+        runs, labels = tuple(runs), tuple(labels)
+        shape = len(runs), len(labels)
+        n, n_rows = np.zeros(shape), np.zeros(shape)
+        mass = np.zeros((*shape, params.n_features))
+        df = np.zeros((*shape, params.n_features))
+        run = _positions(cells["run"], runs)
+        label = _positions(cells["label"], labels)
+        bucket = cells["bucket"].to_numpy()
+        weight, m, d = (cells[c].to_numpy() for c in ("weight", "mass", "df"))
+        row = bucket < 0
+        np.add.at(n, (run[row], label[row]), weight[row])
+        np.add.at(n_rows, (run[row], label[row]), d[row])
+        at = run[~row], label[~row], bucket[~row]
+        mass[at], df[at] = m[~row], d[~row]
+        return DenseModel(params, runs, labels, n, n_rows, mass, df)
 
     @property
-    def shape(self) -> tuple[int, int]:
-        return len(self.runs), len(self.labels)
+    def present(self) -> np.ndarray:
+        return self.n > 0
+
+    @cached_property
+    def pi(self) -> np.ndarray:
+        lam = self.params.smoothing
+        total = self.n.sum(axis=1) + self.present.sum(axis=1) * lam
+        with np.errstate(divide="ignore"):
+            pi = np.log(self.n + lam) - np.log(total)[:, None]
+        return np.where(self.present, pi, -np.inf)
+
+    @cached_property
+    def theta(self) -> np.ndarray:
+        lam, v = self.params.smoothing, self.params.n_features
+        if self.params.model_type == "bernoulli":
+            denom = np.log(self.n + 2.0 * lam)
+        else:
+            denom = np.log(self.mass.sum(axis=2) + v * lam)
+        return np.log(self.mass + lam) - denom[:, :, None]
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(bias, weights)`` of the linear score, one row per (run, class)."""
+        bias, theta = self.pi, self.theta
+        if self.params.model_type == "bernoulli":
+            # absent features count as well: fold ln(1 - e^theta) into the bias
+            absent = np.log1p(-np.exp(theta))
+            bias, theta = bias + absent.sum(axis=2), theta - absent
+        return bias.reshape(-1), theta.reshape(-1, self.params.n_features)
+
+    def log_probs(self) -> dict[int, tuple[float, float]]:
+        """Per run: model log-probability in bits, data log-probability in nats."""
+        out = {}
+        for i, run in enumerate(self.runs):
+            has = self.present[i]
+            pi, theta = self.pi[i, has], self.theta[i, has]
+            out[run] = (
+                float(-(pi.sum() + theta.sum()) / np.log(2.0)),
+                float((self.n_rows[i, has] * pi).sum() + (self.df[i, has] * theta).sum()),
+            )
+        return out
+
+    def restricted(self, runs: Sequence[int]) -> DenseModel:
+        keep = [self.runs.index(r) for r in runs]
+        return DenseModel(
+            self.params, tuple(runs), self.labels,
+            self.n[keep], self.n_rows[keep], self.mass[keep], self.df[keep],
+        )
+
+
+def _positions(column: pa.ChunkedArray, values: Sequence) -> np.ndarray:
+    at = {v: i for i, v in enumerate(values)}
+    return np.fromiter((at[v] for v in column.to_pylist()), dtype=np.int64, count=len(column))
 
 
-def class_table(model: Model) -> ClassTable:
+def class_rows(model: Model) -> list:
+    """The prior table on the driver: one row per (run, class)."""
     rows = model.prior.collect()
     if not rows:
         raise ValueError("the model has no class: no labelled row was given")
-    labels = tuple(sorted({r["label"] for r in rows}))
-    runs = tuple(model.runs)
-    bias = np.full((len(runs), len(labels)), -np.inf)
-    unseen = np.zeros_like(bias)
-    at_run = {r: i for i, r in enumerate(runs)}
-    at_label = {v: i for i, v in enumerate(labels)}
-    for r in rows:
-        cell = at_run[r["run"]], at_label[r["label"]]
-        bias[cell] = r["pi"]
-        unseen[cell] = np.log(model.params.smoothing) - r["log_denom"]
-    return ClassTable(runs, labels, bias, unseen, rows)
-
-
-def dense_cells(table: ClassTable, params: Params) -> int:
-    runs, classes = table.shape
-    return runs * classes * params.n_features
-
-
-def dense_weights(model: Model, table: ClassTable) -> tuple[np.ndarray, np.ndarray]:
-    """``(bias, weights)`` with one row per (run, class); size checked by the caller."""
-    runs, classes = table.shape
-    v = model.params.n_features
-    theta = np.repeat(table.unseen.reshape(-1, 1), v, axis=1)
-    seen = model.theta.select("run", "label", "bucket", "log_theta").toArrow()
-    if seen.num_rows:
-        at_run = {r: i for i, r in enumerate(table.runs)}
-        at_label = {x: i for i, x in enumerate(table.labels)}
-        run = np.array([at_run[r] for r in seen["run"].to_pylist()])
-        label = np.array([at_label[x] for x in seen["label"].to_pylist()])
-        theta[run * classes + label, seen["bucket"].to_numpy()] = seen["log_theta"].to_numpy()
-    bias = table.bias.reshape(-1).copy()
-    if model.params.model_type == "bernoulli":
-        # absent features count as well: fold ln(1 - e^theta) into the bias
-        absent = np.log1p(-np.exp(theta))
-        bias = bias + absent.sum(axis=1)
-        theta = theta - absent
-    return bias, theta
+    return rows
+
+
+def labels_of(cells: DataFrame) -> tuple:
+    """Sorted labels of a cell table; touches only the rows that stand for documents."""
+    found = cells.where(F.col("bucket") < 0).select("label").distinct().collect()
+    if not found:
+        raise ValueError("the model has no class: no labelled row was given")
+    return tuple(sorted(r["label"] for r in found))
+
+
+def fits_inline(params: Params, n_runs: int, n_classes: int) -> bool:
+    return n_runs * n_classes * params.n_features <= INLINE_CELLS
 
 
 def _row_scorer(spark, bias: np.ndarray, weights: np.ndarray):
@@ -122,15 +174,15 @@ def _presence(counts: Column, model_type: str) -> Column:
     return counts
 
 
-def with_raw_inline(rows: DataFrame, model: Model, table: ClassTable) -> DataFrame:
-    bias, weights = dense_weights(model, table)
-    score = _row_scorer(rows.sparkSession, bias, weights)
+def with_raw_inline(rows: DataFrame, model: DenseModel) -> DataFrame:
+    """Add ``raw``: one score per (run, class), without a shuffle."""
+    score = _row_scorer(rows.sparkSession, *model.weights())
     p = model.params
     return rows.withColumn("raw", score(F.col(p.buckets), _presence(F.col(p.counts), p.model_type)))
 
 
 def with_raw_joined(
-    rows: DataFrame, model: Model, table: ClassTable, id_col: str, salts: int = SALTS
+    rows: DataFrame, model: Model, labels: Sequence, id_col: str, salts: int = SALTS
 ) -> DataFrame:
     """Score by a shuffle join; one run at a time.
 
@@ -139,12 +191,16 @@ def with_raw_joined(
     one task, so the weights are repeated over ``salts`` and the documents are
     dealt out over them.
     """
-    if len(table.runs) != 1:
+    if len(model.runs) != 1:
         raise ValueError("the joined way scores one run at a time")
     p = model.params
     v = p.n_features
-    classes = range(len(table.labels))
-    unseen = table.unseen[0]
+    classes = range(len(labels))
+    found = {r["label"]: r for r in class_rows(model)}
+    pi = np.array([found[x]["pi"] if x in found else -np.inf for x in labels])
+    unseen = np.array(
+        [np.log(p.smoothing) - found[x]["log_denom"] if x in found else 0.0 for x in labels]
+    )
     theta = model.theta.select("label", "bucket", "log_theta")
     bernoulli = p.model_type == "bernoulli"
 
@@ -160,16 +216,16 @@ def with_raw_joined(
             .agg(F.sum(F.log1p(-F.exp("log_theta"))).alias("s"), F.count("*").alias("c"))
             .collect()
         }
-        rest = [absent.get(x, (0.0, 0)) for x in table.labels]
-        bias = table.bias[0] + [s + (v - c) * base[i] for i, (s, c) in enumerate(rest)]
+        rest = [absent.get(x, (0.0, 0)) for x in labels]
+        bias = pi + [s + (v - c) * base[i] for i, (s, c) in enumerate(rest)]
         floor = unseen - base
     else:
-        bias, floor = table.bias[0], unseen
+        bias, floor = pi, unseen
     packed = theta.groupBy("bucket").agg(
         *[
             F.max(
                 F.when(
-                    F.col("label") == table.labels[c],
+                    F.col("label") == labels[c],
                     weight(F.col("log_theta")) - float(floor[c]),
                 )
             ).alias(f"_w{c}")
@@ -236,26 +292,41 @@ def label_at(position: Column, labels: Sequence) -> Column:
     return F.get(F.array(*[F.lit(x) for x in labels]), position)
 
 
-def with_raw(rows: DataFrame, model: Model, table: ClassTable, id_col: str, way: str = "auto") -> DataFrame:
-    """Add ``raw``: one score per label of ``table``, runs one after the other."""
+def pick_way(way: str, params: Params, n_runs: int, n_classes: int) -> str:
     if way not in ("auto", "inline", "joined"):
         raise ValueError("way must be 'auto', 'inline' or 'joined'")
     if way == "auto":
-        way = "inline" if dense_cells(table, model.params) <= INLINE_CELLS else "joined"
-    if way == "inline":
-        return with_raw_inline(rows, model, table)
-    return with_raw_joined(rows, model, table, id_col)
+        return "inline" if fits_inline(params, n_runs, n_classes) else "joined"
+    return way
 
 
-def transform(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "auto") -> DataFrame:
-    """Add ``raw``, ``posterior`` (arrays over the sorted labels) and ``prediction``."""
-    table = class_table(model)
-    scored = with_raw(rows, model, table, id_col, way)
-    return scored.withColumn("posterior", posterior_of("raw")).withColumn(
-        "prediction", label_at(best_of("raw"), table.labels)
+def with_raw(
+    rows: DataFrame, model: Model, labels: Sequence, id_col: str, way: str = "auto"
+) -> DataFrame:
+    """Add ``raw``: one score per label, runs one after the other.
+
+    ``model`` should be frozen: it is read here, when the plan is built.
+    """
+    if pick_way(way, model.params, len(model.runs), len(labels)) == "joined":
+        return with_raw_joined(rows, model, labels, id_col)
+    return with_raw_inline(
+        rows, DenseModel.from_cells(model.cells.toArrow(), model.params, model.runs, labels)
     )
 
 
+def transform(
+    rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "auto", keep_scores: bool = True
+) -> DataFrame:
+    """Add ``raw``, ``posterior`` (arrays over the sorted labels) and ``prediction``."""
+    model = model.frozen()
+    labels = labels_of(model.cells)
+    scored = with_raw(rows, model, labels, id_col, way)
+    best = label_at(best_of("raw"), labels)
+    if not keep_scores:
+        return scored.withColumn("prediction", best).drop("raw")
+    return scored.withColumn("posterior", posterior_of("raw")).withColumn("prediction", best)
+
+
 def class_scores(scored: DataFrame, labels: Sequence, *keep: str) -> DataFrame:
     """Long form ``(keep..., label, raw, posterior)`` of scored rows."""
     names = F.array(*[F.lit(x) for x in labels])
