@@ -165,3 +165,18 @@ class Model:
 def fit(rows: DataFrame, params: Params) -> Model:
     """Fit on labelled rows; lazy until the model is used or frozen."""
     return Model(class_cells(rows.where(F.col(params.label).isNotNull()), params), params)
+
+
+def full_theta(model: Model) -> DataFrame:
+    """The whole class x feature matrix in long form, unseen cells included."""
+    p = model.params
+    unseen = F.lit(p.smoothing)
+    cells = model.prior.select(
+        "run", "label", "log_denom",
+        F.explode(F.sequence(F.lit(0), F.lit(p.n_features - 1))).alias("bucket"),
+    )
+    seen = model.theta.select("run", "label", "bucket", "log_theta")
+    return cells.join(seen, ["run", "label", "bucket"], "left").select(
+        "run", "label", "bucket",
+        F.coalesce("log_theta", F.log(unseen) - F.col("log_denom")).alias("log_theta"),
+    )

@@ -90,6 +90,23 @@ def em_rows(
     return reduce(DataFrame.unionByName, frames)
 
 
+def partial_rows(
+    df: DataFrame, params: Params, id_col: str, is_test: Column | None = None
+) -> DataFrame:
+    """The same shape from one frame whose label is null where it is unknown.
+
+    Test rows keep their label for the accuracy and stay out of the training.
+    """
+    test = F.lit(False) if is_test is None else F.coalesce(is_test, F.lit(False))
+    none = F.array().cast("array<int>")
+    known = F.when(~test & F.col(params.label).isNotNull(), F.array(F.lit(0))).otherwise(none)
+    return df.select(
+        id_col, params.label, params.buckets, params.counts,
+        F.when(test, "test").otherwise("train").alias("part"),
+        known.alias("known"),
+    )
+
+
 def _assignments(
     rows: DataFrame, params: Params, em: EMParams, labels: Sequence, runs: Sequence[int]
 ) -> DataFrame:
@@ -105,7 +122,11 @@ def _assignments(
             fields.append(scoring.posterior_of(raw).alias("posterior"))
         return F.struct(*fields)
 
-    per_run = rows.select("*", F.explode(F.transform(own, one)).alias("_a")).select(
+    each = F.transform(own, one)
+    if "used" in rows.columns:
+        # rows may be left out of some runs altogether
+        each = F.filter(each, lambda a: F.array_contains("used", a["run"]))
+    per_run = rows.select("*", F.explode(each).alias("_a")).select(
         *rows.columns, "_a.*"
     )
     is_test = F.col("part") == "test"
@@ -252,6 +273,8 @@ def run_em(
 ) -> EMResult:
     """Run EM for every run over ``rows`` as built by :func:`em_rows`.
 
+    An optional array column ``used`` names the runs a row takes part in.
+
     A run stops when its relative change falls below ``min_improvement``; the
     others go on.  Runs are processed together as far as their models fit the
     inline limit.

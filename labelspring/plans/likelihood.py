@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspring.plans.bayes import Model
@@ -72,6 +72,12 @@ def relative_change(x: Column, y: Column) -> Column:
     return F.try_divide(2.0 * F.abs(x - y), F.abs(x) + F.abs(y))
 
 
+def with_relative_change(trace: DataFrame) -> DataFrame:
+    """Add ``improvement`` over the previous epoch of the same run."""
+    previous = F.lag("log_prob").over(Window.partitionBy("run").orderBy("epoch"))
+    return trace.withColumn("improvement", relative_change(F.col("log_prob"), previous))
+
+
 def relative_difference(x: float, y: float | None) -> float | None:
     if y is None or abs(x) + abs(y) == 0:
         return None

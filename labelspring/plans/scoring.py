@@ -331,7 +331,7 @@ def class_scores(scored: DataFrame, labels: Sequence, *keep: str) -> DataFrame:
     """Long form ``(keep..., label, raw, posterior)`` of scored rows."""
     names = F.array(*[F.lit(x) for x in labels])
     return scored.select(
-        *keep, "posterior", F.posexplode("raw").alias("_pos", "raw")
+        *keep, "posterior", F.posexplode_outer("raw").alias("_pos", "raw")
     ).select(
         *keep,
         F.get(names, F.col("_pos")).alias("label"),

@@ -132,15 +132,46 @@ def compare_on_samples(
     return reduce(DataFrame.unionByName, out).join(table, "run").drop("run")
 
 
-def labelled_share_sweep(
-    labelled: DataFrame, id_col: str, shares: Sequence[float], seed: int, first_run: int = 0
+def share_sweep(
+    rows: DataFrame,
+    params: Params,
+    shares: Sequence[float],
+    free_share: float,
+    seed: int,
+    em: EMParams = EMParams(),
+    id_col: str = "doc_id",
 ) -> DataFrame:
-    """Rows with ``known`` for runs that see only a share of the labels each."""
-    u = unit_hash(F.col(id_col), F.lit(seed))
+    """``(share, n_rows, acc_sup, acc_em)``: EM with part of the labels and of the rest.
+
+    ``rows`` as EM takes them, for one run.  Every share of the labelled rows is
+    a run of its own; labelled rows outside the share are left out of that run.
+    """
+    runs = range(len(shares))
+    u = unit_hash(F.col(id_col), F.lit(seed + 1))
     wanted = F.array(
-        *[F.struct(F.lit(first_run + i).alias("run"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)]
+        *[F.struct(F.lit(i).alias("run"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)]
+    )
+    labelled = F.size("known") > 0
+    own = F.transform(F.filter(wanted, lambda w: F.col("_u") < w["share"]), lambda w: w["run"])
+    everyone = F.array(*[F.lit(i) for i in runs])
+    free_u = unit_hash(F.col(id_col), F.lit(seed + 2))
+    test = F.col("part") == "test"
+    swept = (
+        rows.withColumn("_u", u)
+        .where(test | labelled | (free_u < free_share))
+        .select(
+            id_col, params.label, params.buckets, params.counts, "part",
+            F.when(labelled, own).otherwise(F.col("known")).alias("known"),
+            F.when(labelled, own).otherwise(everyone).alias("used"),
+        )
+    )
+    result = run_em(swept, params, em, id_col, list(runs))
+    held = rows.where(test).drop("part", "known")
+    final = run_accuracy(held, result.model, id_col).withColumnRenamed("accuracy", "acc_em")
+    supervised = result.trace.where(F.col("epoch") == 1).select(
+        "run", F.col("acc_test").alias("acc_sup")
     )
-    return labelled.withColumn("_u", u).select(
-        *labelled.columns,
-        F.transform(F.filter(wanted, lambda w: F.col("_u") < w["share"]), lambda w: w["run"]).alias("known"),
+    table = rows.sparkSession.createDataFrame(
+        [(i, float(s)) for i, s in enumerate(shares)], "run int, share double"
     )
+    return table.join(supervised, "run").join(final, "run").drop("run")
