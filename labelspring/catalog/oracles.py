@@ -319,6 +319,9 @@ SELECT role, max(ind) AS max_ind, count(*) AS n_rows FROM conversations JOIN tur
     q["balanced_window_split"] = _with(topic_index) + f"""SELECT topic AS source, id AS doc_id, ind,
   CASE WHEN ind >= {lo} AND ind < {lo + n} THEN topic END AS label FROM ind"""
     q["stratified_split"] = f"""SELECT doc_id, quality AS label, ({_unit('doc_id', str(S.SEED), 'quality')} >= 0.25)::INTEGER AS side FROM labels"""
+    share = "CASE quality " + " ".join(f"WHEN {c} THEN {f}" for c, f in S.STRATA_FRACTIONS.items()) + " ELSE 0 END"
+    q["sample_strata"] = f"""SELECT doc_id, quality AS label,
+  CASE WHEN {_unit('doc_id', str(S.SEED), 'quality')} < {share} THEN 0 ELSE 1 END AS side FROM labels"""
     sizes = ", ".join(f"({x})" for x in S.SWEEP_SIZES)
     q["size_sweep"] = f"""SELECT n_sup::INTEGER AS n_sup, doc_id FROM documents, (VALUES {sizes}) v(n_sup) WHERE {u} < n_sup / {S.SWEEP_BASE}.0"""
 

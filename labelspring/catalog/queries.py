@@ -12,6 +12,7 @@ from labelspring.catalog import settings as S
 from labelspring.functions import vectors
 from labelspring.functions.text import (
     explode_counts,
+    flat_tokens,
     regex_tokens,
     space_tokens,
     with_hashed_counts,
@@ -88,7 +89,7 @@ def language_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return train, test
 
 
-def words_md5(words: Column | str, separator: str = " ") -> Column:
+def words_md5(words: str, separator: str = " ") -> Column:
     return F.md5(F.array_join(words, separator))
 
 
@@ -98,10 +99,8 @@ def words_md5(words: Column | str, separator: str = " ") -> Column:
 @query
 def path_parts(spark, folder):
     pages = table(spark, folder, "pages", "page_id", "url")
-    return pages.select(
-        "page_id",
-        text.path_part("url", 2).alias("topic"),
-        text.path_part("url", 1).alias("item"),
+    return pages.selectExpr(
+        "page_id", f"{text.path_part('url', 2)} AS topic", f"{text.path_part('url', 1)} AS item"
     )
 
 
@@ -137,17 +136,17 @@ def delimited_fields(spark, folder):
         text.write_lines(events.select(F.concat_ws(separator, *columns)), path)
         lines = text.read_lines(spark, path)
 
-        def field(position: int) -> Column:
+        def field(position: int) -> str:
             return text.delimited_field("value", separator, position)
 
         words = space_tokens(field(fields["text"]))
-        return lines.select(
-            F.lit(layout).alias("layout"),
-            field(0).alias("item"),
-            field(fields["polarity"]).alias("polarity"),
-            F.array_join(words, "|").alias("words"),
-            F.size(words).alias("n_words"),
-            field(9).isNull().cast("int").alias("missing"),
+        return lines.selectExpr(
+            f"'{layout}' AS layout",
+            f"{field(0)} AS item",
+            f"{field(fields['polarity'])} AS polarity",
+            f"array_join({words}, '|') AS words",
+            f"size({words}) AS n_words",
+            f"CAST({field(9)} IS NULL AS INT) AS missing",
         )
 
     c = F.col
@@ -162,7 +161,7 @@ def _points(spark, folder) -> DataFrame:
     rows = labelled_counts(spark, folder)
     line = labeled_points.format_point(
         F.col("label"), S.N_FEATURES, F.col("buckets"), F.col("counts"),
-        vectors.one_hot("label", 2), F.lit(1.0),
+        F.expr(vectors.one_hot("label", 2)), F.lit(1.0),
     )
     return rows.select("doc_id", line.alias("line"))
 
@@ -188,7 +187,7 @@ def labeled_point_parse(spark, folder):
     return parsed.select(
         "doc_id", "variant", "label", "size",
         F.when(F.col("buckets").isNotNull(), F.size("buckets")).alias("n_active"),
-        vectors.vector_sum("values").alias("total"),
+        F.expr(vectors.length_of("values")).alias("total"),
         F.get("weight", F.lit(0)).alias("weight0"),
         F.col("groundTruth").alias("ground_truth"),
         F.col("_corrupt").isNotNull().cast("int").alias("corrupt"),
@@ -257,7 +256,7 @@ def hide_labels(spark, folder):
 def one_hot_long(spark, folder):
     rows = quality(spark, folder)
     k = labels.class_count(rows).first()["n_classes"]
-    encoded = rows.select("doc_id", vectors.one_hot("label", k).alias("weight"))
+    encoded = rows.selectExpr("doc_id", f"{vectors.one_hot('label', k)} AS weight")
     return vectors.vector_entries(encoded, "weight", "doc_id").select(
         "doc_id", F.col("bucket").alias("cls"), F.col("value").alias("weight")
     )
@@ -268,13 +267,13 @@ def one_hot_long(spark, folder):
 
 @query
 def regex_tokens_query(spark, folder):
-    docs = documents(spark, folder, "doc_id", "text").select("doc_id", regex_tokens("text").alias("w"))
+    docs = documents(spark, folder, "doc_id", "text").selectExpr("doc_id", f"{regex_tokens('text')} AS w")
     return docs.select("doc_id", F.size("w").alias("n_tokens"), words_md5("w").alias("words_md5"))
 
 
 @query
 def space_tokens_query(spark, folder):
-    docs = documents(spark, folder, "doc_id", "text").select("doc_id", space_tokens("text").alias("w"))
+    docs = documents(spark, folder, "doc_id", "text").selectExpr("doc_id", f"{space_tokens('text')} AS w")
     return docs.select(
         "doc_id",
         F.size("w").alias("n_tokens"),
@@ -285,7 +284,7 @@ def space_tokens_query(spark, folder):
 
 def _turn_tokens(spark, folder) -> DataFrame:
     turns = table(spark, folder, "conversations", "conv_id", "turn", "text")
-    return turns.select("conv_id", "turn", regex_tokens("text").alias("words"))
+    return turns.selectExpr("conv_id", "turn", f"{regex_tokens('text')} AS words")
 
 
 @query
@@ -299,8 +298,8 @@ def flatten_turns(spark, folder):
 @query
 def flatten_lines(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
-    per_line = F.transform(F.split("text", "\n"), lambda line: regex_tokens(line))
-    flat = docs.select("doc_id", F.flatten(per_line).alias("w"))
+    per_line = f"transform(split(text, '\\n'), line -> {regex_tokens('line')})"
+    flat = docs.selectExpr("doc_id", f"{flat_tokens(per_line)} AS w")
     return flat.select("doc_id", F.size("w").alias("n_words"), words_md5("w").alias("words_md5"))
 
 
@@ -318,7 +317,7 @@ def document_counts(spark, folder):
 @query
 def stopword_removal(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
-    kept = docs.select("doc_id", without_stop_words(regex_tokens("text")).alias("w"))
+    kept = docs.selectExpr("doc_id", f"{without_stop_words(regex_tokens('text'))} AS w")
     return kept.select("doc_id", F.size("w").alias("n_kept"), words_md5("w").alias("words_md5"))
 
 
@@ -343,8 +342,8 @@ def doc_length(spark, folder):
 def length_normalised_tf(spark, folder):
     rows = counted(documents(spark, folder, "doc_id", "text"))
     long = explode_counts(rows, "doc_id", "n_terms")
-    value = F.col("tf") * vectors.length_multiplier(F.col("n_terms"))
-    return long.select("doc_id", "bucket", F.round(value, 6).alias("value"))
+    value = f"tf * {vectors.length_multiplier('n_terms')}"
+    return long.selectExpr("doc_id", "bucket", f"round({value}, 6) AS value")
 
 
 @query
@@ -477,10 +476,10 @@ def random_split(spark, folder):
 
 @query
 def sample_strata(spark, folder):
-    chosen, rest = splits.sample_strata(
-        quality(spark, folder), "doc_id", "label", {0: 0.5, 1: 0.1}, S.SEED
+    sided = splits.with_strata_side(
+        quality(spark, folder), "doc_id", "label", S.STRATA_FRACTIONS, S.SEED
     )
-    return chosen.withColumn("side", F.lit(0)).unionByName(rest.withColumn("side", F.lit(1)))
+    return sided.select("doc_id", "label", "side")
 
 
 # ---------------------------------------------------------------- sets and aggregates
@@ -606,10 +605,10 @@ def nb_predict_bernoulli(spark, folder):
 
 @query
 def prediction_certainty(spark, folder):
-    return _scored(spark, folder).select(
-        "doc_id",
-        F.round(vectors.certainty("posterior"), 6).alias("certainty"),
-        F.round(vectors.certainty("posterior", positional=True), 6).alias("certainty_positional"),
+    ranked = vectors.certainty("posterior")
+    positional = vectors.certainty("posterior", positional=True)
+    return _scored(spark, folder).selectExpr(
+        "doc_id", f"round({ranked}, 6) AS certainty", f"round({positional}, 6) AS certainty_positional"
     )
 
 
@@ -788,7 +787,7 @@ def labelled_share_sweep(spark, folder):
 @query
 def ml_pipeline(spark, folder):
     docs = documents(spark, folder, "doc_id", "text", "lang")
-    words = docs.select("doc_id", F.col("lang").alias("topic"), regex_tokens("text").alias("words"))
+    words = docs.selectExpr("doc_id", "lang AS topic", f"{regex_tokens('text')} AS words")
     train, test = splits.hash_split(words, "doc_id", [9, 1], S.SEED)
     done = pipeline.classify(train, test, S.N_FEATURES, S.SMOOTHING)
     return done.select("doc_id", "label", "prediction")

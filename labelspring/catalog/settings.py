@@ -15,3 +15,4 @@ GRID_TRIALS = 3
 GRID_EPOCHS = 2
 COMPARE_SIZES = (1, 4, 16, 64)
 LABEL_SHARES = (0.7, 0.8, 0.9)
+STRATA_FRACTIONS = {0: 0.5, 1: 0.1}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from labelspring.functions import sql
 from labelspring.functions.stopwords import ENGLISH_STOP_WORDS
 
 # Token pattern and shortest token kept.
@@ -15,105 +15,94 @@ HASH_FUNCTIONS = ("md5", "murmur3", "java")
 
 
 def regex_tokens(
-    text: Column | str,
+    text: str,
     pattern: str = TOKEN_PATTERN,
     min_length: int = MIN_TOKEN_LENGTH,
     lower: bool = True,
-) -> Column:
-    """Split on ``pattern`` and keep tokens of at least ``min_length``."""
-    value = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    parts = F.split(F.lower(value) if lower else value, pattern)
-    return F.filter(parts, lambda t: F.length(t) >= min_length)
+) -> str:
+    """SQL: split on ``pattern`` and keep tokens of at least ``min_length``."""
+    value = f"coalesce({text}, '')"
+    if lower:
+        value = f"lower({value})"
+    return f"filter(split({value}, {sql.literal(pattern)}), t -> length(t) >= {int(min_length)})"
 
 
-def space_tokens(text: Column | str) -> Column:
-    """Split on a single space; empty tokens stay."""
-    return F.split(text, " ")
+def space_tokens(text: str) -> str:
+    """SQL: split on a single space; empty tokens stay."""
+    return f"split({text}, ' ')"
 
 
-def without_stop_words(tokens: Column | str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> Column:
-    """Drop stop words, comparing in lower case."""
-    words = [w.lower() for w in stop_words]
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(words))
+def flat_tokens(nested: str) -> str:
+    """SQL: tokens of a nested array in order, duplicates kept."""
+    return f"flatten({nested})"
 
 
-def bucket_of(term: Column, n_features: int, hash_fn: str = "md5") -> Column:
-    """Feature index of one term.
+def without_stop_words(tokens: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> str:
+    """SQL: drop stop words, comparing in lower case."""
+    words = ", ".join(sql.literal(w.lower()) for w in stop_words)
+    return f"filter({tokens}, t -> lower(t) NOT IN ({words}))"
+
+
+def bucket_of(term: str, n_features: int, hash_fn: str = "md5") -> str:
+    """SQL: feature index of one term.
 
     ``md5`` is portable to any SQL engine, ``murmur3`` is the cheapest, and
     ``java`` is the classic ``s[0]*31^(n-1) + ...`` string hash.
     """
     if hash_fn == "md5":
-        h = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint")
+        h = f"CAST(conv(substring(md5({term}), 1, 8), 16, 10) AS BIGINT)"
     elif hash_fn == "murmur3":
-        h = F.hash(term).cast("bigint")
+        h = f"CAST(hash({term}) AS BIGINT)"
     elif hash_fn == "java":
         wrap = 1 << 32
-        unsigned = F.aggregate(
-            F.split(term, ""),
-            F.lit(0).cast("bigint"),
-            lambda acc, ch: (acc * 31 + F.ascii(ch)) % wrap,
+        unsigned = (
+            f"aggregate(split({term}, ''), 0L, (acc, ch) -> (acc * 31L + ascii(ch)) % {wrap}L)"
         )
-        h = F.when(unsigned >= wrap // 2, unsigned - wrap).otherwise(unsigned)
+        h = sql.bind("u", unsigned, f"CASE WHEN u >= {wrap // 2}L THEN u - {wrap}L ELSE u END")
     else:
         raise ValueError(f"unknown hash function {hash_fn!r}; use one of {HASH_FUNCTIONS}")
-    return F.pmod(h, F.lit(n_features)).cast("int")
+    return f"CAST(pmod({h}, {int(n_features)}L) AS INT)"
+
+
+def hashed_counts(tokens: str, n_features: int, hash_fn: str = "md5") -> str:
+    """SQL: struct of ``buckets`` and ``counts`` (parallel arrays) and ``n_terms``.
+
+    The buckets of all tokens are sorted inside the row; the first position of
+    every run is a distinct bucket and the run length its count.
+    """
+    ordered = (
+        f"sort_array(transform(coalesce({tokens}, CAST(array() AS ARRAY<STRING>)), "
+        f"t -> {bucket_of('t', n_features, hash_fn)}))"
+    )
+    # sequence(0, -1) would count down, hence the guard for empty documents
+    positions = "CASE WHEN size(o) > 0 THEN sequence(0, size(o) - 1) ELSE CAST(array() AS ARRAY<INT>) END"
+    starts = f"filter({positions}, i -> i = 0 OR get(o, i) <> get(o, i - 1))"
+    counted = (
+        "named_struct('buckets', transform(f, s -> get(o, s)), "
+        "'counts', transform(f, (s, i) -> coalesce(get(f, i + 1), size(o)) - s), "
+        "'n_terms', size(o))"
+    )
+    return sql.bind("o", ordered, sql.bind("f", starts, counted))
 
 
 def with_hashed_counts(
     df: DataFrame,
-    tokens: Column | str,
+    tokens: str,
     n_features: int,
     hash_fn: str = "md5",
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Add ``buckets``, ``counts`` (parallel int arrays, buckets ascending) and ``n_terms``.
 
-    The bucket of every token is sorted inside the row and run lengths are the
-    counts.  Nothing is exploded and nothing is shuffled, so the cost is that
-    of the scan, and two primitive arrays keep cached and shuffled rows small.
+    ``tokens`` is a column name or a SQL expression.  Nothing is exploded and
+    nothing is shuffled, so the cost is that of the scan, and two primitive
+    arrays keep cached and shuffled rows small.
     """
     if n_features < 1:
         raise ValueError("n_features must be positive")
-    kept = list(keep) if keep is not None else df.columns
-    words = F.coalesce(
-        F.col(tokens) if isinstance(tokens, str) else tokens, F.array().cast("array<string>")
-    )
-    ordered = F.sort_array(F.transform(words, lambda t: bucket_of(t, n_features, hash_fn)))
-    return df.select(*kept, _bind(ordered, _run_lengths).alias("_hashed")).select(
-        *kept, "_hashed.buckets", "_hashed.counts", "_hashed.n_terms"
-    )
-
-
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
-
-    A plain intermediate column may be substituted into the lambdas that use it
-    when the optimizer moves a filter below it, and would then be evaluated
-    again for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _run_lengths(ordered: Column) -> Column:
-    """Distinct values of a sorted array and how often each occurs."""
-    n = F.size(ordered)
-    none = F.array().cast("array<int>")
-    # sequence(0, -1) would count down, hence the guard for empty documents
-    positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
-    starts = F.filter(
-        positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
-    )
-    return _bind(
-        starts,
-        lambda first: F.struct(
-            F.transform(first, lambda s: F.get(ordered, s)).alias("buckets"),
-            F.transform(
-                first, lambda s, i: F.coalesce(F.get(first, i + 1), n) - s
-            ).alias("counts"),
-            n.alias("n_terms"),
-        ),
-    )
+    kept = [sql.name(c) for c in (keep if keep is not None else df.columns)]
+    hashed = df.selectExpr(*kept, f"{hashed_counts(tokens, n_features, hash_fn)} AS _hashed")
+    return hashed.selectExpr(*kept, "_hashed.buckets", "_hashed.counts", "_hashed.n_terms")
 
 
 def explode_counts(df: DataFrame, *keep: str) -> DataFrame:
@@ -122,8 +111,10 @@ def explode_counts(df: DataFrame, *keep: str) -> DataFrame:
     The outer variant keeps the planner from adding a size filter below, which
     would tokenize every document a second time.
     """
+    kept = [sql.name(c) for c in keep]
     return (
-        df.select(*keep, "counts", F.posexplode_outer("buckets").alias("_pos", "bucket"))
-        .where(F.col("bucket").isNotNull())
-        .select(*keep, "bucket", F.get("counts", F.col("_pos")).cast("bigint").alias("tf"))
+        df.selectExpr(*kept, "counts", "posexplode_outer(buckets) AS (_pos, bucket)")
+        .where("bucket IS NOT NULL")
+        .selectExpr(*kept, "bucket", "CAST(get(counts, _pos) AS BIGINT) AS tf")
     )
+

@@ -14,7 +14,7 @@ HASH_RANGE = 1 << 32
 
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) fixed by the parts, the same on every engine and retry."""
-    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    digest = F.md5(F.concat_ws(":", *parts))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(HASH_RANGE))
 
 
@@ -68,12 +68,19 @@ def stratified_split(
     return [sided.where(F.col("side") == i).drop("side") for i in range(len(weights))]
 
 
-def sample_strata(
+def with_strata_side(
     df: DataFrame, id_col: str, label: str, fractions: dict, seed: int
-) -> list[DataFrame]:
-    """Sampled rows and the rest, with Spark's own sampler and a share per class."""
-    chosen = df.sampleBy(label, fractions, seed)
-    return [chosen, df.join(chosen.select(id_col), id_col, "left_anti")]
+) -> DataFrame:
+    """``side`` 0 for the sampled share of each class, 1 for the rest.
+
+    Classes without a fraction are not sampled.  Both sides come from one
+    narrow expression, so they never overlap, whatever is recomputed.
+    """
+    share = F.lit(0.0)
+    for value, fraction in fractions.items():
+        share = F.when(F.col(label) == value, float(fraction)).otherwise(share)
+    u = unit_hash(F.col(id_col), F.lit(seed), F.col(label))
+    return df.withColumn("side", F.when(u < share, 0).otherwise(1))
 
 
 def window_offset(min_class: int, n_sup: int, seed: int, trial: int) -> int:

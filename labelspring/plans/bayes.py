@@ -18,10 +18,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspring.functions.vectors import checked, length_multiplier, violation
+from labelspring.functions import sql
+from labelspring.functions.vectors import checked, length_multiplier, length_of, violation
 from labelspring.runtime import durable
 
 MODEL_TYPES = ("multinomial", "bernoulli")
@@ -55,42 +56,38 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
     """Per (run, label, bucket): weight, summed normalised value, rows holding the bucket.
 
     ``rows`` may carry ``run``, ``row_weight``, ``counted`` (whether the row counts
-    towards ``df``) and ``row_bucket`` (which negative bucket stands for the row).
+    towards ``df``), ``row_bucket`` (which negative bucket stands for the row) and
+    ``row_length`` (the sum of the counts, where it is known already).
     Partial aggregation bounds the shuffle by classes x features per task, however
     unequal the classes are.
     """
-    have = set(rows.columns)
-    optional = {
-        "run": F.lit(0),
-        "row_weight": F.lit(1.0),
-        "counted": F.lit(1),
-        "row_bucket": F.lit(ROW),
-    }
-    extra = {k: (F.col(k) if k in have else v) for k, v in optional.items()}
-    length = F.aggregate(params.counts, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    long = rows.select(
-        extra["run"].cast("int").alias("run"),
-        F.col(params.label).alias("label"),
-        extra["row_weight"].cast("double").alias("_w"),
-        extra["counted"].cast("int").alias("_counted"),
-        F.col(params.counts).alias("_counts"),
-        length.alias("_length"),
-        F.concat(F.array(extra["row_bucket"].cast("int")), F.col(params.buckets)).alias("_buckets"),
-    ).select(
+    counts, buckets = sql.name(params.counts), sql.name(params.buckets)
+
+    def optional(column: str, otherwise: str) -> str:
+        return column if column in rows.columns else otherwise
+
+    long = rows.selectExpr(
+        f"CAST({optional('run', '0')} AS INT) AS run",
+        f"{sql.name(params.label)} AS label",
+        f"CAST({optional('row_weight', '1')} AS DOUBLE) AS _w",
+        f"CAST({optional('counted', '1')} AS INT) AS _counted",
+        f"{counts} AS _counts",
+        f"{optional('row_length', length_of(counts))} AS _length",
+        f"concat(array(CAST({optional('row_bucket', str(ROW))} AS INT)), {buckets}) AS _buckets",
+    ).selectExpr(
         "run", "label", "_w", "_counted", "_counts", "_length",
         # the arrays are never empty; outer only avoids a size filter below the scan
-        F.posexplode_outer("_buckets").alias("_pos", "bucket"),
+        "posexplode_outer(_buckets) AS (_pos, bucket)",
     )
-    value: Column = F.get("_counts", F.col("_pos") - 1)
+    value = "get(_counts, _pos - 1)"
     if params.validate:
         value = checked(value, params.model_type)
     if params.normalise:
-        value = value * length_multiplier(F.col("_length"))
-    value = F.when(F.col("bucket") < 0, F.lit(0.0)).otherwise(value)
+        value = f"({value}) * {length_multiplier('_length')}"
     return long.groupBy("run", "label", "bucket").agg(
-        F.sum("_w").alias("weight"),
-        F.sum(F.col("_w") * value).alias("mass"),
-        F.sum("_counted").alias("df"),
+        F.expr("sum(_w) AS weight"),
+        F.expr(f"sum(_w * CASE WHEN bucket < 0 THEN 0D ELSE {value} END) AS mass"),
+        F.expr("sum(_counted) AS df"),
     )
 
 
@@ -98,7 +95,7 @@ def feature_violations(rows: DataFrame, value: str, model_type: str) -> DataFram
     """How many long-form values the model type would reject."""
     return rows.agg(
         F.count("*").alias("n_values"),
-        F.count_if(violation(F.col(value), model_type)).alias("n_rejected"),
+        F.expr(f"count_if({violation(sql.name(value), model_type)}) AS n_rejected"),
     )
 
 
@@ -114,40 +111,34 @@ class Model:
     @cached_property
     def prior(self) -> DataFrame:
         p = self.params
-        lam = p.smoothing
-        per_class = (
-            self.cells.groupBy("run", "label")
-            .agg(
-                F.sum(F.when(F.col("bucket") < 0, F.col("weight")).otherwise(0.0)).alias("n"),
-                F.sum("mass").alias("mass"),
-                F.count_if(F.col("bucket") >= 0).alias("seen"),
-                F.sum(F.when(F.col("bucket") < 0, F.col("df")).otherwise(0)).alias("n_rows"),
-            )
-            .where(F.col("n") > 0)
-        )
-        run = Window.partitionBy("run")
         if p.model_type == "bernoulli":
-            denom = F.log(F.col("n") + 2.0 * lam)
+            denom = f"ln(n + 2 * {sql.literal(p.smoothing)})"
         else:
-            denom = F.log(F.col("mass") + p.n_features * lam)
-        return per_class.select(
+            denom = f"ln(mass + {p.n_features} * {sql.literal(p.smoothing)})"
+        lam = sql.literal(p.smoothing)
+        per_class = self.cells.groupBy("run", "label").agg(
+            F.expr("sum(CASE WHEN bucket < 0 THEN weight ELSE 0D END) AS n"),
+            F.expr("sum(mass) AS mass"),
+            F.expr("count_if(bucket >= 0) AS seen"),
+            F.expr("sum(CASE WHEN bucket < 0 THEN df ELSE 0 END) AS n_rows"),
+        )
+        return per_class.where("n > 0").selectExpr(
             "run", "label", "n", "mass", "seen", "n_rows",
-            (
-                F.log(F.col("n") + lam)
-                - F.log(F.sum("n").over(run) + F.count("*").over(run) * lam)
-            ).alias("pi"),
-            denom.alias("log_denom"),
+            f"ln(n + {lam}) - ln(sum(n) OVER (PARTITION BY run)"
+            f" + count(*) OVER (PARTITION BY run) * {lam}) AS pi",
+            f"{denom} AS log_denom",
         )
 
     @cached_property
     def theta(self) -> DataFrame:
         prior = self.prior.select("run", "label", "log_denom")
+        lam = sql.literal(self.params.smoothing)
         return (
-            self.cells.where(F.col("bucket") >= 0)
+            self.cells.where("bucket >= 0")
             .join(prior, ["run", "label"])
-            .select(
+            .selectExpr(
                 "run", "label", "bucket", "mass", "df",
-                (F.log(F.col("mass") + self.params.smoothing) - F.col("log_denom")).alias("log_theta"),
+                f"ln(mass + {lam}) - log_denom AS log_theta",
             )
         )
 
@@ -170,13 +161,11 @@ def fit(rows: DataFrame, params: Params) -> Model:
 def full_theta(model: Model) -> DataFrame:
     """The whole class x feature matrix in long form, unseen cells included."""
     p = model.params
-    unseen = F.lit(p.smoothing)
-    cells = model.prior.select(
-        "run", "label", "log_denom",
-        F.explode(F.sequence(F.lit(0), F.lit(p.n_features - 1))).alias("bucket"),
+    cells = model.prior.selectExpr(
+        "run", "label", "log_denom", f"explode(sequence(0, {p.n_features - 1})) AS bucket"
     )
     seen = model.theta.select("run", "label", "bucket", "log_theta")
-    return cells.join(seen, ["run", "label", "bucket"], "left").select(
-        "run", "label", "bucket",
-        F.coalesce("log_theta", F.log(unseen) - F.col("log_denom")).alias("log_theta"),
+    unseen = f"ln({sql.literal(p.smoothing)}) - log_denom"
+    return cells.join(seen, ["run", "label", "bucket"], "left").selectExpr(
+        "run", "label", "bucket", f"coalesce(log_theta, {unseen}) AS log_theta"
     )

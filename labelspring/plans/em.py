@@ -15,6 +15,7 @@ Several runs, which differ in which rows are labelled, share every pass.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,16 +25,21 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspring.functions import sql
+from labelspring.functions.vectors import length_of
 from labelspring.plans import scoring
 from labelspring.plans.bayes import Model, Params, class_cells
 from labelspring.plans.likelihood import LN2, log_probs, relative_difference
-from labelspring.runtime import durable
+from labelspring.runtime import durable, planned_bytes
 
 WEIGHTINGS = ("hard", "row", "soft")
 
 # Row markers; see ROW in bayes.  Test rows never reach the model.
 LABELLED_HIT, LABELLED_MISS, UNLABELLED, TEST_HIT, TEST_MISS = -1, -2, -3, -4, -5
 
+# Planner's estimate above which EM keeps its rows in a table instead of a cache.
+PERSIST_LIMIT_BYTES = 64 << 30
+
 TRACE_SCHEMA = (
     "run int, epoch int, acc_test double, acc_train double, n_label0 bigint, n_label1 bigint, "
     "ratio double, model_log_prob double, data_log_prob double, log_prob double, improvement double"
@@ -107,78 +113,63 @@ def partial_rows(
     )
 
 
+def _per_run(runs: Sequence[int], n_classes: int, *fields: str) -> str:
+    """SQL: one struct per run, from the scores of that run (named ``own``)."""
+    body = ", ".join(["'run', run", *fields])
+    scores = sql.bind("own", f"slice(raw, i * {n_classes} + 1, {n_classes})", f"named_struct({body})")
+    return f"transform({sql.array(runs)}, (run, i) -> {scores})"
+
+
 def _assignments(
     rows: DataFrame, params: Params, em: EMParams, labels: Sequence, runs: Sequence[int]
 ) -> DataFrame:
     """One row per (document, run) with its class, weight and marker."""
-    label = params.label
-    k = len(labels)
-    own = F.array(*[F.lit(r) for r in runs])
-
-    def one(run: Column, i: Column) -> Column:
-        raw = F.slice("raw", i * k + 1, F.lit(k))
-        fields = [run.alias("run"), scoring.best_of(raw).alias("best")]
-        if em.weighting == "soft":
-            fields.append(scoring.posterior_of(raw).alias("posterior"))
-        return F.struct(*fields)
-
-    each = F.transform(own, one)
+    label, buckets, counts = (sql.name(c) for c in (params.label, params.buckets, params.counts))
+    soft = em.weighting == "soft"
+    fields = [f"'best', {scoring.best_of('own')}"]
+    if soft:
+        fields.append(f"'posterior', {scoring.posterior_of('own')}")
+    each = _per_run(runs, len(labels), *fields)
     if "used" in rows.columns:
         # rows may be left out of some runs altogether
-        each = F.filter(each, lambda a: F.array_contains("used", a["run"]))
-    per_run = rows.select("*", F.explode(each).alias("_a")).select(
-        *rows.columns, "_a.*"
+        each = f"filter({each}, a -> array_contains(used, a.run))"
+    length = "row_length" if "row_length" in rows.columns else length_of(counts)
+    per_run = rows.selectExpr(
+        label, buckets, counts, f"{length} AS row_length",
+        "part = 'test' AS _test", "known", f"explode({each}) AS _a",
+    ).selectExpr(
+        "_a.run AS run",
+        f"{label} AS _truth",
+        f"CASE WHEN _test THEN CAST(array() AS ARRAY<INT>) ELSE {buckets} END AS {buckets}",
+        counts,
+        "row_length",
+        "_test",
+        "_test OR array_contains(known, _a.run) AS _settled",
+        f"{scoring.label_at('_a.best', labels)} AS _guess",
+        *(["_a.posterior AS _posterior"] if soft else []),
     )
-    is_test = F.col("part") == "test"
-    known = F.array_contains("known", F.col("run"))
-    guess = scoring.label_at(F.col("best"), labels)
-    hit = F.coalesce(guess == F.col(label), F.lit(False))
     marker = (
-        F.when(is_test & hit, TEST_HIT)
-        .when(is_test, TEST_MISS)
-        .when(~known, UNLABELLED)
-        .when(hit, LABELLED_HIT)
-        .otherwise(LABELLED_MISS)
+        f"CASE WHEN _test THEN IF(_truth <=> _guess, {TEST_HIT}, {TEST_MISS})"
+        f" WHEN NOT _settled THEN {UNLABELLED}"
+        f" WHEN _truth <=> _guess THEN {LABELLED_HIT} ELSE {LABELLED_MISS} END"
     )
-    settled = is_test | known
-    empty = F.array().cast(rows.schema[params.buckets].dataType)
-    free_weight = 1.0 if em.weighting == "hard" else em.unlabeled_weight
-    out = per_run.select(
-        "run",
-        params.counts,
-        F.when(is_test, empty).otherwise(F.col(params.buckets)).alias(params.buckets),
-        marker.alias("row_bucket"),
-        settled.alias("_settled"),
-        F.when(settled, F.col(label)).otherwise(guess).alias("_hard"),
-        *(["posterior"] if em.weighting == "soft" else []),
-    )
-    if em.weighting != "soft":
-        return out.select(
-            "run", params.buckets, params.counts, "row_bucket",
-            F.col("_hard").alias(label),
-            F.when(F.col("_settled"), 1.0).otherwise(float(free_weight)).alias("row_weight"),
+    hard = "CASE WHEN _settled THEN _truth ELSE _guess END"
+    free = sql.literal(1.0 if em.weighting == "hard" else float(em.unlabeled_weight))
+    shared = ["run", buckets, counts, "row_length", f"{marker} AS row_bucket"]
+    if not soft:
+        return per_run.selectExpr(
+            *shared, f"{hard} AS {label}", f"CASE WHEN _settled THEN 1D ELSE {free} END AS row_weight"
         )
-    names = F.array(*[F.lit(x) for x in labels])
-    single = F.array(
-        F.struct(F.col("_hard").alias("label"), F.lit(1.0).alias("w"), F.lit(1).alias("counted"))
-    )
-    spread = F.zip_with(
-        names,
-        "posterior",
-        lambda name, p: F.struct(
-            name.alias("label"),
-            (p * free_weight).alias("w"),
-            (name == F.col("_hard")).cast("int").alias("counted"),
-        ),
+    single = f"array(named_struct('c', {hard}, 'w', 1D, 'counted', 1))"
+    spread = (
+        f"zip_with({sql.array(labels)}, _posterior, (c, p) -> "
+        f"named_struct('c', c, 'w', p * {free}, 'counted', CAST(c = _guess AS INT)))"
     )
-    return out.select(
-        "run", params.buckets, params.counts, "row_bucket",
-        F.explode(F.when(F.col("_settled"), single).otherwise(spread)).alias("_c"),
-    ).select(
-        "run", params.buckets, params.counts, "row_bucket",
-        F.col("_c.label").alias(label),
-        F.col("_c.w").alias("row_weight"),
-        F.col("_c.counted").alias("counted"),
+    return per_run.selectExpr(
+        *shared, f"explode(CASE WHEN _settled THEN {single} ELSE {spread} END) AS _c"
+    ).selectExpr(
+        "run", buckets, counts, "row_length", "row_bucket",
+        f"_c.c AS {label}", "_c.w AS row_weight", "_c.counted AS counted",
     )
 
 
@@ -285,21 +276,39 @@ def run_em(
         size = max(1, scoring.INLINE_CELLS // max(1, k * params.n_features))
         if size < len(runs):
             return _in_chunks(rows, params, em, id_col, runs, size, cache)
-    if cache:
-        # narrow lineage: a lost block is recomputed from its own input split
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    with _kept(rows, params, cache) as kept:
+        return _loop(kept, params, em, id_col, runs)
+
+
+@contextmanager
+def _kept(rows: DataFrame, params: Params, cache: bool):
+    """The rows with their lengths, computed once for all epochs.
+
+    Small inputs stay in the executors' memory or on their disks.  Larger ones
+    go to a table in the shared folder, which outlives any executor.
+    """
+    if not cache:
+        yield rows
+        return
+    rows = rows.withColumn("row_length", F.expr(length_of(sql.name(params.counts))))
+    if planned_bytes(rows) > PERSIST_LIMIT_BYTES:
+        yield durable(rows, "rows")
+        return
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _loop(rows, params, em, id_col, runs)
+        yield rows
     finally:
-        if cache:
-            rows.unpersist()
+        rows.unpersist()
 
 
 def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tuple[int, ...]) -> EMResult:
     spark = rows.sparkSession
     seed_rows = (
         rows.where(F.col("part") == "train")
-        .select(F.explode("known").alias("run"), params.label, params.buckets, params.counts)
+        .select(
+            F.explode("known").alias("run"), params.label, params.buckets, params.counts,
+            *[c for c in rows.columns if c == "row_length"],
+        )
         .where(F.col("run").isin(list(runs)))
     )
     supervised = Model(class_cells(seed_rows, params), params, runs).frozen("supervised")
@@ -353,15 +362,10 @@ def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tupl
 
 
 def _in_chunks(rows, params, em, id_col, runs, size, cache) -> EMResult:
-    if cache:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _kept(rows, params, cache) as kept:
         parts = [
-            _loop(rows, params, em, id_col, runs[i : i + size]) for i in range(0, len(runs), size)
+            _loop(kept, params, em, id_col, runs[i : i + size]) for i in range(0, len(runs), size)
         ]
-    finally:
-        if cache:
-            rows.unpersist()
 
     def joined(pick) -> DataFrame:
         return reduce(DataFrame.unionByName, [pick(p) for p in parts])
@@ -407,21 +411,15 @@ def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str
     parts = []
     for first in range(0, len(model.runs), size):
         part = model.restricted(model.runs[first : first + size])
-        best = F.transform(
-            F.array(*[F.lit(r) for r in part.runs]),
-            lambda run, i: F.struct(
-                run.alias("run"),
-                scoring.best_of(F.slice("raw", i * k + 1, F.lit(k))).alias("best"),
-            ),
-        )
-        guesses = scoring.with_raw(rows, part, labels, id_col, way).select(
-            model.params.label, F.explode(best).alias("_a")
+        best = _per_run(part.runs, k, f"'best', {scoring.best_of('own')}")
+        label = sql.name(model.params.label)
+        guesses = scoring.with_raw(rows, part, labels, id_col, way).selectExpr(
+            label, f"explode({best}) AS _a"
         )
-        hit = F.col(model.params.label) == scoring.label_at(F.col("_a.best"), labels)
+        hits = f"count_if({label} = {scoring.label_at('_a.best', labels)})"
         parts.append(
             guesses.groupBy(F.col("_a.run").alias("run")).agg(
-                F.count("*").alias("n_rows"),
-                (F.count_if(hit) / F.count("*")).alias("accuracy"),
+                F.expr("count(*) AS n_rows"), F.expr(f"{hits} / count(*) AS accuracy")
             )
         )
     return reduce(DataFrame.unionByName, parts)

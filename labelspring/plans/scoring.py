@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspring.functions import sql
+from labelspring.functions.vectors import length_of
 from labelspring.plans.bayes import Model, Params
 
 # Largest dense model, in cells of 8 bytes, that is sent to the executors.
@@ -167,10 +169,10 @@ def _row_scorer(spark, bias: np.ndarray, weights: np.ndarray):
     return score
 
 
-def _presence(counts: Column, model_type: str) -> Column:
+def _presence(counts: str, model_type: str) -> str:
     """What a count contributes to the score: itself, or only its presence."""
     if model_type == "bernoulli":
-        return F.transform(counts, lambda x: (x != 0).cast("int"))
+        return f"transform({counts}, x -> CAST(x <> 0 AS INT))"
     return counts
 
 
@@ -178,7 +180,8 @@ def with_raw_inline(rows: DataFrame, model: DenseModel) -> DataFrame:
     """Add ``raw``: one score per (run, class), without a shuffle."""
     score = _row_scorer(rows.sparkSession, *model.weights())
     p = model.params
-    return rows.withColumn("raw", score(F.col(p.buckets), _presence(F.col(p.counts), p.model_type)))
+    values = F.expr(_presence(sql.name(p.counts), p.model_type))
+    return rows.withColumn("raw", score(F.col(p.buckets), values))
 
 
 def with_raw_joined(
@@ -233,7 +236,7 @@ def with_raw_joined(
         ]
     )
     salted = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    values = _presence(F.col(p.counts), p.model_type)
+    values = F.expr(_presence(sql.name(p.counts), p.model_type))
     terms = (
         rows.select(id_col, values.alias("_values"), F.posexplode_outer(p.buckets).alias("_pos", "bucket"))
         .where(F.col("bucket").isNotNull())
@@ -255,7 +258,7 @@ def with_raw_joined(
         )
     )
     # documents without any seen feature have no sum and keep the base score
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    total = F.expr(length_of(_presence(sql.name(p.counts), p.model_type)))
     raw = F.array(
         *[
             F.lit(float(bias[c]))
@@ -272,24 +275,22 @@ def with_raw_joined(
     )
 
 
-def posterior_of(raw: Column | str) -> Column:
-    """Softmax of the raw scores, shifted by the largest one."""
-    column = F.col(raw) if isinstance(raw, str) else raw
-    shifted = F.transform(column, lambda x: F.exp(x - F.array_max(column)))
-    return F.transform(
-        shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    )
+def posterior_of(raw: str) -> str:
+    """SQL: softmax of the raw scores, shifted by the largest one."""
+    shifted = "transform(r, x -> exp(x - array_max(r)))"
+    total = "aggregate(e, 0D, (acc, x) -> acc + x)"
+    shares = sql.bind("t", total, "transform(e, x -> x / t)")
+    return sql.bind("r", raw, sql.bind("e", shifted, shares))
 
 
-def best_of(raw: Column | str) -> Column:
-    """0-based position of the largest score, the first one on a tie."""
-    column = F.col(raw) if isinstance(raw, str) else raw
-    near = F.transform(column, lambda x: x >= F.array_max(column) - TIE)
-    return (F.array_position(near, F.lit(True)) - 1).cast("int")
+def best_of(raw: str) -> str:
+    """SQL: 0-based position of the largest score, the first one on a tie."""
+    near = f"transform(r, x -> x >= array_max(r) - {TIE:.9f}D)"
+    return sql.bind("r", raw, f"CAST(array_position({near}, true) - 1 AS INT)")
 
 
-def label_at(position: Column, labels: Sequence) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in labels]), position)
+def label_at(position: str, labels: Sequence) -> str:
+    return f"get({sql.array(labels)}, {position})"
 
 
 def pick_way(way: str, params: Params, n_runs: int, n_classes: int) -> str:
@@ -321,20 +322,15 @@ def transform(
     model = model.frozen()
     labels = labels_of(model.cells)
     scored = with_raw(rows, model, labels, id_col, way)
-    best = label_at(best_of("raw"), labels)
+    best = F.expr(label_at(best_of("raw"), labels))
     if not keep_scores:
         return scored.withColumn("prediction", best).drop("raw")
-    return scored.withColumn("posterior", posterior_of("raw")).withColumn("prediction", best)
+    return scored.withColumn("posterior", F.expr(posterior_of("raw"))).withColumn("prediction", best)
 
 
 def class_scores(scored: DataFrame, labels: Sequence, *keep: str) -> DataFrame:
     """Long form ``(keep..., label, raw, posterior)`` of scored rows."""
-    names = F.array(*[F.lit(x) for x in labels])
-    return scored.select(
-        *keep, "posterior", F.posexplode_outer("raw").alias("_pos", "raw")
-    ).select(
-        *keep,
-        F.get(names, F.col("_pos")).alias("label"),
-        "raw",
-        F.get("posterior", F.col("_pos")).alias("posterior"),
+    kept = [sql.name(c) for c in keep]
+    return scored.selectExpr(*kept, "posterior", "posexplode_outer(raw) AS (_pos, raw)").selectExpr(
+        *kept, f"{label_at('_pos', labels)} AS label", "raw", "get(posterior, _pos) AS posterior"
     )

@@ -39,21 +39,11 @@ def known_runs(cells: Sequence[Cell], ind: str = "ind") -> Column:
     Membership is an expression over the row's index, so the grid multiplies
     neither the rows nor the passes.
     """
-    windows = F.array(
-        *[
-            F.struct(
-                F.lit(c.run).alias("run"),
-                F.lit(c.start).cast("bigint").alias("start"),
-                F.lit(c.n_sup).cast("bigint").alias("size"),
-            )
-            for c in cells
-        ]
-    )
-    mine = F.filter(
-        windows,
-        lambda w: (F.col(ind) >= w["start"]) & (F.col(ind) < w["start"] + w["size"]),
+    windows = ", ".join(
+        f"named_struct('run', {c.run}, 'first', {c.start}L, 'last', {c.start + c.n_sup}L)" for c in cells
     )
-    return F.transform(mine, lambda w: w["run"])
+    mine = f"filter(array({windows}), w -> {ind} >= w.first AND {ind} < w.last)"
+    return F.expr(f"transform({mine}, w -> w.run)")
 
 
 def grid_rows(

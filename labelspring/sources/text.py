@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelspring.functions import sql
 from labelspring.functions.text import space_tokens
 
 # 0-based field positions of the two delimited tweet layouts.
@@ -33,32 +34,31 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def path_part(path: Column | str, from_end: int) -> Column:
-    """Path element counted from the end: 1 is the last, null when too short."""
-    parts = F.split(path, "/")
-    return F.try_element_at(parts, F.lit(-from_end))
+def path_part(path: str, from_end: int) -> str:
+    """SQL: path element counted from the end; 1 is the last, null when too short."""
+    return f"try_element_at(split({path}, '/'), -{int(from_end)})"
 
 
 def with_topic_and_id(df: DataFrame, path: str = "filename") -> DataFrame:
     """``.../<topic>/<ID>`` to columns, at any depth."""
-    return df.withColumn("ID", path_part(path, 1)).withColumn("topic", path_part(path, 2))
+    return df.selectExpr("*", f"{path_part(path, 1)} AS ID", f"{path_part(path, 2)} AS topic")
 
 
-def delimited_field(line: Column | str, separator: str, position: int) -> Column:
-    """Field by position, null when the line is too short; no quoting."""
-    literal = "\\Q" + separator + "\\E"
-    return F.get(F.split(line, literal), F.lit(position))
+def delimited_field(line: str, separator: str, position: int) -> str:
+    """SQL: field by position, null when the line is too short; no quoting."""
+    plain = sql.literal("\\Q" + separator + "\\E")
+    return f"get(split({line}, {plain}), {int(position)})"
 
 
 def tweets(
     lines: DataFrame, separator: str, fields: dict[str, int], labelled: bool = True
 ) -> DataFrame:
     """Delimited lines to ``polarity, words`` (``words`` alone when unlabelled)."""
-    words = space_tokens(delimited_field("value", separator, fields["text"])).alias("words")
+    words = space_tokens(delimited_field("value", separator, fields["text"])) + " AS words"
     if not labelled:
-        return lines.select(words)
-    polarity = delimited_field("value", separator, fields["polarity"]).alias("polarity")
-    return lines.select(polarity, words)
+        return lines.selectExpr(words)
+    polarity = delimited_field("value", separator, fields["polarity"]) + " AS polarity"
+    return lines.selectExpr(polarity, words)
 
 
 def read_comma_tweets(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
