@@ -78,8 +78,8 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
         "run", "label", "_w", "_counted", "_counts", "_length",
         # the arrays are never empty; outer only avoids a size filter below the scan
         "posexplode_outer(_buckets) AS (_pos, bucket)",
-    )
-    value = "get(_counts, _pos - 1)"
+    ).selectExpr("run", "label", "_w", "_counted", "_length", "bucket", "get(_counts, _pos - 1) AS _v")
+    value = "_v"
     if params.validate:
         value = checked(value, params.model_type)
     if params.normalise:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -26,18 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions import sql
-from labelspring.functions.vectors import length_of
+from labelspring.functions.vectors import checked, length_of
 from labelspring.plans import scoring
 from labelspring.plans.bayes import Model, Params, class_cells
 from labelspring.plans.likelihood import LN2, log_probs, relative_difference
-from labelspring.runtime import durable, planned_bytes
+from labelspring.runtime import durable, input_bytes, spread
 
 WEIGHTINGS = ("hard", "row", "soft")
 
 # Row markers; see ROW in bayes.  Test rows never reach the model.
 LABELLED_HIT, LABELLED_MISS, UNLABELLED, TEST_HIT, TEST_MISS = -1, -2, -3, -4, -5
 
-# Planner's estimate above which EM keeps its rows in a table instead of a cache.
+# Input size above which EM keeps its rows in a table instead of a cache.
 PERSIST_LIMIT_BYTES = 64 << 30
 
 TRACE_SCHEMA = (
@@ -271,18 +271,23 @@ def run_em(
     inline limit.
     """
     runs = tuple(runs)
-    if len(runs) > 1:
-        k = rows.where(F.size("known") > 0).select(params.label).distinct().count()
-        size = max(1, scoring.INLINE_CELLS // max(1, k * params.n_features))
-        if size < len(runs):
-            return _in_chunks(rows, params, em, id_col, runs, size, cache)
-    with _kept(rows, params, cache) as kept:
-        return _loop(kept, params, em, id_col, runs)
+    with _kept(rows, params, id_col, cache) as kept:
+        if cache:
+            # the kept rows have been checked
+            params = replace(params, validate=False)
+        size = len(runs)
+        if size > 1:
+            k = kept.where("size(known) > 0").select(params.label).distinct().count()
+            size = max(1, scoring.INLINE_CELLS // max(1, k * params.n_features))
+        parts = [
+            _loop(kept, params, em, id_col, runs[i : i + size]) for i in range(0, len(runs), size)
+        ]
+    return parts[0] if len(parts) == 1 else _combined(parts, params, runs)
 
 
 @contextmanager
-def _kept(rows: DataFrame, params: Params, cache: bool):
-    """The rows with their lengths, computed once for all epochs.
+def _kept(rows: DataFrame, params: Params, id_col: str, cache: bool):
+    """The rows, checked and with their lengths, computed once for all epochs.
 
     Small inputs stay in the executors' memory or on their disks.  Larger ones
     go to a table in the shared folder, which outlives any executor.
@@ -290,8 +295,10 @@ def _kept(rows: DataFrame, params: Params, cache: bool):
     if not cache:
         yield rows
         return
-    rows = rows.withColumn("row_length", F.expr(length_of(sql.name(params.counts))))
-    if planned_bytes(rows) > PERSIST_LIMIT_BYTES:
+    value = checked("x", params.model_type) if params.validate else "CAST(x AS DOUBLE)"
+    length = f"aggregate({sql.name(params.counts)}, 0D, (acc, x) -> acc + {value})"
+    rows = spread(rows, id_col).withColumn("row_length", F.expr(length))
+    if input_bytes(rows) > PERSIST_LIMIT_BYTES:
         yield durable(rows, "rows")
         return
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -301,6 +308,18 @@ def _kept(rows: DataFrame, params: Params, cache: bool):
         rows.unpersist()
 
 
+def _combined(parts: list[EMResult], params: Params, runs: tuple[int, ...]) -> EMResult:
+    def joined(pick) -> DataFrame:
+        return reduce(DataFrame.unionByName, [pick(p) for p in parts])
+
+    return EMResult(
+        Model(joined(lambda p: p.model.cells), params, runs, True),
+        joined(lambda p: p.trace),
+        {k: v for p in parts for k, v in p.epochs.items()},
+        Model(joined(lambda p: p.supervised.cells), params, runs, True),
+    )
+
+
 def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tuple[int, ...]) -> EMResult:
     spark = rows.sparkSession
     seed_rows = (
@@ -361,23 +380,6 @@ def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tupl
     return EMResult(final, frame, epochs, supervised)
 
 
-def _in_chunks(rows, params, em, id_col, runs, size, cache) -> EMResult:
-    with _kept(rows, params, cache) as kept:
-        parts = [
-            _loop(kept, params, em, id_col, runs[i : i + size]) for i in range(0, len(runs), size)
-        ]
-
-    def joined(pick) -> DataFrame:
-        return reduce(DataFrame.unionByName, [pick(p) for p in parts])
-
-    return EMResult(
-        Model(joined(lambda p: p.model.cells), params, runs, True),
-        joined(lambda p: p.trace),
-        {k: v for p in parts for k, v in p.epochs.items()},
-        Model(joined(lambda p: p.supervised.cells), params, runs, True),
-    )
-
-
 def em_step(
     rows: DataFrame, model: Model, em: EMParams = EMParams(), id_col: str = "doc_id"
 ) -> Model:

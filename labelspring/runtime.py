@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Input below this size may be redistributed when it arrives in too few files.
+# Inputs up to this size may be redistributed to use all cores.
 SPREAD_LIMIT_BYTES = 1 << 30
 
 _local_roots: dict[str, str] = {}
@@ -49,21 +49,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The planner's own size estimate; for a file scan, the size of the files."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything the plan reads; exact where the inputs are files.
+
+    Estimates further up the plan multiply with every join, so they say little.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    return sum(int(str(s)) for s in sizes)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a small input that arrives in a handful of files.
+    """Deal the rows of a small input out over all cores.
 
-    A single row group is read by a single task, and everything narrow after
-    the scan would stay in that task.  Inputs with enough files, and all large
-    inputs, are returned unchanged: their scan already has the parallelism and
-    moving the text would cost more than it saves.
+    A single row group is read by a single task, and adaptive execution packs
+    small join results into few partitions; everything narrow after that would
+    stay in those tasks.  Large inputs are returned unchanged: they have the
+    parallelism already, and moving them would cost more than it saves.
     """
-    width = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= width or planned_bytes(df) > SPREAD_LIMIT_BYTES:
+    if input_bytes(df) > SPREAD_LIMIT_BYTES:
         return df
-    return df.repartition(width, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
