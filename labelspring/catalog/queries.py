@@ -104,15 +104,11 @@ def path_parts(spark, folder):
     )
 
 
-def _text_copy(spark, folder) -> str:
-    path = scratch_path(spark, "lines")
-    text.write_lines(table(spark, folder, "documents", "source", "text"), path, "source")
-    return path
-
-
 @query
 def file_provenance(spark, folder):
-    lines = text.read_lines_with_file(spark, _text_copy(spark, folder))
+    path = scratch_path(spark, "lines")
+    text.write_lines(table(spark, folder, "documents", "source", "text"), path, "source")
+    lines = text.read_lines_with_file(spark, path)
     located = text.with_topic_and_id(lines).withColumn(
         "topic", F.regexp_replace("topic", "%3D", "=")
     )
@@ -121,7 +117,9 @@ def file_provenance(spark, folder):
 
 @query
 def text_roundtrip(spark, folder):
-    lines = text.read_lines(spark, _text_copy(spark, folder))
+    path = scratch_path(spark, "lines")
+    text.write_lines(table(spark, folder, "documents", "text"), path)
+    lines = text.read_lines(spark, path)
     return lines.groupBy(F.length("value").cast("bigint").alias("line_length")).agg(
         F.count("*").alias("n_lines")
     )
@@ -197,7 +195,8 @@ def labeled_point_parse(spark, folder):
 @query
 def parquet_roundtrip(spark, folder):
     path = scratch_path(spark, "corpus")
-    corpus.write_corpus(table(spark, folder, "documents"), path, files=10)
+    docs = table(spark, folder, "documents")
+    corpus.write_corpus(docs, path, files=corpus.file_count(docs, 10))
     return corpus.read_corpus(spark, path).select(
         "doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5")
     )

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspring.operators.ranking import rank_within
+from labelspring.runtime import durable
 
 
 def fit_label_index(df: DataFrame, column: str) -> DataFrame:
     """``(value, n, label)``: codes 0..k-1, most frequent first, ties by value.
 
     The window runs over one row per class, after the counts are aggregated.
+    The codes are written out, so that joins on them know their exact size and
+    broadcast them only if they are small.
     """
     counts = (
         df.where(F.col(column).isNotNull())
@@ -19,7 +22,8 @@ def fit_label_index(df: DataFrame, column: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("label", (F.row_number().over(order) - 1).cast("int"))
+    codes = counts.withColumn("label", (F.row_number().over(order) - 1).cast("int"))
+    return durable(codes, "codes")
 
 
 def apply_label_index(
@@ -62,7 +66,11 @@ def with_instance_index(
     df: DataFrame, topic: str, id_col: str, topics: DataFrame | None = None
 ) -> DataFrame:
     """Rows with their ``ind``; ``topics`` restricts to the topics it holds."""
-    rows = df if topics is None else df.join(topics.select(topic).distinct(), topic, "left_semi")
+    rows = df
+    if topics is not None:
+        # written out for its exact size: a shuffle on the topic would be skewed
+        allowed = durable(distinct_topics(topics, topic), "topics")
+        rows = df.join(allowed, topic, "left_semi")
     index = topic_instance_index(rows, topic, id_col).select(topic, id_col, "ind")
     return rows.join(index, [topic, id_col])
 

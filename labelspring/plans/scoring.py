@@ -116,8 +116,11 @@ class DenseModel:
 
 
 def _positions(column: pa.ChunkedArray, values: Sequence) -> np.ndarray:
+    """Index of every entry in ``values``; looks up distinct entries only."""
+    coded = column.combine_chunks().dictionary_encode()
     at = {v: i for i, v in enumerate(values)}
-    return np.fromiter((at[v] for v in column.to_pylist()), dtype=np.int64, count=len(column))
+    found = np.array([at[v] for v in coded.dictionary.to_pylist()], dtype=np.int64)
+    return found[coded.indices.to_numpy()]
 
 
 def class_rows(model: Model) -> list:
