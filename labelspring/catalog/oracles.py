@@ -245,6 +245,7 @@ UNION ALL SELECT doc_id, 'cut', NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM point
     q["parquet_roundtrip"] = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
     # projections and filters
+    q["select_alias"] = """SELECT doc_id::VARCHAR AS "ID", source AS topic, n_chars FROM documents"""
     q["constant_column"] = """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS "groundTruth"
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
     q["rename_drop"] = "SELECT doc_id, quality AS label FROM labels"
@@ -313,6 +314,11 @@ SELECT role, max(ind) AS max_ind, count(*) AS n_rows FROM conversations JOIN tur
     q["class_count"] = f"WITH {LANG_CODES} SELECT (max(label) + 1)::BIGINT AS n_classes FROM codes"
     q["min_class_bound"] = _with(topic_index) + "SELECT min(top) + 1 AS min_class FROM (SELECT max(ind) AS top FROM ind GROUP BY topic)"
 
+    q["newsgroup_corpus"] = f"""WITH sides AS (
+  SELECT {SPLIT_SIDE}::INTEGER AS side, source AS topic, doc_id::VARCHAR AS id, len({_tokens_of('text')})::INTEGER AS n_words FROM documents)
+SELECT side, topic, id AS "ID", row_number() OVER (PARTITION BY side, topic ORDER BY id) - 1 AS ind, n_words
+FROM sides WHERE topic IN (SELECT topic FROM sides WHERE side = 0)"""
+
     # splits
     u = _unit("doc_id", str(S.SEED))
     q["hash_split"] = f"SELECT doc_id, (({u} >= 0.7)::INTEGER + ({u} >= 0.9)::INTEGER)::INTEGER AS side FROM documents"

@@ -19,7 +19,7 @@ from labelspring.functions.text import (
     without_stop_words,
 )
 from labelspring.operators import aggregates, evaluate, labels, splits
-from labelspring.plans import bayes, em, likelihood, pipeline, scoring, trials
+from labelspring.plans import bayes, em, likelihood, newsgroups, pipeline, scoring, trials
 from labelspring.runtime import scratch_path, spread
 from labelspring.sources import corpus, labeled_points, text
 
@@ -205,6 +205,14 @@ def parquet_roundtrip(spark, folder):
 # ---------------------------------------------------------------- projections and filters
 
 
+@query
+def select_alias(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "source", "n_chars")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("ID"), F.col("source").alias("topic"), "n_chars"
+    )
+
+
 @query
 def constant_column(spark, folder):
     ids = table(spark, folder, "documents", "doc_id")
@@ -434,6 +442,26 @@ def min_class_bound(spark, folder):
     return labels.smallest_class(_source_index(spark, folder), "source")
 
 
+@query
+def newsgroup_corpus(spark, folder):
+    """The preparation chain: tokens, topic index from train, both sets to Parquet and back."""
+    docs = documents(spark, folder, "doc_id", "source", "text")
+    messages = docs.selectExpr(
+        "doc_id", "CAST(doc_id AS STRING) AS ID", "source AS topic", f"{regex_tokens('text')} AS words"
+    )
+    train, test = splits.hash_split(messages, "doc_id", [9, 1], S.SEED)
+    train, test = newsgroups.index_messages(train.drop("doc_id"), test.drop("doc_id"))
+    paths = [scratch_path(spark, "train"), scratch_path(spark, "test")]
+    newsgroups.write_messages(train, test, *paths, train_files=20, test_files=4)
+    parts = [
+        corpus.read_corpus(spark, path).select(
+            F.lit(i).alias("side"), "topic", "ID", "ind", F.size("words").alias("n_words")
+        )
+        for i, path in enumerate(paths)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- splits
 
 
@@ -692,14 +720,14 @@ def em_loop(spark, folder):
 
 @query
 def em_weighting(spark, folder):
-    rows = em_corpus(spark, folder)
     parts = []
-    for weighting in em.WEIGHTINGS:
-        em_params = em.EMParams(
-            max_epoch=S.EPOCHS, weighting=weighting, unlabeled_weight=S.UNLABELED_WEIGHT
-        )
-        trace = _rounded_trace(em.run_em(rows, PARAMS, em_params).trace)
-        parts.append(trace.select(F.lit(weighting).alias("weighting"), "*"))
+    with em.prepared(em_corpus(spark, folder), PARAMS) as rows:
+        for weighting in em.WEIGHTINGS:
+            em_params = em.EMParams(
+                max_epoch=S.EPOCHS, weighting=weighting, unlabeled_weight=S.UNLABELED_WEIGHT
+            )
+            trace = _rounded_trace(em.run_em(rows, PARAMS, em_params, cache=False).trace)
+            parts.append(trace.select(F.lit(weighting).alias("weighting"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

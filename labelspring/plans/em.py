@@ -271,7 +271,7 @@ def run_em(
     inline limit.
     """
     runs = tuple(runs)
-    with _kept(rows, params, id_col, cache) as kept:
+    with prepared(rows, params, id_col, cache) as kept:
         if cache:
             # the kept rows have been checked
             params = replace(params, validate=False)
@@ -286,9 +286,10 @@ def run_em(
 
 
 @contextmanager
-def _kept(rows: DataFrame, params: Params, id_col: str, cache: bool):
+def prepared(rows: DataFrame, params: Params, id_col: str = "doc_id", cache: bool = True):
     """The rows, checked and with their lengths, computed once for all epochs.
 
+    Several EM runs over the same rows can share this with ``cache=False``.
     Small inputs stay in the executors' memory or on their disks.  Larger ones
     go to a table in the shared folder, which outlives any executor.
     """
