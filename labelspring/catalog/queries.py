@@ -83,10 +83,11 @@ def language_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     coded = labels.apply_label_index(ids, codes, "lang").select("doc_id", "label")
     train_ids = coded.where(~held_back())
     index = labels.topic_instance_index(train_ids, "label", "doc_id").select("doc_id", "label", "ind")
-    counts = counted(documents(spark, folder, "doc_id", "text"))
-    train = counts.join(index, "doc_id")
-    test = counts.where(held_back()).join(coded, "doc_id")
-    return train, test
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    # joined before tokenizing, so that filters on the index reach the text
+    train = spread(docs.join(index, "doc_id"), "doc_id")
+    test = spread(docs.where(held_back()).join(coded, "doc_id"), "doc_id")
+    return counted(train, "label", "ind"), counted(test, "label")
 
 
 def words_md5(words: str, separator: str = " ") -> Column:
@@ -667,8 +668,8 @@ def _supervised(rows: DataFrame) -> bayes.Model:
 
 @query
 def em_step(spark, folder):
-    rows = em_corpus(spark, folder)
-    model = em.em_step(rows.where(F.col("part") == "train"), _supervised(rows)).frozen()
+    with em.prepared(em_corpus(spark, folder), PARAMS) as rows:
+        model = em.em_step(rows.where(F.col("part") == "train"), _supervised(rows)).frozen()
     return model.theta.join(model.prior.select("label", "n"), "label").select(
         "label", "n", "bucket", F.round("mass", 6).alias("mass"), "df"
     )

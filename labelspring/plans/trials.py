@@ -105,9 +105,12 @@ def compare_on_samples(
     """``(variant, n_sup, trial, n_rows, accuracy)``: supervised accuracy of several
     parameter sets on the same balanced samples."""
     runs = tuple(c.run for c in cells)
+    # on the index alone, so that rows outside every window are dropped before any work
+    inside = train.where(F.col("ind") < max(c.start + c.n_sup for c in cells))
+    inside = inside.where(F.col("ind") >= min(c.start for c in cells))
     out = []
     for name, params in variants.items():
-        sample = train.select(
+        sample = inside.select(
             F.explode(known_runs(cells)).alias("run"), params.label, params.buckets, params.counts
         )
         model = Model(class_cells(sample, params), params, runs).frozen(name)
