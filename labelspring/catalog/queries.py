@@ -522,7 +522,7 @@ def union_all(spark, folder):
 @query
 def first_documents(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "lang", "source", "n_chars")
-    return docs.orderBy(F.desc("n_chars"), "doc_id").limit(20)
+    return aggregates.preview(docs, F.desc("n_chars"), F.asc("doc_id"))
 
 
 @query

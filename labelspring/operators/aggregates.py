@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspring.functions.text import explode_counts
+
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows of label 0 and 1 and the share of label 0, in one pass."""
@@ -48,8 +50,6 @@ def document_counts(lines: DataFrame, key: str) -> DataFrame:
     Counts are summed per (document, bucket) before the rows are collected, so
     a collected row holds at most one entry per feature.
     """
-    from labelspring.functions.text import explode_counts
-
     cells = explode_counts(lines, key).groupBy(key, "bucket").agg(F.sum("tf").alias("tf"))
     packed = cells.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("bucket", "tf"))).alias("_cells"),
@@ -63,6 +63,6 @@ def document_counts(lines: DataFrame, key: str) -> DataFrame:
     )
 
 
-def preview(df: DataFrame, *order: str, n: int = 20) -> DataFrame:
+def preview(df: DataFrame, *order: Column | str, n: int = 20) -> DataFrame:
     """The first rows in a stated order."""
     return df.orderBy(*order).limit(n)

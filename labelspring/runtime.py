@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Inputs up to this size may be redistributed to use all cores.
 SPREAD_LIMIT_BYTES = 1 << 30
+# Sizes from here on mean that the planner knows nothing about an input.
+UNKNOWN_BYTES = 1 << 62
 
 _local_roots: dict[str, str] = {}
 
