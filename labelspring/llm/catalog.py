@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspring.llm import decontaminate, digest_index, setsketch
+from labelspring.llm import decontaminate, digest_index, packing, setsketch, toxicity
 from labelspring.llm.common import documents
 
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def op1_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document by a model fitted on the labels."""
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents through a fresh digest index."""
     return digest_index.decisions(documents(spark, sf_dir))
@@ -21,13 +27,18 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).drop("text_hash")
 
 
+def op5_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir), benchmark).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op2_digest_index, op4_setsketch, op10_prefix_join)}
+QUERIES = {f.__name__: f for f in (op1_cumulative_link, op2_digest_index, op4_setsketch, op5_local_search, op10_prefix_join)}
 
 SQL = {
     "op2_digest_index": r"""
