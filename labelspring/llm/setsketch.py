@@ -7,9 +7,12 @@
 2. Equal sets are one class, represented by its smallest doc_id.  Copies of any
    number meet in a pre-aggregated count, never in a pair.
 3. Representatives that share the registers of a band are candidates.  In each
-   bucket only the smallest member is paired with all others at first; members
-   that this leaves in different components are paired in later rounds, so no
-   link between different sets is lost and alike groups cost linear work.
+   bucket only the most central member (whose buckets hold the most members) is
+   paired with all others at first.  Members that this leaves in different
+   components are paired in later rounds, so no link between different sets is
+   lost and alike groups cost linear work.  Those rounds leave out pairs that
+   cannot be linked: shingles that no other open member has cannot be shared, so
+   a member's other shingles bound the intersection.
 4. The joint likelihood of all registers of a pair estimates its similarity;
    pairs far below the threshold go, the rest is verified on the full sets.
 5. Components come from min-label rounds over written tables.
@@ -193,7 +196,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int,
     )
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int = 64) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept, n_copies (documents with the same set) of every document.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -215,54 +218,80 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int
         F.xxhash64(F.lit(b), *(F.element_at("registers", b * ROWS + r + 1) for r in range(ROWS))) for b in range(bands)
     ))
     member = reps.select("doc_id", F.explode(keys).alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("hub")).where("members > 1")
-    buckets = written(member.join(shared, "bucket").select("bucket", "doc_id", "hub"), "buckets")
-    tested = written(
-        buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "pairs"
-    )
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    member = written(member.join(sizes, "bucket"), "members")
+    score = member.groupBy("doc_id").agg(F.sum("members").alias("score"))
+    central = F.max(F.struct(F.col("score"), (-F.col("doc_id")).alias("last")))
+    hub = member.join(score, "doc_id").groupBy("bucket").agg((-central["last"]).alias("hub"))
+    buckets = written(member.join(hub, "bucket").where("doc_id <> hub").select("bucket", "doc_id", "hub"), "buckets")
+    pair = (F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v"))
+    tested = written(buckets.select(*pair).distinct(), "pairs")
     edges = written(_verified(tested, reps, docs, size, percent), "edges")
     labels = connected_components(edges)
-    members = buckets.where("doc_id <> hub").select("bucket", "doc_id")
-    while True:
-        members = _unsettled(members, labels)
-        if members.isEmpty():
-            break
-        pairs, members = _more_pairs(members, hubs)
+    members = _mixed(buckets.select("bucket", "doc_id"), labels)
+    if not members.isEmpty():
+        members = _with_shareable(members.select("bucket", "doc_id"), docs, reps, size)
+        members = _mixed(members, labels)
+    while not members.isEmpty():
+        pairs, members = _more_pairs(members, hubs, percent)
         new = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested, hubs = tested.unionByName(new), 2 * hubs
         more = written(_verified(new, reps, docs, size, percent), "edges")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = connected_components(edges)
+        members = _mixed(members, labels)
     return _of_documents(sketches, classes, labels, key)
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, with their component."""
-    named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold more than one component, with component and bucket size."""
+    columns = [c for c in members.columns if c not in ("component", "first", "members")]
+    named = members.select(columns).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.min("doc_id").alias("first"), F.count("*").alias("members"),
     )
-    return written(named.join(mixed.where("low <> high").drop("low", "high"), "bucket"), "unsettled")
+    return written(named.join(mixed.where("low <> high").drop("low", "high"), "bucket"), "mixed")
+
+
+def _with_shareable(members: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """Adds n_shingles and shareable: how many shingles at least one other open member has too."""
+    open_ids = written(members.select("doc_id").distinct(), "open")
+    sets = shingle_sets(whole_text(docs).join(open_ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
+    once = sets.select("doc_id", F.explode("elements").alias("e")).groupBy("e").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("doc_id")
+    )
+    own = once.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    known = open_ids.join(reps.select("doc_id", "n_shingles"), "doc_id").join(own, "doc_id", "left")
+    known = known.select("doc_id", "n_shingles", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shareable"))
+    return written(members.join(written(known, "shareable"), "doc_id"), "open_members")
 
 
-def _more_pairs(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+def _more_pairs(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of this round between members of different components, and the members left for later rounds.
 
-    The smallest member of a bucket and about ``hubs`` others, chosen by hash, meet all members.
-    A bucket of up to ``hubs`` members is finished at once.
+    The smallest member of a bucket and about ``hubs`` others, chosen by hash, meet all members
+    that their sizes and shareable shingles allow.  A bucket of up to ``hubs`` members is finished at once.
     """
     is_hub = (F.col("doc_id") == F.col("first")) | (
         F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("members") / hubs).cast("long")) == 0
     )
     marked = members.withColumn("is_hub", is_hub)
-    hub = marked.where("is_hub").select("bucket", F.col("doc_id").alias("h"), F.col("component").alias("of_h"))
-    pairs = marked.join(hub, "bucket").where("component <> of_h").select(
-        F.least("doc_id", "h").alias("u"), F.greatest("doc_id", "h").alias("v")
+    # a partner has at least percent / 100 of the shingles, and 100 c >= percent (n + m - c)
+    able = marked.where((100 + percent) * F.col("shareable") >= percent * F.col("n_shingles") * (100 + percent) / 100)
+    hub = able.where("is_hub").select(
+        F.col("bucket").alias("b"), F.col("doc_id").alias("h"), F.col("component").alias("of_h"),
+        F.col("n_shingles").alias("n_h"), F.col("shareable").alias("s_h"),
+    )
+    possible = (
+        (F.col("bucket") == F.col("b")) & (F.col("component") != F.col("of_h"))
+        & (100 * F.least("n_shingles", "n_h") >= percent * F.greatest("n_shingles", "n_h"))
+        & ((100 + percent) * F.least("shareable", "s_h") >= percent * (F.col("n_shingles") + F.col("n_h")))
     )
-    return pairs.distinct(), marked.where("not is_hub").select("bucket", "doc_id")
+    pairs = able.join(hub, possible).select(F.least("doc_id", "h").alias("u"), F.greatest("doc_id", "h").alias("v"))
+    return pairs.distinct(), able.where("not is_hub").drop("is_hub")
 
 
 def _of_documents(sketches: DataFrame, classes: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
