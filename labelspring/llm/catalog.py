@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from labelspring.llm import decontaminate, digest_index, packing, setsketch, toxicity
+from labelspring.llm import (
+    arrow_tokens,
+    decontaminate,
+    digest_index,
+    line_diff,
+    packing,
+    pii_spans,
+    prefix_tokens,
+    setsketch,
+    toxicity,
+)
 from labelspring.llm.common import documents
 
-SPACES = r"[\x20\x09-\x0D]+"
-
-
 def op1_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of every document by a model fitted on the labels."""
     docs = documents(spark, sf_dir)
@@ -32,13 +38,39 @@ def op5_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op6_arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to Arrow files and read back."""
+    return arrow_tokens.round_trip(documents(spark, sf_dir), spark)
+
+
+def op7_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii_spans.personal_data(documents(spark, sf_dir))
+
+
+def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return prefix_tokens.token_counts(documents(spark, sf_dir))
+
+
+def op9_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that earlier documents hold, removed from all documents."""
+    return line_diff.deduplicated(documents(spark, sf_dir)).drop("text")
+
+
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir), benchmark).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_cumulative_link, op2_digest_index, op4_setsketch, op5_local_search, op10_prefix_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_cumulative_link, op2_digest_index, op4_setsketch, op5_local_search, op6_arrow_files,
+        op7_semi_markov, op8_prefix_counts, op9_patience, op10_prefix_join,
+    )
+}
 
 SQL = {
     "op2_digest_index": r"""
