@@ -13,6 +13,7 @@ from labelspring.llm import (
     pii_spans,
     prefix_tokens,
     setsketch,
+    substrings,
     toxicity,
 )
 from labelspring.llm.common import documents
@@ -28,6 +29,11 @@ def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.decisions(documents(spark, sf_dir))
 
 
+def op3_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 400-byte strings cut out of all documents."""
+    return substrings.remove_repeated(documents(spark, sf_dir)).drop("kept")
+
+
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity 0.85."""
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).drop("text_hash")
@@ -67,7 +73,7 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_cumulative_link, op2_digest_index, op4_setsketch, op5_local_search, op6_arrow_files,
+        op1_cumulative_link, op2_digest_index, op3_induced_sorting, op4_setsketch, op5_local_search, op6_arrow_files,
         op7_semi_markov, op8_prefix_counts, op9_patience, op10_prefix_join,
     )
 }
