@@ -1,37 +1,54 @@
-"""Token ids of whole texts by the byte-level tokenizer, with a bounded memory of pieces.
+"""Token ids of whole texts by the byte-level tokenizer, with a bounded memory of words.
 
 The tokenizer splits text before merging, and a space followed by a character
 that is not white space always starts a new piece.  So a text may be cut there,
 each part encoded by the library once, and its ids kept for the next occurrence.
+A part of letters only is one piece, which goes to the library's merging directly;
+a comma or full stop behind letters is a piece of its own.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
 from public_tokenizers import path
 
-KEPT_PARTS = 600_000  # parts remembered by one worker; then the memory starts anew
+KEPT_PARTS = 400_000  # parts in each of two generations remembered by one worker
 KEPT_CHARS = 48  # longer parts are not remembered
 
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 
-class _Parts(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+def _byte_letters() -> dict[int, str]:
+    """How the vocabulary spells bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_SPELLED = _byte_letters()
+
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encode(part)
-        if len(part) <= KEPT_CHARS:
-            if len(self) >= KEPT_PARTS:
+class Memory(dict):
+    """Values made on demand; what was not used for a generation is forgotten."""
+
+    def __init__(self, make, kept: int = KEPT_PARTS):
+        super().__init__()
+        self.make, self.kept, self.old = make, kept, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            if len(self) >= self.kept:
+                self.old = dict(self)
                 self.clear()
-            self[part] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class Encoder:
@@ -43,13 +60,26 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(file)
+        self.library = Tokenizer.from_file(file)
+        self.merges = self.library.model
+        self.parts = Memory(self._part)
+        self.marks = {c: self.whole(c) for c in ".,"}
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()  # 32 bits, little-endian on every platform Spark runs on
 
-        def ids(text: str) -> bytes:
-            return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
-        self.whole = ids
-        self.parts = _Parts(lambda part: ids(" " + part))
+    def _part(self, part: str) -> bytes:
+        """Ids of a part behind its space."""
+        if part.isalpha():
+            spelled = (" " + part).encode().decode("latin-1").translate(_SPELLED)
+            return self._bytes([t.id for t in self.merges.tokenize(spelled)])
+        if part[-1:] in self.marks and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.marks[part[-1]]
+        return self.whole(" " + part)
 
     @classmethod
     def shared(cls, name: str = "byte_bpe_50k.json") -> Encoder:
@@ -59,13 +89,6 @@ class Encoder:
         return cls._shared[name]
 
     def encode(self, text: str) -> bytes:
-        if _LOOSE_SPACE.search(text):
-            parts = _CUT.split(text)
-        else:
-            parts = text.split(" ")
+        parts = _CUT.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
         first = self.whole(parts[0]) if parts[0] else b""
-        if len(parts) == 1:
-            return first
-        if len(parts) == 2 and not parts[1]:  # the text is a single space
-            return self.whole(text)
         return first + b"".join(map(self.parts.__getitem__, parts[1:]))

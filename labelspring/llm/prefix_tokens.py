@@ -27,11 +27,12 @@ import pyarrow as pa
 from public_tokenizers import path
 from pyspark.sql import DataFrame
 
+from labelspring.llm.bpe import Memory
 from labelspring.llm.common import whole_text
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-KEPT_WORDS = 1_000_000  # words remembered by one worker; then the memory starts anew
+KEPT_WORDS = 600_000  # words in each of two generations remembered by one worker
 KEPT_CHARS = 48
 KEPT_PAIRS = 1_000_000
 
@@ -53,7 +54,7 @@ class PieceCounter:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.reachable: dict[str, bool] = {}
         self.words: dict[str, list[int]] = {}
-        self.totals = _Totals(self)
+        self.totals = Memory(self._total, KEPT_WORDS)  # tokens of a word behind its space
 
     @classmethod
     def shared(cls, name: str = MODEL) -> PieceCounter:
@@ -110,6 +111,9 @@ class PieceCounter:
                     break
         return counts
 
+    def _total(self, word: str) -> int:
+        return self.prefix_counts(SPACE + word.replace(" ", SPACE))[-1]
+
     def word_counts(self, word: str) -> list[int]:
         known = self.words.get(word)
         if known is None:
@@ -137,22 +141,6 @@ class PieceCounter:
         return PrefixTable(self, text)
 
 
-class _Totals(dict):
-    """Tokens of a word behind its space."""
-
-    def __init__(self, counter: PieceCounter):
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, word: str) -> int:
-        total = self.counter.prefix_counts(SPACE + word.replace(" ", SPACE))[-1]
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = total
-        return total
-
-
 class PrefixTable:
     """Counts of all prefixes of one text: sums at word borders, and each word's own counts."""
 
