@@ -109,7 +109,7 @@ def tokens_near_anchors(text: str) -> list[list[tuple[int, int]]]:
     low = high = -1
     for i, (a, b) in enumerate(tokens):
         if text[a] in "0123456789@" or (text[a:b] == "dot" and text[a - 1 : b + 1] == " dot "):
-            if i - AROUND > high:
+            if high < 0 or i - AROUND > high:
                 if high >= 0:
                     out.append(tokens[low : high + 1])
                 low = max(0, i - AROUND)
@@ -134,7 +134,7 @@ def segment_features(text: str, begin: int, end: int) -> list[str]:
         f"luhn={13 <= len(digits) <= 19 and luhn(digits)}",
         f"octets={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}",
         f"letters={any(c.isalpha() for c in segment)}", f"before={before[1].lower() if before else ''}",
-        f"open={begin == 0 or not (text[begin - 1].isalnum() or text[begin - 1] in '.-_@')}",
+        f"open={begin == 0 or not (text[begin - 1].isalnum() or text[begin - 1] in '.-_@+')}",
         f"closed={end == len(text) or not (text[end].isalnum() or text[end] in '-_@')}",
     ]
 
