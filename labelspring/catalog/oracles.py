@@ -264,7 +264,7 @@ FROM labels, (SELECT unnest(range(0, (SELECT max(quality) + 1 FROM labels))) AS
 FROM (SELECT doc_id, {_tokens_of('text')} AS w FROM documents)"""
     q["space_tokens"] = """SELECT doc_id, len(w)::INTEGER AS n_tokens, len(list_filter(w, lambda t: t = ''))::INTEGER AS n_empty,
   md5(array_to_string(w, '|')) AS words_md5 FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"""
-    q["flatten_turns"] = f"""SELECT conv_id, (turn // 1000)::BIGINT AS segment, sum(len(w))::INTEGER AS n_words,
+    q["flatten_turns"] = f"""SELECT conv_id, sum(len(w))::INTEGER AS n_words,
   md5(coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY turn) FILTER (len(w) > 0), '')) AS words_md5
 FROM (SELECT conv_id, turn, {_tokens_of('text')} AS w FROM conversations) GROUP BY ALL"""
     q["flatten_lines"] = f"""SELECT doc_id, len(w)::INTEGER AS n_words, md5(array_to_string(w, ' ')) AS words_md5

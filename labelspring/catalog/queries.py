@@ -298,9 +298,7 @@ def _turn_tokens(spark, folder) -> DataFrame:
 @query
 def flatten_turns(spark, folder):
     docs = aggregates.lines_to_documents(_turn_tokens(spark, folder), "conv_id", "turn", "words")
-    return docs.select(
-        "conv_id", "segment", F.size("words").alias("n_words"), words_md5("words").alias("words_md5")
-    )
+    return docs.select("conv_id", F.size("words").alias("n_words"), words_md5("words").alias("words_md5"))
 
 
 @query

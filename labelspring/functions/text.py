@@ -47,7 +47,7 @@ def bucket_of(term: str, n_features: int, hash_fn: str = "md5") -> str:
     """SQL: feature index of one term.
 
     ``md5`` is portable to any SQL engine, ``murmur3`` is the cheapest, and
-    ``java`` is the classic ``s[0]*31^(n-1) + ...`` string hash.
+    ``java`` is the classic ``s[0]*31^(n-1) + ...`` string hash of UTF-16 units.
     """
     if hash_fn == "md5":
         h = f"CAST(conv(substring(md5({term}), 1, 8), 16, 10) AS BIGINT)"
@@ -55,9 +55,9 @@ def bucket_of(term: str, n_features: int, hash_fn: str = "md5") -> str:
         h = f"CAST(hash({term}) AS BIGINT)"
     elif hash_fn == "java":
         wrap = 1 << 32
-        unsigned = (
-            f"aggregate(split({term}, ''), 0L, (acc, ch) -> (acc * 31L + ascii(ch)) % {wrap}L)"
-        )
+        units = f"regexp_extract_all(hex(encode({term}, 'UTF-16BE')), '(.{{4}})', 1)"
+        step = f"(acc * 31L + CAST(conv(unit, 16, 10) AS BIGINT)) % {wrap}L"
+        unsigned = f"aggregate({units}, 0L, (acc, unit) -> {step})"
         h = sql.bind("u", unsigned, f"CASE WHEN u >= {wrap // 2}L THEN u - {wrap}L ELSE u END")
     else:
         raise ValueError(f"unknown hash function {hash_fn!r}; use one of {HASH_FUNCTIONS}")

@@ -19,20 +19,16 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("ratio", F.try_divide(F.col("n_label0").cast("double"), both))
 
 
-def lines_to_documents(
-    lines: DataFrame, key: str, line_no: str, tokens: str, lines_per_segment: int = 1000
-) -> DataFrame:
-    """Group the lines of a document: ``(key, segment, words)`` in line order.
+def lines_to_documents(lines: DataFrame, key: str, line_no: str, tokens: str) -> DataFrame:
+    """Group the lines of a document: ``(key, words)`` in line order, one row per document.
 
-    A document of up to ``lines_per_segment`` lines is one row.  A longer one
-    continues in further segments, so that no row and no task has to hold a
-    document of unbounded length; every token is kept, duplicates included.
+    Every token is kept, duplicates included, so a row is as long as its document.
+    For modelling use ``document_counts``, whose rows are bounded by the features.
     """
-    segment = F.floor(F.col(line_no) / F.lit(lines_per_segment)).cast("bigint")
-    grouped = lines.groupBy(key, segment.alias("segment")).agg(
+    grouped = lines.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(F.col(line_no), F.col(tokens)))).alias("_lines")
     )
-    return grouped.select(key, "segment", F.flatten(F.col(f"_lines.{tokens}")).alias("words"))
+    return grouped.select(key, F.flatten(F.col(f"_lines.{tokens}")).alias("words"))
 
 
 def document_terms(lines: DataFrame, key: str, tokens: str) -> DataFrame:

@@ -46,9 +46,16 @@ def _numbers(text: Column) -> Column:
     return F.transform(items, lambda x: F.trim(x).try_cast("double"))
 
 
+def _index(x: Column) -> Column:
+    """A feature index: a whole number, else null."""
+    return F.when(x == F.floor(x), x.try_cast("int"))
+
+
 def parse_points(df: DataFrame, line: str = "value") -> DataFrame:
     """Parse the text form; a line that does not parse keeps its text in ``_corrupt``.
 
+    Indices must be whole, ascending and within the size, and no number may be NaN.
+
     Dense feature vectors are read as size, indices and values as well.
     """
     value = F.col(line)
@@ -69,7 +76,7 @@ def parse_points(df: DataFrame, line: str = "value") -> DataFrame:
         "_shape",
         F.trim("_label").try_cast("double").alias("label"),
         F.when(sparse, F.trim("_size").try_cast("int")).otherwise(F.size("_dense")).alias("size"),
-        F.when(sparse, F.col("_idx").cast("array<int>"))
+        F.when(sparse, F.transform("_idx", _index))
         .otherwise(F.transform("_dense", lambda x, i: i))
         .alias("buckets"),
         F.when(sparse, F.col("_val")).otherwise(F.col("_dense")).alias("values"),
@@ -89,6 +96,11 @@ def parse_points(df: DataFrame, line: str = "value") -> DataFrame:
         | holds_null("values")
         | holds_null("weight")
         | (F.size("buckets") != F.size("values"))
+        | (F.size("buckets") > F.col("size"))
+        | F.exists("buckets", lambda x: (x < 0) | (x >= F.col("size")))
+        | (F.col("buckets") != F.array_sort(F.array_distinct("buckets")))
+        | F.isnan("label") | F.isnan("groundTruth")
+        | F.exists(F.concat("values", "weight"), F.isnan)
     )
     flagged = typed.withColumn("_bad", bad)
     parsed = ("label", "size", "buckets", "values", "weight", "groundTruth")

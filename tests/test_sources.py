@@ -112,3 +112,16 @@ def test_parquet_sink_file_count(spark, tmp_path):
     corpus.write_corpus(spark.range(100), f"{tmp_path}/out", files=5)
     assert len(list((tmp_path / "out").glob("part-*.parquet"))) == 5
     assert corpus.read_corpus(spark, f"{tmp_path}/out").count() == 100
+
+
+def test_labeled_points_reject_bad_indices(spark):
+    from labelspring.sources.labeled_points import parse_points
+
+    bad = [
+        "(1.0,(10,[3000000000],[1.0]),[1.0],1.0)", "(1.0,(10,[99],[1.0]),[1.0],1.0)",
+        "(1.0,(10,[3,1],[1.0,2.0]),[1.0],1.0)", "(1.0,(10,[1.7],[1.0]),[1.0],1.0)", "(1.0,(10,[1],[NaN]),[1.0],1.0)",
+    ]
+    rows = parse_points(spark.createDataFrame([(x,) for x in bad], "value string")).collect()
+    assert sorted(r._corrupt for r in rows) == sorted(bad)
+    good = parse_points(spark.createDataFrame([("(1.0,(10,[1,3],[1.0,2.0]),[1.0],1.0)",)], "value string")).first()
+    assert good._corrupt is None and good.buckets == [1, 3]

@@ -95,3 +95,7 @@ def test_unknown_hash_and_size_are_rejected(spark):
         bucket_of("t", 10, "crc")
     with pytest.raises(ValueError):
         with_hashed_counts(frame(spark, ["a"]), regex_tokens("text"), 0)
+
+
+def test_java_hash_uses_utf16_units(spark):
+    assert spark.sql(f"SELECT {bucket_of(repr('😀ok'), 1000, 'java')} AS b").first().b == 487
