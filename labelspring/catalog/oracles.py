@@ -309,7 +309,7 @@ UNION ALL SELECT 'documents', topic, id, n, ind FROM ind"""
 SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ind FROM parts
 WHERE is_test AND source IN (SELECT source FROM parts WHERE NOT is_test)"""
     q["topic_profile"] = _with(index_cte("turns", "conversations", "role", "conv_id")) + """
-SELECT role, max(ind) AS max_ind, count(*) AS n_rows FROM conversations JOIN turns ON topic = role AND id = conv_id GROUP BY role"""
+SELECT role, min_by(conv_id, ind) AS first_id, max(ind) AS max_ind, count(*) AS n_rows FROM conversations JOIN turns ON topic = role AND id = conv_id GROUP BY role"""
     q["distinct_topics"] = "SELECT DISTINCT source AS topic FROM documents"
     q["class_count"] = f"WITH {LANG_CODES} SELECT (max(label) + 1)::BIGINT AS n_classes FROM codes"
     q["min_class_bound"] = _with(topic_index) + "SELECT min(top) + 1 AS min_class FROM (SELECT max(ind) AS top FROM ind GROUP BY topic)"
@@ -324,7 +324,8 @@ FROM sides WHERE topic IN (SELECT topic FROM sides WHERE side = 0)"""
     q["hash_split"] = f"SELECT doc_id, (({u} >= 0.7)::INTEGER + ({u} >= 0.9)::INTEGER)::INTEGER AS side FROM documents"
     q["balanced_window_split"] = _with(topic_index) + f"""SELECT topic AS source, id AS doc_id, ind,
   CASE WHEN ind >= {lo} AND ind < {lo + n} THEN topic END AS label FROM ind"""
-    q["stratified_split"] = f"""SELECT doc_id, quality AS label, ({_unit('doc_id', str(S.SEED), 'quality')} >= 0.25)::INTEGER AS side FROM labels"""
+    q["stratified_split"] = f"""SELECT doc_id, lang AS label, ({_unit('doc_id', str(S.SEED), 'lang')} >= 0.25)::INTEGER AS side FROM documents"""
+    q["random_split"] = "SELECT doc_id, 1::BIGINT AS n_sides FROM documents"
     share = "CASE quality " + " ".join(f"WHEN {c} THEN {f}" for c, f in S.STRATA_FRACTIONS.items()) + " ELSE 0 END"
     q["sample_strata"] = f"""SELECT doc_id, quality AS label,
   CASE WHEN {_unit('doc_id', str(S.SEED), 'quality')} < {share} THEN 0 ELSE 1 END AS side FROM labels"""
@@ -348,7 +349,8 @@ UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELE
     q["nb_theta"] = full + f"""SELECT p.label, b.bucket::INTEGER AS bucket, round(ln(coalesce(m.mass, 0) + {LAM}) - p.log_denom, 6) AS log_theta
 FROM p0 p CROSS JOIN range({V}) b(bucket) LEFT JOIN m0 m ON m.label = p.label AND m.bucket = b.bucket"""
     q["nb_theta_bernoulli"] = _with(COUNTS, ALL_LABELLED, model_ctes("0", "full_lab", bernoulli=True)) + f"""
-SELECT p.label, m.bucket, {theta.replace('mass', 'm.mass')} AS log_theta, round(p.pi, 6) AS pi FROM m0 m JOIN p0 p USING (label)"""
+SELECT p.label, b.bucket::INTEGER AS bucket, round(ln(coalesce(m.mass, 0) + {LAM}) - p.log_denom, 6) AS log_theta, round(p.pi, 6) AS pi
+FROM p0 p CROSS JOIN range({V}) b(bucket) LEFT JOIN m0 m ON m.label = p.label AND m.bucket = b.bucket"""
     scored = _with(COUNTS, ALL_LABELLED, ALL_DOCS, model_ctes("0", "full_lab"), score_ctes("0", "every"))
     q["nb_score"] = scored + "SELECT doc_id, label, round(raw, 4) AS raw FROM s0"
     q["nb_posterior"] = scored + "SELECT doc_id, label, round(posterior, 6) AS posterior FROM s0"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def labeled_point_parse(spark, folder):
 def parquet_roundtrip(spark, folder):
     path = scratch_path(spark, "corpus")
     docs = table(spark, folder, "documents")
-    corpus.write_corpus(docs, path, files=corpus.file_count(docs, 10))
+    corpus.write_corpus(docs, path, files=10)
     return corpus.read_corpus(spark, path).select(
         "doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5")
     )
@@ -420,7 +421,7 @@ def train_topics_only(spark, folder):
 @query
 def topic_profile(spark, folder):
     turns = table(spark, folder, "conversations", "role", "conv_id")
-    return labels.topic_profile(labels.with_instance_index(turns, "role", "conv_id"), "role")
+    return labels.topic_profile(labels.with_instance_index(turns, "role", "conv_id"), "role", "conv_id")
 
 
 @query
@@ -479,7 +480,8 @@ def balanced_window_split(spark, folder):
 
 @query
 def stratified_split(spark, folder):
-    sides = splits.stratified_split(quality(spark, folder), "doc_id", "label", [1, 3], S.SEED, [0, 1])
+    ids = table(spark, folder, "documents", "doc_id", F.col("lang").alias("label"))
+    sides = splits.stratified_split(ids, "doc_id", "label", [1, 3], S.SEED)
     return reduce(
         DataFrame.unionByName, [s.withColumn("side", F.lit(i)) for i, s in enumerate(sides)]
     )
@@ -493,11 +495,10 @@ def size_sweep(spark, folder):
 
 @query
 def random_split(spark, folder):
+    """Sides are random; that every row is on exactly one of them is not."""
     ids = table(spark, folder, "documents", "doc_id")
-    sides = splits.random_split(ids, [9, 1], S.SEED)
-    return reduce(
-        DataFrame.unionByName, [s.withColumn("side", F.lit(i)) for i, s in enumerate(sides)]
-    )
+    sides = reduce(DataFrame.unionByName, splits.random_split(ids, [9, 1], S.SEED))
+    return ids.join(sides.groupBy("doc_id").agg(F.count("*").alias("n_sides")), "doc_id", "left")
 
 
 @query
@@ -580,7 +581,7 @@ def _bernoulli(rows: DataFrame) -> tuple[DataFrame, bayes.Params]:
 def nb_theta_bernoulli(spark, folder):
     rows, params = _bernoulli(labelled_counts(spark, folder))
     model = bayes.fit(rows, params).frozen()
-    return model.theta.join(model.prior.select("label", "pi"), "label").select(
+    return bayes.full_theta(model).join(model.prior.select("label", "pi"), "label").select(
         "label", "bucket", F.round("log_theta", 6).alias("log_theta"), F.round("pi", 6).alias("pi")
     )
 
@@ -816,7 +817,24 @@ def ml_pipeline(spark, folder):
     words = docs.selectExpr("doc_id", "lang AS topic", f"{regex_tokens('text')} AS words")
     train, test = splits.hash_split(words, "doc_id", [9, 1], S.SEED)
     done = pipeline.classify(train, test, S.N_FEATURES, S.SMOOTHING)
-    return done.select("doc_id", "label", "prediction")
+    # the long form fed with the same vectors has to predict the same class
+    size = f"CAST(sequence(0, {S.N_FEATURES - 1}) AS ARRAY<INT>)"
+
+    def long_form(rows: DataFrame) -> DataFrame:
+        dense = rows.withColumn("_v", vector_to_array("features"))
+        return dense.selectExpr(
+            "doc_id", "CAST(label AS INT) AS label", *[c for c in ("prediction",) if c in rows.columns],
+            "CAST(aggregate(_v, 0D, (s, y) -> s + y) AS BIGINT) AS n_terms",
+            f"filter({size}, i -> _v[i] <> 0) AS buckets",
+            f"transform(filter({size}, i -> _v[i] <> 0), i -> CAST(_v[i] AS INT)) AS counts",
+        )
+
+    features = pipeline.fit_features(train, S.N_FEATURES)
+    model = bayes.fit(long_form(features.transform(train)), PARAMS)
+    both = scoring.transform(long_form(done).withColumnRenamed("prediction", "ml"), model, keep_scores=False)
+    return both.select(
+        "doc_id", "label", "n_terms", (F.col("ml").cast("int") == F.col("prediction")).cast("int").alias("same")
+    )
 
 
 for _name in ("regex_tokens", "space_tokens"):

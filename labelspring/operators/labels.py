@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.operators.ranking import rank_within
@@ -12,8 +12,8 @@ from labelspring.runtime import durable
 def fit_label_index(df: DataFrame, column: str) -> DataFrame:
     """``(value, n, label)``: codes 0..k-1, most frequent first, ties by value.
 
-    The window runs over one row per class, after the counts are aggregated.
-    The codes are written out, so that joins on them know their exact size and
+    One row per class is ranked over range partitions, so any number of classes
+    will do.  The codes are written out, so that joins on them know their exact size and
     broadcast them only if they are small.
     """
     counts = (
@@ -21,9 +21,8 @@ def fit_label_index(df: DataFrame, column: str) -> DataFrame:
         .groupBy(F.col(column).alias("value"))
         .agg(F.count("*").alias("n"))
     )
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.asc("value"))
-    codes = counts.withColumn("label", (F.row_number().over(order) - 1).cast("int"))
-    return durable(codes, "codes")
+    ranked = rank_within(counts.withColumn("_all", F.lit(0)), "_all", [F.desc("n"), F.asc("value")], "label")
+    return durable(ranked.select("value", "n", F.col("label").cast("int").alias("label")), "codes")
 
 
 def apply_label_index(
@@ -75,10 +74,10 @@ def with_instance_index(
     return rows.join(index, [topic, id_col])
 
 
-def topic_profile(df: DataFrame, topic: str, ind: str = "ind") -> DataFrame:
-    """Largest index and row count per topic."""
+def topic_profile(df: DataFrame, topic: str, id_col: str, ind: str = "ind") -> DataFrame:
+    """First ID (the one of the lowest index), largest index and row count per topic."""
     return df.groupBy(topic).agg(
-        F.max(ind).alias("max_ind"), F.count("*").alias("n_rows")
+        F.min_by(id_col, ind).alias("first_id"), F.max(ind).alias("max_ind"), F.count("*").alias("n_rows")
     )
 
 

@@ -42,6 +42,8 @@ class Params:
     buckets: str = "buckets"
     counts: str = "counts"
     validate: bool = True
+    # largest dense model, in cells of 8 bytes, that may be sent to the executors
+    inline_cells: int = 8_000_000
 
     def __post_init__(self):
         if self.n_features < 1:
@@ -132,6 +134,9 @@ class Model:
     @cached_property
     def theta(self) -> DataFrame:
         prior = self.prior.select("run", "label", "log_denom")
+        if self.is_frozen:
+            # k rows of exact size: a shuffle would meet in k tasks only
+            prior = durable(prior, "prior")
         lam = sql.literal(self.params.smoothing)
         return (
             self.cells.where("bucket >= 0")

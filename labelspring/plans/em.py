@@ -30,15 +30,14 @@ from labelspring.functions.vectors import checked, length_of
 from labelspring.plans import scoring
 from labelspring.plans.bayes import Model, Params, class_cells
 from labelspring.plans.likelihood import LN2, log_probs, relative_difference
-from labelspring.runtime import durable, input_bytes, spread
+from labelspring.runtime import durable, spread
 
 WEIGHTINGS = ("hard", "row", "soft")
 
 # Row markers; see ROW in bayes.  Test rows never reach the model.
 LABELLED_HIT, LABELLED_MISS, UNLABELLED, TEST_HIT, TEST_MISS = -1, -2, -3, -4, -5
 
-# Input size above which EM keeps its rows in a table instead of a cache.
-PERSIST_LIMIT_BYTES = 64 << 30
+KEEPS = ("cache", "table")
 
 TRACE_SCHEMA = (
     "run int, epoch int, acc_test double, acc_train double, n_label0 bigint, n_label1 bigint, "
@@ -49,20 +48,28 @@ TRACE_SCHEMA = (
 @dataclass(frozen=True)
 class EMParams:
     """``weighting``: ``hard`` counts every row once, ``row`` gives unlabelled rows
-    ``unlabeled_weight``, ``soft`` also spreads them over the classes by posterior."""
+    ``unlabeled_weight``, ``soft`` also spreads them over the classes by posterior.
+
+    ``way`` as in :mod:`scoring`.  ``keep`` says where the rows stay between epochs:
+    in the executors' memory and disks (``cache``) or in the shared folder (``table``)."""
 
     max_epoch: int = 20
     min_improvement: float = 0.0
     unlabeled_weight: float = 1.0
     weighting: str = "hard"
     unit: str = "mixed"
-    way: str = "auto"
+    way: str = "inline"
+    keep: str = "cache"
 
     def __post_init__(self):
         if self.max_epoch < 1:
             raise ValueError("max_epoch must be at least 1")
         if self.weighting not in WEIGHTINGS:
             raise ValueError(f"unknown weighting {self.weighting!r}; use one of {WEIGHTINGS}")
+        if self.way not in scoring.WAYS:
+            raise ValueError(f"unknown way {self.way!r}; use one of {scoring.WAYS}")
+        if self.keep not in KEEPS:
+            raise ValueError(f"unknown keep {self.keep!r}; use one of {KEEPS}")
         if self.unlabeled_weight < 0:
             raise ValueError("unlabeled_weight must not be negative")
 
@@ -267,18 +274,18 @@ def run_em(
     An optional array column ``used`` names the runs a row takes part in.
 
     A run stops when its relative change falls below ``min_improvement``; the
-    others go on.  Runs are processed together as far as their models fit the
-    inline limit.
+    others go on.  Inline runs share their passes as far as ``inline_cells``
+    allows; joined runs follow each other.
     """
     runs = tuple(runs)
-    with prepared(rows, params, id_col, cache) as kept:
+    with prepared(rows, params, id_col, cache, em.keep) as kept:
         if cache:
             # the kept rows have been checked
             params = replace(params, validate=False)
         size = len(runs)
         if size > 1:
             k = kept.where("size(known) > 0").select(params.label).distinct().count()
-            size = max(1, scoring.INLINE_CELLS // max(1, k * params.n_features))
+            size = scoring.runs_at_once(em.way, params, k)
         parts = [
             _loop(kept, params, em, id_col, runs[i : i + size]) for i in range(0, len(runs), size)
         ]
@@ -286,12 +293,14 @@ def run_em(
 
 
 @contextmanager
-def prepared(rows: DataFrame, params: Params, id_col: str = "doc_id", cache: bool = True):
+def prepared(
+    rows: DataFrame, params: Params, id_col: str = "doc_id", cache: bool = True, keep: str = "cache"
+):
     """The rows, checked and with their lengths, computed once for all epochs.
 
     Several EM runs over the same rows can share this with ``cache=False``.
-    Small inputs stay in the executors' memory or on their disks.  Larger ones
-    go to a table in the shared folder, which outlives any executor.
+    ``keep="cache"`` holds them in the executors' memory or on their disks, with the
+    lineage back to the scan; ``keep="table"`` in the shared folder, which outlives any executor.
     """
     if not cache:
         yield rows
@@ -299,7 +308,7 @@ def prepared(rows: DataFrame, params: Params, id_col: str = "doc_id", cache: boo
     value = checked("x", params.model_type) if params.validate else "CAST(x AS DOUBLE)"
     length = f"aggregate({sql.name(params.counts)}, 0D, (acc, x) -> acc + {value})"
     rows = spread(rows, id_col).withColumn("row_length", F.expr(length))
-    if input_bytes(rows) > PERSIST_LIMIT_BYTES:
+    if keep == "table":
         yield durable(rows, "rows")
         return
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -333,7 +342,9 @@ def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tupl
     )
     supervised = Model(class_cells(seed_rows, params), params, runs).frozen("supervised")
     labels = scoring.labels_of(supervised.cells)
-    if scoring.pick_way(em.way, params, len(runs), len(labels)) == "inline":
+    if len(runs) > scoring.runs_at_once(em.way, params, len(labels)):
+        raise ValueError(f"{len(runs)} runs do not fit one {em.way} pass")
+    if em.way == "inline":
         cells = supervised.cells.toArrow()
         dense = scoring.DenseModel.from_cells(cells, params, runs, labels)
         state: _DenseState | _TableState = _DenseState(dense, cells)
@@ -393,11 +404,11 @@ def em_step(
 
 
 def pseudo_labelled(
-    unlabelled: DataFrame, model: Model, unlabeled_weight: float = 1.0, id_col: str = "doc_id"
+    unlabelled: DataFrame, model: Model, unlabeled_weight: float = 1.0, id_col: str = "doc_id", way: str = "inline"
 ) -> DataFrame:
     """E-step output: prediction as label, posterior as weight, fixed ground truth."""
     return (
-        scoring.transform(unlabelled, model, id_col)
+        scoring.transform(unlabelled, model, id_col, way)
         .drop("raw", *([model.params.label] if model.params.label in unlabelled.columns else []))
         .withColumnRenamed("posterior", "weight")
         .withColumnRenamed("prediction", model.params.label)
@@ -405,12 +416,12 @@ def pseudo_labelled(
     )
 
 
-def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "auto") -> DataFrame:
+def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "inline") -> DataFrame:
     """``(run, n_rows, accuracy)`` of every run of the model on labelled rows."""
     model = model.frozen()
     labels = scoring.labels_of(model.cells)
     k = len(labels)
-    size = max(1, scoring.INLINE_CELLS // (k * model.params.n_features))
+    size = scoring.runs_at_once(way, model.params, k)
     parts = []
     for first in range(0, len(model.runs), size):
         part = model.restricted(model.runs[first : first + size])

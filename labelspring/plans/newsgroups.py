@@ -12,7 +12,7 @@ from labelspring.operators.labels import apply_label_index, fit_label_index, wit
 from labelspring.plans.bayes import Params
 from labelspring.plans.em import EMParams
 from labelspring.plans.trials import trial_grid
-from labelspring.sources.corpus import file_count, write_corpus
+from labelspring.sources.corpus import write_corpus
 from labelspring.sources.text import read_files, with_topic_and_id
 
 # Output files of the training and the test corpus, and the sweep.
@@ -42,9 +42,9 @@ def write_messages(
     train_files: int = TRAIN_FILES,
     test_files: int = TEST_FILES,
 ) -> None:
-    """Write both sets to the given number of files, or more if those grew too large."""
-    write_corpus(train, train_path, file_count(train, train_files))
-    write_corpus(test, test_path, file_count(test, test_files))
+    """Write both sets to the given number of files."""
+    write_corpus(train, train_path, train_files)
+    write_corpus(test, test_path, test_files)
 
 
 def features(df: DataFrame, codes: DataFrame, params: Params, hash_fn: str = "md5") -> DataFrame:

@@ -2,10 +2,13 @@
 
 Scores use the raw counts, although the fit normalises them.  Two equal ways:
 
-* ``inline``: the model is a dense matrix of checked size, sent once to every
-  executor; each document is scored inside its own row.  Nothing is shuffled.
-* ``joined``: for a model above the size limit.  Term counts meet the weights in
-  a salted shuffle join on the feature, and the products are summed per document.
+* ``inline``: the model is a dense matrix, sent once to every executor; each
+  document is scored inside its own row.  Nothing is shuffled.  A model of more
+  than ``Params.inline_cells`` cells is refused before anything is collected.
+* ``joined``: for any size.  Term counts meet the weights in a salted shuffle
+  join on the feature, and the products are summed per document.
+
+The caller names the way; no size picks it.
 """
 
 from __future__ import annotations
@@ -23,11 +26,10 @@ from labelspring.functions import sql
 from labelspring.functions.vectors import length_of
 from labelspring.plans.bayes import Model, Params
 
-# Largest dense model, in cells of 8 bytes, that is sent to the executors.
-INLINE_CELLS = 8_000_000
 # Scores closer than this are a tie, won by the first label.
 TIE = 1e-9
 SALTS = 32
+WAYS = ("inline", "joined")
 _BLOCK = 1 << 20
 
 
@@ -139,8 +141,19 @@ def labels_of(cells: DataFrame) -> tuple:
     return tuple(sorted(r["label"] for r in found))
 
 
-def fits_inline(params: Params, n_runs: int, n_classes: int) -> bool:
-    return n_runs * n_classes * params.n_features <= INLINE_CELLS
+def runs_at_once(way: str, params: Params, n_classes: int) -> int:
+    """How many runs one pass may score; an error where not even one fits."""
+    if way not in WAYS:
+        raise ValueError(f"unknown way {way!r}; use one of {WAYS}")
+    if way == "joined":
+        return 1
+    size = params.inline_cells // max(1, n_classes * params.n_features)
+    if size < 1:
+        raise ValueError(
+            f"{n_classes} classes x {params.n_features} features exceed inline_cells ="
+            f" {params.inline_cells}; use way='joined'"
+        )
+    return size
 
 
 def _row_scorer(spark, bias: np.ndarray, weights: np.ndarray):
@@ -296,22 +309,16 @@ def label_at(position: str, labels: Sequence) -> str:
     return f"get({sql.array(labels)}, {position})"
 
 
-def pick_way(way: str, params: Params, n_runs: int, n_classes: int) -> str:
-    if way not in ("auto", "inline", "joined"):
-        raise ValueError("way must be 'auto', 'inline' or 'joined'")
-    if way == "auto":
-        return "inline" if fits_inline(params, n_runs, n_classes) else "joined"
-    return way
-
-
 def with_raw(
-    rows: DataFrame, model: Model, labels: Sequence, id_col: str, way: str = "auto"
+    rows: DataFrame, model: Model, labels: Sequence, id_col: str, way: str = "inline"
 ) -> DataFrame:
     """Add ``raw``: one score per label, runs one after the other.
 
     ``model`` should be frozen: it is read here, when the plan is built.
     """
-    if pick_way(way, model.params, len(model.runs), len(labels)) == "joined":
+    if len(model.runs) > runs_at_once(way, model.params, len(labels)):
+        raise ValueError(f"{len(model.runs)} runs do not fit one {way} pass")
+    if way == "joined":
         return with_raw_joined(rows, model, labels, id_col)
     return with_raw_inline(
         rows, DenseModel.from_cells(model.cells.toArrow(), model.params, model.runs, labels)
@@ -319,7 +326,7 @@ def with_raw(
 
 
 def transform(
-    rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "auto", keep_scores: bool = True
+    rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "inline", keep_scores: bool = True
 ) -> DataFrame:
     """Add ``raw``, ``posterior`` (arrays over the sorted labels) and ``prediction``."""
     model = model.frozen()

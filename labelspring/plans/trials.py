@@ -86,7 +86,7 @@ def trial_grid(
     supervised = result.trace.where(F.col("epoch") == 1).select(
         "run", F.col("acc_test").alias("acc_sup")
     )
-    final = run_accuracy(test, result.model, id_col).withColumnRenamed("accuracy", "acc_em")
+    final = run_accuracy(test, result.model, id_col, em.way).withColumnRenamed("accuracy", "acc_em")
     grid = (
         table.join(supervised, "run")
         .join(final, "run")
@@ -101,6 +101,7 @@ def compare_on_samples(
     variants: dict[str, Params],
     cells: Sequence[Cell],
     id_col: str = "doc_id",
+    way: str = "inline",
 ) -> DataFrame:
     """``(variant, n_sup, trial, n_rows, accuracy)``: supervised accuracy of several
     parameter sets on the same balanced samples."""
@@ -115,7 +116,7 @@ def compare_on_samples(
         )
         model = Model(class_cells(sample, params), params, runs).frozen(name)
         out.append(
-            run_accuracy(test, model, id_col).select(
+            run_accuracy(test, model, id_col, way).select(
                 F.lit(name).alias("variant"), "run", "n_rows", "accuracy"
             )
         )
@@ -160,7 +161,7 @@ def share_sweep(
     )
     result = run_em(swept, params, em, id_col, list(runs))
     held = rows.where(test).drop("part", "known")
-    final = run_accuracy(held, result.model, id_col).withColumnRenamed("accuracy", "acc_em")
+    final = run_accuracy(held, result.model, id_col, em.way).withColumnRenamed("accuracy", "acc_em")
     supervised = result.trace.where(F.col("epoch") == 1).select(
         "run", F.col("acc_test").alias("acc_sup")
     )

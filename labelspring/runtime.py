@@ -7,10 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs up to this size may be redistributed to use all cores.
-SPREAD_LIMIT_BYTES = 1 << 30
-# Sizes from here on mean that the planner knows nothing about an input.
-UNKNOWN_BYTES = 1 << 62
+# Session setting: deal inputs with fewer row groups than cores out over this many partitions.
+SPREAD_SETTING = "labelspring.spread.partitions"
 
 _local_roots: dict[str, str] = {}
 
@@ -51,24 +49,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of everything the plan reads; exact where the inputs are files.
-
-    Estimates further up the plan multiply with every join, so they say little.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
-    return sum(int(str(s)) for s in sizes)
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small input out over all cores.
+    """Deal rows out over as many partitions as the session setting names; unset, nothing moves.
 
-    A single row group is read by a single task, and adaptive execution packs
-    small join results into few partitions; everything narrow after that would
-    stay in those tasks.  Large inputs are returned unchanged: they have the
-    parallelism already, and moving them would cost more than it saves.
+    A single row group is read by a single task, and everything narrow after
+    that would stay in it.  Inputs with enough row groups have the parallelism
+    already.  The size of the input plays no part: the same setting gives the
+    same plan at every size.
     """
-    if input_bytes(df) > SPREAD_LIMIT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    partitions = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df if partitions is None else df.repartition(int(partitions), key)

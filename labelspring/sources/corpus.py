@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelspring.runtime import UNKNOWN_BYTES, input_bytes
-
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -20,12 +18,6 @@ def write_corpus(df: DataFrame, path: str, files: int | None = None, mode: str =
     out.write.mode(mode).parquet(path)
 
 
-def file_count(df: DataFrame, least: int, target_bytes: int = 256 << 20) -> int:
-    """Number of output files: ``least``, or more where files would outgrow the target."""
-    size = input_bytes(df)
-    return least if size >= UNKNOWN_BYTES else max(least, -(-size // target_bytes))
-
-
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "error") -> None:
     """Save as a table bucketed and sorted on ``key``.
 

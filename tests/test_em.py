@@ -1,11 +1,12 @@
 import random
+from dataclasses import replace
 
 import pytest
 
 import brute
 from labelspring.functions.text import regex_tokens, with_hashed_counts
 from labelspring.operators import aggregates, evaluate
-from labelspring.plans import em, likelihood, scoring, trials
+from labelspring.plans import em, likelihood, trials
 from labelspring.plans.bayes import Params
 
 V, LAM = 60, 0.2
@@ -109,13 +110,23 @@ def grid_inputs(counted):
     return train, named.where("doc_id % 5 = 0")
 
 
-@pytest.mark.parametrize("limit", [None, 3 * V, 7 * V])
-def test_grid_runs_equal_single_runs(counted, monkeypatch, limit):
+def test_joined_grid_equals_inline_grid(counted):
     train, test = grid_inputs(counted)
-    if limit:
-        monkeypatch.setattr(scoring, "INLINE_CELLS", limit)
+    found = []
+    for way, limit in (("inline", 8_000_000), ("joined", 1)):
+        params = replace(PARAMS, inline_cells=limit)
+        settings = em.EMParams(max_epoch=2, way=way)
+        grid, _ = trials.trial_grid(train, test, params, (4,), 2, 11, settings)
+        found.append(sorted(tuple(r) for r in grid.collect()))
+    assert found[0] == found[1] and len(found[0]) == 2
+
+
+@pytest.mark.parametrize("limit", [8_000_000, 3 * V, 7 * V])
+def test_grid_runs_equal_single_runs(counted, limit):
+    train, test = grid_inputs(counted)
+    params = replace(PARAMS, inline_cells=limit)
     settings = em.EMParams(max_epoch=4, min_improvement=1e-3)
-    grid, result = trials.trial_grid(train, test, PARAMS, (1, 4, 16), 2, 11, settings)
+    grid, result = trials.trial_grid(train, test, params, (1, 4, 16), 2, 11, settings)
     got = {(r.n_sup, r.trial): r for r in grid.collect()}
     assert len(got) == 6
     by_class = {}
@@ -141,9 +152,17 @@ def test_grid_runs_equal_single_runs(counted, monkeypatch, limit):
             assert acc == pytest.approx(sum(hits) / len(hits))
 
 
-def test_large_inputs_go_to_a_table(rows, monkeypatch):
-    monkeypatch.setattr(em, "PERSIST_LIMIT_BYTES", 0)
-    a = em.run_em(rows, PARAMS, em.EMParams(max_epoch=2)).trace.collect()
+def test_inline_refuses_a_model_beyond_its_limit(rows):
+    small = replace(PARAMS, inline_cells=V)
+    with pytest.raises(ValueError, match="inline_cells"):
+        em.run_em(rows, small, em.EMParams(max_epoch=1))
+    a = em.run_em(rows, small, em.EMParams(max_epoch=2, way="joined")).trace.collect()
+    b = em.run_em(rows, PARAMS, em.EMParams(max_epoch=2)).trace.collect()
+    assert [x.log_prob for x in a] == pytest.approx([x.log_prob for x in b])
+
+
+def test_rows_kept_in_a_table(rows):
+    a = em.run_em(rows, PARAMS, em.EMParams(max_epoch=2, keep="table")).trace.collect()
     b = em.run_em(rows, PARAMS, em.EMParams(max_epoch=2), cache=False).trace.collect()
     assert [x.log_prob for x in a] == pytest.approx([x.log_prob for x in b])
 
@@ -155,7 +174,7 @@ def test_bad_counts_fail_em(rows):
 
 
 def test_em_parameters_are_checked():
-    for bad in (dict(max_epoch=0), dict(weighting="warm"), dict(unlabeled_weight=-1.0)):
+    for bad in (dict(max_epoch=0), dict(weighting="warm"), dict(unlabeled_weight=-1.0), dict(way="auto"), dict(keep="disk")):
         with pytest.raises(ValueError):
             em.EMParams(**bad)
 

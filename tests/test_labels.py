@@ -60,4 +60,4 @@ def test_class_figures(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)], "label int, ind int")
     assert labels.class_count(df).first().n_classes == 2
     assert labels.smallest_class(df).first().min_class == 2
-    assert {(r.label, r.max_ind, r.n_rows) for r in labels.topic_profile(df, "label").collect()} == {(0, 2, 3), (1, 1, 2)}
+    assert {(r.label, r.max_ind, r.n_rows) for r in labels.topic_profile(df, "label", "ind").collect()} == {(0, 2, 3), (1, 1, 2)}

@@ -1,11 +1,10 @@
-"""Shape of the physical plans for inputs too large to be spread."""
+"""Shape of the physical plans, with no setting to spread small inputs."""
 
 import os
 import re
 
 import pytest
 
-from labelspring import runtime
 from labelspring.catalog import queries as catalog
 from labelspring.plans import bayes, scoring
 
@@ -14,11 +13,6 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables missing")
 
 
-@pytest.fixture(autouse=True)
-def large_input(monkeypatch):
-    monkeypatch.setattr(runtime, "SPREAD_LIMIT_BYTES", -1)
-
-
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
