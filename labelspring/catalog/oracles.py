@@ -275,6 +275,10 @@ FROM (SELECT conv_id, unnest({_tokens_of('text')}) AS term FROM conversations) G
 FROM (SELECT conv_id, unnest({_tokens_of('text')}) AS term FROM conversations) GROUP BY ALL"""
     q["stopword_removal"] = f"""SELECT doc_id, len(w)::INTEGER AS n_kept, md5(array_to_string(w, ' ')) AS words_md5
 FROM (SELECT doc_id, list_filter({_tokens_of('text')}, lambda t: NOT list_contains([{_STOP}], t)) AS w FROM documents)"""
+    q["ml_pipeline"] = f"""WITH codes AS (
+  SELECT lang, (row_number() OVER (ORDER BY count(*) DESC, lang) - 1)::INTEGER AS label FROM documents WHERE NOT {SPLIT_SIDE} GROUP BY lang)
+SELECT doc_id, label, len(list_filter({_tokens_of('text')}, lambda t: NOT list_contains([{_STOP}], t)))::BIGINT AS n_terms, 1 AS same
+FROM documents JOIN codes USING (lang) WHERE {SPLIT_SIDE}"""
     q["hashed_tf"] = _with(TOKENS, TF) + "SELECT doc_id, bucket, tf FROM tf"
     q["hashed_tf_java"] = _with(TOKENS, """codes AS (
   SELECT term, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(term, ''), lambda c: unicode(c)::BIGINT)),
