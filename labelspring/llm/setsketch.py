@@ -10,11 +10,11 @@
    bucket only the most central member (whose buckets hold the most members) is
    paired with all others at first.  Members that this leaves in different
    components are paired in later rounds, so no link between different sets is
-   lost and alike groups cost linear work.  Those rounds leave out pairs that
-   cannot be linked: shingles that no other open member has cannot be shared, so
-   a member's other shingles bound the intersection.
-4. The joint likelihood of all registers of a pair estimates its similarity;
-   pairs far below the threshold go, the rest is verified on the full sets.
+   lost and alike groups cost linear work.
+4. Pairs that cannot be linked go by an exact bound: the parities of the set in
+   ``PARITIES`` hash classes differ in no more classes than two sets differ in
+   elements.  Then the joint likelihood of all registers of a pair estimates its
+   similarity; pairs far below the threshold go, the rest is verified on the full sets.
 5. Components come from min-label rounds over written tables.
 
 The number of bands follows from the threshold, so that a pair at the threshold
@@ -29,7 +29,9 @@ of its class are null.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,7 @@ BASE = 1.001  # ratio of successive register values
 RATE = 20.0  # rate of the exponential variates
 TOP = (1 << 16) - 2  # registers are truncated to 0 .. TOP + 1
 DEVIATIONS = 6  # estimates this far below the threshold are dropped before the check
+PARITIES = 1024  # hash classes whose parity is kept, 64 in a long
 BLOCK = 4096  # elements of a set whose variates are made at once
 _U = np.uint64
 
@@ -73,6 +76,24 @@ def sketch(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1.0 - np.log(exponential) / math.log(BASE)), 0, TOP + 1).astype(np.int64)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements in each hash class, packed into longs."""
+    classes = (words.mix(elements ^ _U(0x3C3C3C3C3C3C3C3C)) % _U(PARITIES)).astype(np.int64)
+    odd = (np.bincount(classes, minlength=PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def may_link(left: str, right: str, n_left: str, n_right: str, percent: int):
+    """False only for sets (parities and sizes in these columns) that differ in too many elements for a link.
+
+    100 c >= percent (n + m - c) holds exactly if the symmetric difference n + m - 2 c is at
+    most (100 - percent) / (100 + percent) of n + m; the differing classes are a lower bound of it.
+    """
+    differing = [F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(PARITIES // 64)]
+    total = (F.col(n_left) + F.col(n_right)) * (100 - percent)
+    return (100 + percent) * functools.reduce(operator.add, differing) <= total
+
+
 def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sketch of the union of two sets."""
     return np.maximum(left, right)
@@ -100,12 +121,14 @@ def _sketches(size: int, bands: int):
                 counts = np.zeros(n, np.int64)
                 digests = np.zeros((n, 2), _U)
                 registers = np.zeros((n, bands * ROWS), np.int64)
+                odd = np.zeros((n, PARITIES // 64), np.int64)
                 for i in range(n):
                     s = words.shingles(hashes[at[i] : at[i + 1]], size)
                     if len(s):
                         counts[i] = len(s)
                         digests[i] = s.sum(), words.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum()
                         registers[i] = sketch(s, a, b)
+                        odd[i] = parities(s)
                 flat = pa.array(registers.astype(np.int32).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -115,8 +138,9 @@ def _sketches(size: int, bands: int):
                         pa.array(digests[:, 0].view(np.int64)),
                         pa.array(digests[:, 1].view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (bands * ROWS), flat),
+                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (PARITIES // 64), pa.array(odd.ravel())),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "registers"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "registers", "odd"],
                 )
 
     return run
@@ -142,7 +166,7 @@ def sketch_documents(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     bands = band_count(threshold)
     return whole_text(docs, hashed=True).mapInArrow(
         _sketches(size, bands),
-        "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, registers array<int>",
+        "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, registers array<int>, odd array<long>",
     )
 
 
@@ -174,9 +198,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int,
     """Links among candidate ``pairs`` (u, v): sizes, then the likelihood estimate, then the full sets."""
     threshold = percent / 100
     slack = DEVIATIONS * math.sqrt(threshold * (1 - threshold) / (band_count(threshold) * ROWS))
-    one = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
+    one = lambda c: sketches.select(
+        F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"), F.col("odd").alias(f"o_{c}")
+    )
     sized = pairs.join(one("u"), "u").join(one("v"), "v")
     sized = sized.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    sized = sized.where(may_link("o_u", "o_v", "n_u", "n_v", percent))
     both = F.arrays_zip(F.col("r_u").alias("l"), F.col("r_v").alias("r"))
     equal = F.size(F.filter(both, lambda x: x["l"] == x["r"]))
     above = F.size(F.filter(both, lambda x: x["l"] > x["r"]))
@@ -192,16 +219,16 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int,
         likely.join(left, "u").join(right, "v")
         .select("u", "v", "n_u", "n_v", common.alias("c"))
         .where(100 * F.col("c") >= percent * (F.col("n_u") + F.col("n_v") - F.col("c")))
-        .select("u", "v").distinct()
+        .select("u", "v")
     )
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int = 2048) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept, n_copies (documents with the same set) of every document.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
     ``hubs`` is the number of members that a mixed bucket pairs with its others in the second
-    round; it doubles with each round, so it orders the work and drops nothing.
+    round; it grows fourfold with each round, so it orders the work and drops nothing.
     """
     sketches = written(sketch_documents(docs, size, percent / 100), "sketches")
     key = ["set_a", "set_b", "n_shingles"]
@@ -211,7 +238,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int
     )
     chosen = classes.where("rep is not null").select(*key, F.col("rep").alias("doc_id"))
     reps = written(
-        sketches.join(chosen, [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers"), "reps"
+        sketches.join(chosen, [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers", "odd"), "reps"
     )
     bands = band_count(percent / 100)
     keys = F.array(*(
@@ -229,13 +256,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hubs: int
     edges = written(_verified(tested, reps, docs, size, percent), "edges")
     labels = connected_components(edges)
     members = _mixed(buckets.select("bucket", "doc_id"), labels)
-    if not members.isEmpty():
-        members = _with_shareable(members.select("bucket", "doc_id"), docs, reps, size)
-        members = _mixed(members, labels)
+    members = members.join(reps.select("doc_id", "n_shingles", "odd"), "doc_id")
     while not members.isEmpty():
         pairs, members = _more_pairs(members, hubs, percent)
         new = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested, hubs = tested.unionByName(new), 2 * hubs
+        tested, hubs = tested.unionByName(new), 4 * hubs
         more = written(_verified(new, reps, docs, size, percent), "edges")
         if not more.isEmpty():
             edges = edges.unionByName(more)
@@ -256,42 +281,27 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(mixed.where("low <> high").drop("low", "high"), "bucket"), "mixed")
 
 
-def _with_shareable(members: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """Adds n_shingles and shareable: how many shingles at least one other open member has too."""
-    open_ids = written(members.select("doc_id").distinct(), "open")
-    sets = shingle_sets(whole_text(docs).join(open_ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
-    once = sets.select("doc_id", F.explode("elements").alias("e")).groupBy("e").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("doc_id")
-    )
-    own = once.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    known = open_ids.join(reps.select("doc_id", "n_shingles"), "doc_id").join(own, "doc_id", "left")
-    known = known.select("doc_id", "n_shingles", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shareable"))
-    return written(members.join(written(known, "shareable"), "doc_id"), "open_members")
-
-
 def _more_pairs(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of this round between members of different components, and the members left for later rounds.
 
     The smallest member of a bucket and about ``hubs`` others, chosen by hash, meet all members
-    that their sizes and shareable shingles allow.  A bucket of up to ``hubs`` members is finished at once.
+    that their sizes and parities allow.  A bucket of up to ``hubs`` members is finished at once.
     """
     is_hub = (F.col("doc_id") == F.col("first")) | (
         F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("members") / hubs).cast("long")) == 0
     )
     marked = members.withColumn("is_hub", is_hub)
-    # a partner has at least percent / 100 of the shingles, and 100 c >= percent (n + m - c)
-    able = marked.where((100 + percent) * F.col("shareable") >= percent * F.col("n_shingles") * (100 + percent) / 100)
-    hub = able.where("is_hub").select(
+    hub = marked.where("is_hub").select(
         F.col("bucket").alias("b"), F.col("doc_id").alias("h"), F.col("component").alias("of_h"),
-        F.col("n_shingles").alias("n_h"), F.col("shareable").alias("s_h"),
+        F.col("n_shingles").alias("n_h"), F.col("odd").alias("odd_h"),
     )
     possible = (
         (F.col("bucket") == F.col("b")) & (F.col("component") != F.col("of_h"))
         & (100 * F.least("n_shingles", "n_h") >= percent * F.greatest("n_shingles", "n_h"))
-        & ((100 + percent) * F.least("shareable", "s_h") >= percent * (F.col("n_shingles") + F.col("n_h")))
+        & may_link("odd", "odd_h", "n_shingles", "n_h", percent)
     )
-    pairs = able.join(hub, possible).select(F.least("doc_id", "h").alias("u"), F.greatest("doc_id", "h").alias("v"))
-    return pairs.distinct(), able.where("not is_hub").drop("is_hub")
+    pairs = marked.join(hub, possible).select(F.least("doc_id", "h").alias("u"), F.greatest("doc_id", "h").alias("v"))
+    return pairs.distinct(), marked.where("not is_hub").drop("is_hub")
 
 
 def _of_documents(sketches: DataFrame, classes: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:

@@ -160,6 +160,22 @@ def test_setsketch_merges_and_estimates():
     assert abs(estimate - 1 / 3) < 0.1
 
 
+def test_parities_bound_the_difference(spark):
+    universe = words.mix(np.arange(6000, dtype=np.uint64))
+    rows, links = [], {}
+    for k in range(60):
+        base = universe[: rng.choice([1, 3, 40, 300, 3000])]
+        other = np.concatenate([base[: len(base) - rng.randrange(len(base) // 8 + 1)], universe[4000 : 4000 + rng.randrange(len(base) // 8 + 2)]])
+        pair = [(setsketch.parities(e).tolist(), len(e)) for e in (base, other)]
+        rows.append((k, *pair[0], *pair[1]))
+        c = len(np.intersect1d(base, other))
+        links[k] = 100 * c >= 85 * (len(base) + len(other) - c)
+    table = spark.createDataFrame(rows, "k long, a array<long>, n long, b array<long>, m long")
+    passed = {r.k for r in table.where(setsketch.may_link("a", "b", "n", "m", 85)).select("k").collect()}
+    assert {k for k, linked in links.items() if linked} <= passed
+    assert len(passed) < len(rows)
+
+
 def contamination_brute(rows, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text(t)))
     wins = defaultdict(set)
