@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from labelspring.llm.common import whole_text, written
 
 RAREST = 4
+SPLIT = 256  # documents that meet one copy of their common partner
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -135,13 +136,17 @@ def removed_lines(docs: DataFrame, rarest: int = RAREST) -> DataFrame:
     open_ = held.join(shared, "line").where("row <> first_row").select("row", "holders", "line", "first_row")
     picks = F.slice(F.array_sort(F.collect_set(F.struct("holders", "line", "first_row"))), 1, rarest)
     chosen = open_.groupBy("row").agg(picks.alias("p")).select("row", F.explode("p").alias("p"))
-    pairs = written(
-        chosen.groupBy("row", F.col("p.first_row").alias("partner")).agg(F.collect_set("p.line").alias("anchors")), "pairs"
+    # the holder of a frequent line is a partner of many: they are dealt over copies of it
+    copies = F.ceil(F.max("p.holders") / SPLIT).cast("long")
+    pairs = chosen.groupBy("row", F.col("p.first_row").alias("partner")).agg(
+        F.collect_set("p.line").alias("anchors"), F.pmod(F.xxhash64("row"), copies).alias("copy")
     )
+    pairs = written(pairs, "pairs")
     arrays = table.select("row", "lines").dropDuplicates(["row"])
-    both = pairs.join(arrays.withColumnRenamed("lines", "later"), "row").join(
+    partners = pairs.select("partner", "copy").distinct().join(
         arrays.select(F.col("row").alias("partner"), F.col("lines").alias("earlier")), "partner"
     )
+    both = pairs.join(arrays.withColumnRenamed("lines", "later"), "row").join(partners, ["partner", "copy"])
     gone = both.select("row", "later", "earlier", "anchors").mapInArrow(_align, "row long, gone array<int>")
     merged = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return written(merged.where("size(gone) > 0"), "gone")
