@@ -137,6 +137,20 @@ class PieceCounter:
             return sum(map(self.totals.__getitem__, marked.split(" ")))
         return sum(self.totals[w[1:]] for w in _WORD.findall(self._marked(text)))
 
+    def fit(self, text: str, budget: int) -> int:
+        """``table(text).fit(budget)`` without the words behind the budget."""
+        total, end = 0, -1
+        for match in _WORD.finditer(self._marked(text)):
+            counts = self.word_counts(match[0])
+            if total + counts[-1] > budget:
+                for n in counts[1:]:
+                    if total + n > budget:
+                        break
+                    end += 1
+                break
+            total, end = total + counts[-1], match.end() - 1
+        return max(0, min(end, len(text)))
+
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
@@ -183,7 +197,7 @@ def _counts(limit: int, model: str):
                 n = counter.count(text)
                 n_bytes.append(scalar.as_buffer().size)
                 n_tokens.append(n)
-                fits.append(len(text) if n <= limit else counter.table(text).fit(limit))
+                fits.append(len(text) if n <= limit else counter.fit(text, limit))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),

@@ -176,6 +176,13 @@ def test_parities_bound_the_difference(spark):
     assert len(passed) < len(rows)
 
 
+def test_fit_equals_prefix_table():
+    counter = prefix_tokens.PieceCounter.shared()
+    for t in ["", " ", "a", "  x  y ", "中文 é\u2581z", prose(40), " " + prose(9) + "  "]:
+        for budget in (0, 1, 2, 3, 7, 20, 1000):
+            assert counter.fit(t, budget) == counter.table(t).fit(budget)
+
+
 def contamination_brute(rows, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text(t)))
     wins = defaultdict(set)
