@@ -2,10 +2,10 @@
 
 Documents overlap if they share lines.  A line's first holder is the smallest
 document (by doc_id) that has it.  Every document is paired with the first holders of
-its RAREST lines among those that an earlier document holds too, so each document
-with shared lines has at least one and at most RAREST partners, however many
-documents share a line.  A pair is aligned by patience diff on line hashes, and
-aligned blocks that hold one of the pair's anchors go from the later document.
+all its lines that an earlier document holds too, so it has at most one partner for
+each of its shared lines, however many documents share a line.  The anchors of a pair
+are the lines through which it meets.  A pair is aligned by patience diff on line
+hashes, and aligned blocks that hold one of the pair's anchors go from the later document.
 
 Lines are compared without white space at their ends; blank lines are no anchors and
 go only with an aligned block.  All decisions are made on the
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from labelspring.llm.common import whole_text, written
 
-RAREST = 4
 SPLIT = 256  # documents that meet one copy of their common partner
 
 
@@ -100,8 +99,8 @@ def aligned_blocks(later: list[int], earlier: list[int], anchors: set[int]) -> l
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in range(1, 4)))
-        gone = [aligned_blocks(later, earlier, set(anchors)) for later, earlier, anchors in rows]
+        rows = zip(*(batch.column(i) for i in range(1, 4)))
+        gone = [aligned_blocks(later.as_py(), earlier.as_py(), set(anchors.as_py())) for later, earlier, anchors in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
 
 
@@ -123,24 +122,24 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("row", "doc_id", hashed.alias("lines"))
 
 
-def removed_lines(docs: DataFrame, rarest: int = RAREST) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """row, gone (places of deleted lines, sorted) of the documents that lose lines."""
     table = written(line_hashes(docs), "lines")
     holder = F.struct("doc_id", "row")
     held = table.select("row", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     shared = written(
         held.groupBy("line").agg(F.count("*").alias("holders"), F.min(holder).alias("first")).where("holders > 1")
-        .select("line", "holders", F.col("first.row").alias("first_row")),
+        .select("line", F.col("first.row").alias("first_row")),
         "shared",
     )
-    open_ = held.join(shared, "line").where("row <> first_row").select("row", "holders", "line", "first_row")
-    picks = F.slice(F.array_sort(F.collect_set(F.struct("holders", "line", "first_row"))), 1, rarest)
-    chosen = open_.groupBy("row").agg(picks.alias("p")).select("row", F.explode("p").alias("p"))
-    # the holder of a frequent line is a partner of many: they are dealt over copies of it
-    copies = F.ceil(F.max("p.holders") / SPLIT).cast("long")
-    pairs = chosen.groupBy("row", F.col("p.first_row").alias("partner")).agg(
-        F.collect_set("p.line").alias("anchors"), F.pmod(F.xxhash64("row"), copies).alias("copy")
+    open_ = held.join(shared, "line").where("row <> first_row")
+    met = written(
+        open_.groupBy("row", F.col("first_row").alias("partner")).agg(F.collect_set("line").alias("anchors")), "met"
     )
+    # the holder of a frequent line is a partner of many: they are dealt over copies of it
+    many = written(met.groupBy("partner").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT), "many")
+    copies = F.ceil(F.coalesce("n", F.lit(1)) / SPLIT).cast("long")
+    pairs = met.join(many, "partner", "left").select("row", "partner", "anchors", F.pmod(F.xxhash64("row"), copies).alias("copy"))
     pairs = written(pairs, "pairs")
     arrays = table.select("row", "lines").dropDuplicates(["row"])
     partners = pairs.select("partner", "copy").distinct().join(
@@ -156,9 +155,9 @@ def kept_text(text, gone):
     return F.concat_ws("\n", F.filter(lines_of(text), lambda _, i: ~F.array_contains(gone, i)))
 
 
-def deduplicated(docs: DataFrame, rarest: int = RAREST) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256, text (what stays) of every row."""
-    rows = keyed(docs).join(removed_lines(docs, rarest), "row", "left")
+    rows = keyed(docs).join(removed_lines(docs), "row", "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("gone")))
     n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     out = rows.select(

@@ -397,6 +397,24 @@ def test_removed_lines_are_held_by_earlier_documents(spark):
         assert all(i in emptied for i in sorted(i for i, x in texts.items() if x == t)[1:])
 
 
+def test_lines_of_many_documents_and_many_edits(spark):
+    block = lambda name: [f"{name} line {i}" for i in range(5)]
+    docs = [(i, "\n".join([f"before {i}", *block(f"p{i}"), f"after {i}"])) for i in range(10)]
+    docs.append((20, "\n".join(line for i in range(10) for line in [*block(f"p{i}"), f"own {i}"])))
+    body = [f"body {i}" for i in range(55)]
+    docs.append((30, "\n".join(body)))
+    docs.append((31, "\n".join(f"edit {i}" if i % 5 == 2 else line for i, line in enumerate(body))))
+    # a passage that many share, and rarer lines beside it
+    docs += [(40, "often one\noften two")] + [(i, f"often one\noften two\nx {i}") for i in range(41, 50)]
+    docs += [(50 + i, f"rare {i}") for i in range(6)] + [(60, "\n".join(["often one", "often two", *(f"rare {i}\nown r{i}" for i in range(6))]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r.text for r in line_diff.deduplicated(frame).collect()}
+    assert rows[20] == "\n".join(f"own {i}" for i in range(10))
+    assert rows[31] == "\n".join(f"edit {i}" for i in range(55) if i % 5 == 2)
+    assert rows[49] == "x 49" and rows[60] == "\n".join(f"own r{i}" for i in range(6))
+    assert all(rows[i] == t for i, t in docs if i < 20 or i in (30, 40) or 50 <= i < 60)
+
+
 def test_patience():
     assert line_diff.patience([1, 2, 3, 9, 4], [7, 1, 2, 3, 4]) == [(0, 1), (1, 2), (2, 3), (4, 4)]
     assert line_diff.aligned_blocks([5, 1, 2, 6], [1, 2, 8], {1}) == [1, 2]
