@@ -12,10 +12,12 @@ A byte goes if a LENGTH-byte string that covers it also starts anywhere else.
    an anchor are suffixes sorted: one representative of each distinct stretch, with
    its bytes.  A stretch is first split into blocks of BLOCK starts; a block whose
    common core no other stretch has is done.
-3. Tasks sort the suffixes of their blocks by external induced sorting
-   (``induced_sort``); neighbours with LENGTH common bytes are repeated.  A group of
-   blocks with one core is never split between sorts; it goes through disk-backed
-   queues if it is larger than memory.
+3. Blocks with equal bytes are repeated as a whole; one of each goes on.  Tasks sort
+   the suffixes of their blocks by induced sorting (``induced_sort``); neighbours with
+   LENGTH common bytes are repeated.  The blocks of one core are sorted together, so
+   a core with more than SHARD_BYTES of different blocks is not sorted: its blocks are
+   split into single starts, whose common core is the whole string, and Spark counts
+   the digests of these strings.  No task holds more than two shards of text.
 4. Starts come together per document, are widened to bytes and cut out.
 
 Text moves twice: the documents with stretches to sort, and those that lose bytes.
@@ -41,7 +43,7 @@ from labelspring.llm.common import whole_text, written
 LENGTH = 400
 GRAM = 100
 BLOCK = 32
-SHARD_BYTES = 1 << 20  # text that is gathered for one sort, unless one group is larger
+SHARD_BYTES = 1 << 20  # text that is gathered for one sort, and the most that one core brings to it
 _U = np.uint64
 
 
@@ -110,11 +112,11 @@ def _stretch_rows(length: int, gram: int):
 
 
 def _block_rows(length: int, block: int):
-    """Bytes of the blocks of each stretch to sort: (anchor, whole, shift, core, piece)."""
+    """Bytes of the blocks of each stretch to sort: (anchor, whole, shift, n_starts, core, same, piece); ``same`` is a digest of the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(7)]
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 data = text.as_buffer().to_pybytes()
                 for w in wanted.as_py():
@@ -126,10 +128,12 @@ def _block_rows(length: int, block: int):
                         # bytes that every string of a full block has
                         core = data[w["place"] - b * block : w["place"] - b * block - block + 1 + length]
                         digest = hashlib.blake2b(core, digest_size=8, person=str(b).encode()[:16]).digest()
-                        for column, value in zip(out, (w["anchor"], w["whole"], low - w["low"], int.from_bytes(digest, "little", signed=True), data[low : high + length])):
+                        piece = data[low : high + length]
+                        same = hashlib.blake2b(piece, digest_size=16).digest()
+                        for column, value in zip(out, (w["anchor"], w["whole"], low - w["low"], high - low + 1, int.from_bytes(digest, "little", signed=True), same, piece)):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "whole", "shift", "core", "piece"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "whole", "shift", "n_starts", "core", "same", "piece"])
 
     return run
 
@@ -153,7 +157,26 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[list[int]]:
     return found
 
 
-def _sorted_blocks(length: int):
+def _string_rows(length: int):
+    """Each string of the pieces: (anchor, whole, start, string), the last one a digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = batch.column(3).to_pylist()
+            counts = np.array([len(p) - length + 1 for p in pieces], np.int64)
+            take = pa.array(np.repeat(np.arange(len(pieces)), counts))
+            ahead = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = batch.column(2).take(take).to_numpy(zero_copy_only=False) + ahead
+            digests = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(digests, pa.binary())],
+                names=["anchor", "whole", "start", "string"],
+            )
+
+    return run
+
+
+def _sorted_blocks(length: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, last = 0, None
@@ -169,7 +192,7 @@ def _sorted_blocks(length: int):
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for anchor, whole, shift, core, piece in zip(*columns):
-                if size >= SHARD_BYTES and core != last:
+                if size >= shard and core != last:
                     yield done()
                     rows, size = [], 0
                 rows.append((anchor, whole, shift, piece))
@@ -215,7 +238,20 @@ def _named(docs: DataFrame) -> DataFrame:
     return rows.withColumn("name", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_hash"))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def divided(blocks: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks with equal ones, and one of each different block: of cores to sort, and of cores with more than ``shard`` bytes."""
+    place = ["anchor", "whole", "shift"]
+    kinds = written(
+        blocks.groupBy("core", "same").agg(F.count("*").alias("n"), F.min(F.struct(*place, F.octet_length("piece").alias("size"))).alias("one")), "kinds"
+    )
+    equal = blocks.join(kinds.where("n > 1").select("core", "same"), ["core", "same"]).select(*place, "n_starts")
+    cores = written(kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("one.size").alias("size")).where("kinds > 1"), "cores")
+    ones = kinds.join(cores.select("core", "size"), "core").select("one.anchor", "one.whole", "one.shift", "size")
+    different = written(blocks.select(*place, "core", "piece").join(ones, place), "different")
+    return equal, different.where(F.col("size") <= shard), different.where(F.col("size") > shard)
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD_BYTES) -> DataFrame:
     """name of a document, and low, high: ranges of starts of repeated strings."""
     rows = _named(docs)
     found = rows.select("name", "text", "text_hash").mapInArrow(
@@ -237,24 +273,32 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
     )
     blocks = written(
         rows.select("name", "text").join(wanted, "name").select("text", "wanted")
-        .mapInArrow(_block_rows(length, block), "anchor long, whole long, shift int, core long, piece binary"),
+        .mapInArrow(_block_rows(length, block), "anchor long, whole long, shift int, n_starts int, core long, same binary, piece binary"),
         "blocks",
     )
-    cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    open_ = blocks.join(cores, "core").repartition("core").sortWithinPartitions("core")
-    starts = open_.select("anchor", "whole", "shift", "core", "piece").mapInArrow(
-        _sorted_blocks(length), "anchor long, whole long, starts array<int>"
+    equal_blocks, few, many = divided(blocks, shard)
+    ranges = equal_blocks.select("anchor", "whole", F.col("shift").alias("first"), (F.col("shift") + F.col("n_starts") - 1).alias("last"))
+    sorted_ = few.repartition("core").sortWithinPartitions("core").select("anchor", "whole", "shift", "core", "piece").mapInArrow(
+        _sorted_blocks(length, shard), "anchor long, whole long, starts array<int>"
+    )
+    strings = written(
+        many.select("anchor", "whole", "shift", "piece").mapInArrow(_string_rows(length), "anchor long, whole long, start int, string binary"),
+        "strings",
+    )
+    often = written(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "often")
+    starts = sorted_.select("anchor", "whole", F.explode("starts").alias("start")).unionByName(
+        strings.join(often, "string").select("anchor", "whole", "start")
     )
-    starts = written(starts.select("anchor", "whole", F.explode("starts").alias("start")).distinct(), "starts")
+    starts = written(ranges.unionByName(starts.select("anchor", "whole", F.col("start").alias("first"), F.col("start").alias("last"))), "starts")
     several = mixed.join(distinct.where("copies > 1").select("anchor", "whole"), ["anchor", "whole"]).select("name", "low", "high")
-    first = (F.col("low") + F.col("start")).alias("low")
-    single = mixed.join(starts, ["anchor", "whole"]).select("name", first, (F.col("low") + F.col("start")).alias("high"))
+    first, last = (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last")).alias("high")
+    single = mixed.join(starts, ["anchor", "whole"]).select("name", first, last)
     return equal.unionByName(several).unionByName(single)
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (remaining bytes) of every row."""
-    spans = repeated(docs, length, gram, block).groupBy("name").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = repeated(docs, length, gram, block, shard).groupBy("name").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     spans = written(spans, "spans")
     rows = _named(docs).join(spans, "name", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(

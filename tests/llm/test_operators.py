@@ -245,6 +245,37 @@ def test_substrings(odd, empty):
     assert substrings.remove_repeated(empty).count() == 0
 
 
+def cut_brute(docs, length=400):
+    rows = [(i, text(t).encode()) for i, t in docs]
+    counts = Counter(b[s : s + length] for _, b in rows for s in range(len(b) - length + 1))
+    want = Counter()
+    for i, b in rows:
+        repeated = [s for s in range(len(b) - length + 1) if counts[b[s : s + length]] > 1]
+        gone = np.zeros(len(b) + 1, bool)
+        for s in repeated:
+            gone[s : s + length] = True
+        spans = sum(y - x > length for x, y in zip(repeated, repeated[1:])) + bool(repeated)
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want[(i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest())] += 1
+    return want
+
+
+@pytest.mark.parametrize("shard", [3_000, 1 << 20])
+def test_substrings_of_a_hot_passage(spark, monkeypatch, shard):
+    """Different blocks of one core beyond the shard are not sorted in one task, equal ones only once."""
+    passage, ends = prose(200), [prose(4) for _ in range(6)]
+    docs = [(i, f"{prose(60)}{ends[i % 6]}{passage}{ends[i % 5]}{prose(60)}") for i in range(40)]
+    seen, plain = [], substrings.divided
+    monkeypatch.setattr(substrings, "divided", lambda *a: seen.append(plain(*a)) or seen[-1])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = Counter(tuple(r) for r in substrings.remove_repeated(frame, shard=shard).drop("kept").collect())
+    assert found == cut_brute(docs)
+    equal, few, many = seen[0]
+    assert equal.count() > 0 and bool(many.count()) == (shard == 3_000)
+    for core in few.groupBy("core").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("kinds"), F.sum(F.octet_length("piece")).alias("size")).collect():
+        assert core.n == core.kinds and core["size"] <= shard
+
+
 @pytest.mark.parametrize("held", [3, 10**6])
 def test_induced_sorting(held):
     for n in range(150):
