@@ -97,7 +97,11 @@ def decisions(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each digest."""
     rows = written(found(docs, index).select("doc_id", "text_hash", "digest", "kept"), "decisions")
-    gone = written(rows.where(~F.col("kept")).select("doc_id", "text_hash"), "gone")
+    gone = rows.where(~F.col("kept")).select("doc_id", "text_hash")
     twice = rows.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"))
-    again = written(twice.where("n > 1").select("doc_id", "text_hash"), "again")
-    return without(docs, gone, again)
+    twice = written(twice.where("n > 1"), "again")
+    # rows of one id and digest with other white space
+    least = twice.select(F.col("doc_id").alias("id"), "digest", F.col("text_hash").alias("least"))
+    other = rows.where("kept").join(least, "digest").where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") != F.col("least")))
+    gone = written(gone.unionByName(other.select("doc_id", "text_hash")), "all_gone")
+    return without(docs, gone, twice.select("doc_id", "text_hash"))

@@ -93,6 +93,12 @@ def test_digest_index(odd):
     assert kept.count() == len(groups)
 
 
+def test_digest_index_keeps_one_row_of_an_id_with_other_white_space(spark):
+    docs = [(None, "a b"), (None, "a  b"), (None, "a\tb"), (None, "a b"), (7, "c d"), (7, "c  d"), (8, "c d"), (None, "e")]
+    kept = digest_index.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, " ".join(r.text.split())) for r in kept) == {(None, "a b"): 1, (7, "c d"): 1, (None, "e"): 1}
+
+
 def test_digest_index_batches(spark, odd):
     index = digest_index.DigestIndex(spark, buckets=4)
     index.add(odd.where("doc_id <= 8"))
