@@ -266,10 +266,12 @@ def all_spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
 
 
 def training_texts(docs: DataFrame) -> list[str]:
-    """At most DOCS texts with digits or @, chosen by hash, and only the stretch around the first ones."""
+    """At most DOCS different texts with digits or @, chosen by hash, and only the stretch around the first ones."""
     near = F.regexp_extract("text", r"(?s)(.{0,1500}[0-9@].{0,1500})", 1)
-    rows = whole_text(docs).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), near.alias("t"))
-    return [r["t"] for r in rows.orderBy("h", "t").limit(DOCS).collect()]
+    rows = whole_text(docs).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(DOCS).collect()]
+    texts = rows.where(F.col("h").isin(least)).select("h", near.alias("t")).groupBy("h").agg(F.min("t").alias("t"))
+    return [r["t"] for r in texts.orderBy("h").collect()]
 
 
 def personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:

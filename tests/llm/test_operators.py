@@ -402,6 +402,13 @@ def test_personal_data(odd, empty):
     assert pii_spans.personal_data(empty).count() == 0
 
 
+def test_personal_data_trains_on_different_texts(spark, empty):
+    texts = [f"note {i} at 10.0.0.{i}" for i in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * (pii_spans.DOCS + 1))], "doc_id long, text string")
+    assert sorted(pii_spans.training_texts(docs)) == texts
+    assert pii_spans.training_texts(empty) == []
+
+
 def test_personal_data_model_adds_spans():
     texts = [f"{prose(6)} call +{rng.randint(1, 9)} ({rng.randint(100, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)} now {prose(3)} v{rng.randint(1, 9)}.{rng.randint(0, 9)}" for _ in range(60)]
     model = pii_spans.train(texts)
