@@ -187,6 +187,84 @@ _GRID_EM = _with(
   JOIN y{S.GRID_EPOCHS} b ON b.run = t.run AND b.doc_id = t.doc_id GROUP BY ALL)""",
 )
 
+def _hash32(*parts: str) -> str:
+    key = " || ':' || ".join(f"{p}::VARCHAR" for p in parts)
+    return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+
+
+def _runs(name: str, columns: str, values) -> str:
+    """``name(run, columns...)``: numbered rows of Python values."""
+    rows = ", ".join("(" + ", ".join(str(v) for v in (i, *row)) + ")" for i, row in enumerate(values))
+    return f"{name} AS (SELECT * FROM (VALUES {rows}) v(run, {columns}))"
+
+
+def _two_accuracies(test: str, epochs: int) -> str:
+    """``acc2(run, n_rows, acc_sup, acc_em)`` from the models 0 and ``epochs``."""
+    return f"""acc2 AS MATERIALIZED (
+  SELECT t.run, count(*) AS n_rows, avg((a.label = t.label)::INTEGER) AS acc_sup, avg((b.label = t.label)::INTEGER) AS acc_em
+  FROM {test} t JOIN y0 a ON a.run = t.run AND a.doc_id = t.doc_id JOIN y{epochs} b ON b.run = t.run AND b.doc_id = t.doc_id GROUP BY t.run)"""
+
+
+def _rounded(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
+def _summary(source: str, by: str, *names: str) -> str:
+    each = ", ".join(f"round(avg(acc_{n}), 6) AS mean_{n}, round(stddev_pop(acc_{n}), 6) AS sd_{n}" for n in names)
+    return f"SELECT {by}, count(*) AS n_trials, {each} FROM {source} GROUP BY {by}"
+
+
+# Random samples of a given size, for every (size, trial).
+_RANDOM = _with(
+    COUNTS, LANG_TRAIN,
+    _runs("draw", "n_sup, trial", [(n, t) for n in S.RANDOM_SIZES for t in range(1, S.RANDOM_TRIALS + 1)]),
+    f"""placed AS MATERIALIZED (
+  SELECT run, n_sup, trial, doc_id, label, row_number() OVER (PARTITION BY run ORDER BY {_hash32('doc_id', str(S.SEED), 'trial')}, doc_id) AS place
+  FROM draw, train),
+rlab AS MATERIALIZED (SELECT run, doc_id, label FROM placed WHERE place <= n_sup),
+rfree AS MATERIALIZED (SELECT run, doc_id FROM placed WHERE place > n_sup),
+rtest AS MATERIALIZED (SELECT run, doc_id, label FROM draw, test)""",
+    em_ctes(S.GRID_EPOCHS, "rlab", "rfree", "rtest"), score_ctes(str(S.GRID_EPOCHS), "rtest"), _two_accuracies("rtest", S.GRID_EPOCHS),
+    """random AS (
+  SELECT n_sup::INTEGER AS n_sup, trial::INTEGER AS trial, n_labelled, n_label0, n_rows, acc_sup, acc_em FROM draw JOIN acc2 USING (run)
+  JOIN (SELECT run, count(*) AS n_labelled, count_if(label = 0)::BIGINT AS n_label0 FROM rlab GROUP BY run) USING (run))""",
+)
+
+
+def _weighted() -> str:
+    """``weighted(n_sup, trial, start, n_rows, acc_sup, acc_full, acc_reduced)``: two EMs over the same windows."""
+    grid = ",\n".join([COUNTS, LANG_TRAIN, grid_ctes(S.GRID_SIZES, S.GRID_TRIALS)])
+
+    def variant(weight: float) -> str:
+        chain = _with(
+            grid, em_ctes(S.GRID_EPOCHS, "glab", "gfree", "gtest", weight), score_ctes(str(S.GRID_EPOCHS), "gtest"),
+            _two_accuracies("gtest", S.GRID_EPOCHS),
+        )
+        return f"({chain} SELECT n_sup::INTEGER AS n_sup, trial::INTEGER AS trial, start, n_rows, acc_sup, acc_em FROM grid JOIN acc2 USING (run))"
+
+    return _with(f"""weighted AS MATERIALIZED (
+  SELECT f.n_sup, f.trial, f.start, f.n_rows, f.acc_sup, f.acc_em AS acc_full, r.acc_em AS acc_reduced
+  FROM {variant(1.0)} f JOIN {variant(S.UNLABELED_WEIGHT)} r USING (n_sup, trial))""")
+
+
+# Shares of the labels, every trial with draws of its own for test, labelled and unlabelled rows.
+_SHARES = _with(
+    COUNTS, _runs("plan", "share, trial", [(s, t) for s in S.LABEL_SHARES for t in range(1, S.SHARE_TRIALS + 1)]),
+    f"""parts AS MATERIALIZED (
+  SELECT run, share, doc_id, quality AS label, {_unit('doc_id', str(S.SEED), 'trial')} AS u_test,
+    {_unit('doc_id', str(S.SEED + 1), 'trial')} AS u_label, {_unit('doc_id', str(S.SEED + 2), 'trial')} AS u_free
+  FROM plan, documents LEFT JOIN labels USING (doc_id)),
+slab AS MATERIALIZED (SELECT run, doc_id, label FROM parts WHERE label IS NOT NULL AND u_test < 0.9 AND u_label < share),
+sfree AS MATERIALIZED (SELECT run, doc_id FROM parts WHERE label IS NULL AND u_free < 0.1),
+stst AS MATERIALIZED (SELECT run, doc_id, label FROM parts WHERE label IS NOT NULL AND u_test >= 0.9)""",
+    em_ctes(S.GRID_EPOCHS, "slab", "sfree", "stst"), score_ctes(str(S.GRID_EPOCHS), "stst"), _two_accuracies("stst", S.GRID_EPOCHS),
+    """shares AS (
+  SELECT share::DOUBLE AS share, trial::INTEGER AS trial, n_labelled, n_label0, coalesce(n_unlabelled, 0) AS n_unlabelled, n_rows, acc_sup, acc_em
+  FROM plan JOIN acc2 USING (run)
+  JOIN (SELECT run, count(*) AS n_labelled, count_if(label = 0)::BIGINT AS n_label0 FROM slab GROUP BY run) USING (run)
+  LEFT JOIN (SELECT run, count(*) AS n_unlabelled FROM sfree GROUP BY run) USING (run))""",
+)
+
 _ACC_BY = "count(*) AS n_rows, round(avg((y.label = t.label)::INTEGER), 6) AS accuracy"
 
 
@@ -242,6 +320,19 @@ SELECT layout, f[1] AS item, f[p] AS polarity, array_to_string(string_split(f[t]
     q["labeled_point_parse"] = _with(COUNTS, _points_cte()) + f"""SELECT doc_id, 'whole' AS variant, label::DOUBLE AS label, {V} AS size,
   n_active, total, (label = 0)::INTEGER::DOUBLE AS weight0, 1.0::DOUBLE AS ground_truth, 0 AS corrupt FROM points
 UNION ALL SELECT doc_id, 'cut', NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM points"""
+    shaped = f"""SELECT doc_id, line, len(regexp_extract_all(line, '[0-9.]+')) AS n,
+    list_sum(list_transform(regexp_extract_all(line, '[0-9.]+'), lambda x: x::DOUBLE)) AS total,
+    replace(regexp_replace(line, '[0-9.]+', 'n', 'g'), ' ', '') AS shape FROM points"""
+    whole = "NULL::VARCHAR AS error, NULL::INTEGER AS error_at"
+    none = "NULL::VARCHAR AS shape_md5, NULL::INTEGER AS n_numbers, NULL::DOUBLE AS total"
+    q["nested_numbers"] = _with(COUNTS, _points_cte(), f"shaped AS MATERIALIZED ({shaped})") + f"""
+SELECT doc_id, 'whole' AS variant, {whole}, md5(shape) AS shape_md5, n::INTEGER AS n_numbers, round(total, 6) AS total FROM shaped
+UNION ALL SELECT doc_id, 'cut', 'missing close', length(line)::INTEGER, {none} FROM shaped
+UNION ALL SELECT doc_id, 'comma', 'bad comma', (instr(line, ',') + 1)::INTEGER, {none} FROM shaped
+UNION ALL SELECT doc_id, 'number', 'bad number', 2, {none} FROM shaped
+UNION ALL SELECT doc_id, 'deeper', {whole}, md5('((' || shape || '),[n,n,])'), (n + 2)::INTEGER, round(total + 3.5, 6) FROM shaped"""
+    q["ordered_lines"] = """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS line, md5(line) AS line_md5
+FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"""
     q["parquet_roundtrip"] = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
     # projections and filters
@@ -286,7 +377,7 @@ FROM documents JOIN codes USING (lang) WHERE {SPLIT_SIDE}"""
 SELECT doc_id, ((((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % {V}) + {V}) % {V})::INTEGER AS bucket, count(*) AS tf
 FROM tokens JOIN codes USING (term) GROUP BY ALL"""
     q["doc_length"] = _with(COUNTS) + "SELECT doc_id, len::INTEGER AS n_terms FROM len"
-    q["length_normalised_tf"] = _with(COUNTS) + "SELECT doc_id, bucket, round(tf::DOUBLE / len, 6) AS value FROM tf JOIN len USING (doc_id)"
+    q["length_normalised_tf"] = _with(TOKENS, TF) + "SELECT doc_id, bucket, round(tf::DOUBLE / sum(tf) OVER (PARTITION BY doc_id), 6) AS value FROM tf"
     q["feature_validation"] = _with(TOKENS, TF, """vals AS (
   SELECT 'embeddings' AS input, unnest(embedding)::DOUBLE AS x FROM embeddings
   UNION ALL SELECT 'term_counts', tf::DOUBLE FROM tf)""") + """
@@ -381,6 +472,22 @@ FROM (SELECT doc_id, max(posterior) AS a, min(posterior) AS b, max(posterior) FI
     + ({a} - 1) * (coalesce(c.theta, 0) + ({V} - p.seen) * (ln({LAM}) - p.log_denom))) / ln(2), 4) AS dirichlet_log2
 FROM p0 p LEFT JOIN (SELECT m.label, sum(ln(m.mass + {LAM}) - p.log_denom) AS theta FROM m0 m JOIN p0 p USING (label) GROUP BY ALL) c USING (label)"""
 
+    q["log_gamma_values"] = """SELECT l_orderkey, l_linenumber, round(lgamma(x), 6) AS small, round(lgamma(y) / y, 6) AS large,
+  round(lgamma(-x - 0.25), 6) AS negative
+FROM (SELECT *, l_quantity::DOUBLE / 7 AS x, l_extendedprice::DOUBLE AS y FROM lineitem)"""
+
+    def density(name: str, alpha: str) -> str:
+        return f"""SELECT '{name}' AS alphas, label, round((lgamma(sum(al)) - sum(lgamma(al)) + sum((al - 1) * th)) / ln(2), 4) AS dirichlet_log2
+FROM (SELECT p.label, {alpha} AS al, ln(coalesce(m.mass, 0) + {LAM}) - p.log_denom AS th
+  FROM p0 p CROSS JOIN range({V}) b(bucket) LEFT JOIN m0 m ON m.label = p.label AND m.bucket = b.bucket) GROUP BY label"""
+
+    q["dirichlet_by_feature"] = full + density("feature", "0.25 + (b.bucket % 4) * 0.5") + "\nUNION ALL " + density(
+        "class and feature", "0.25 + (b.bucket % 4) * 0.5 + p.label")
+    q["saved_classifier"] = _with(
+        COUNTS, LANG_TRAIN, "upper AS (SELECT 0 AS run, doc_id, label, 1.0::DOUBLE AS w, 1 AS counted FROM train)", ALL_DOCS,
+        model_ctes("0", "upper"), score_ctes("0", "every"),
+    ) + "SELECT doc_id, lang AS prediction FROM y0 JOIN codes USING (label)"
+
     # expectation maximisation
     corpus = _with(COUNTS, CORPUS, em_ctes(S.EPOCHS, "lab", "free", "tst"), trace_cte(S.EPOCHS, "lab", "tst"))
     q["em_step"] = _with(COUNTS, CORPUS, em_ctes(1, "lab", "free", "tst")) + """
@@ -389,6 +496,9 @@ SELECT p.label, p.n, m.bucket, round(m.mass, 6) AS mass, m.df FROM m1 m JOIN p1
 SELECT f.doc_id, y.label AS label, round(s.posterior, 6) AS weight1, {S.UNLABELED_WEIGHT}::DOUBLE AS "groundTruth"
 FROM free f JOIN y0 y USING (doc_id) JOIN s0 s ON s.doc_id = f.doc_id AND s.label = 1"""
     q["em_trace"] = corpus + f"SELECT {TRACE_COLUMNS} FROM trace"
+    q["em_resumed"] = _with(COUNTS, CORPUS, em_ctes(S.EPOCHS, "lab", "free", "tst"), trace_cte(S.EPOCHS, "lab", "tst")) + f"""
+SELECT {TRACE_COLUMNS} FROM trace
+WHERE epoch <= (SELECT coalesce(min(epoch) FILTER (improvement < {S.MIN_IMPROVEMENT}), {S.EPOCHS}) FROM trace)"""
     q["relative_change"] = corpus + "SELECT epoch::INTEGER AS epoch, round(improvement, 9) AS improvement FROM trace"
     q["em_loop"] = _loop_sql()
     q["em_weighting"] = "\nUNION ALL ".join(
@@ -418,8 +528,19 @@ FROM free f JOIN y0 y USING (doc_id) JOIN s0 s ON s.doc_id = f.doc_id AND s.labe
 FROM documents LEFT JOIN labels USING (doc_id)"""
     q["trial_grid"] = _GRID_EM + """SELECT n_sup::INTEGER AS n_sup, trial::INTEGER AS trial, start, n_rows,
   round(acc_sup, 6) AS acc_sup, round(acc_em, 6) AS acc_em FROM acc"""
+    q["trial_grid_joined"] = q["trial_grid"]
     q["trial_summary"] = _GRID_EM + """SELECT n_sup::INTEGER AS n_sup, count(*) AS n_trials, round(avg(acc_sup), 6) AS mean_sup,
   round(stddev_pop(acc_sup), 6) AS sd_sup, round(avg(acc_em), 6) AS mean_em, round(stddev_pop(acc_em), 6) AS sd_em FROM acc GROUP BY n_sup"""
+    q["random_size_grid"] = _RANDOM + f"SELECT n_sup, trial, n_labelled, n_label0, n_rows, {_rounded('acc_sup', 'acc_em')} FROM random"
+    q["random_size_summary"] = _RANDOM + _summary("random", "n_sup", "sup", "em")
+    q["sample_bounds"] = _with(_runs("draw", "size, trial", [(n, t) for n in S.RANDOM_SIZES for t in range(1, S.RANDOM_TRIALS + 1)])) + f"""
+SELECT trial::INTEGER AS trial, size::BIGINT AS size, hash, doc_id FROM (
+  SELECT size, trial, doc_id, {_hash32('doc_id', str(S.SEED), 'trial')} AS hash,
+    row_number() OVER (PARTITION BY run ORDER BY {_hash32('doc_id', str(S.SEED), 'trial')}, doc_id) AS place FROM draw, documents) WHERE place = size"""
+    q["weighted_grid"] = _weighted() + f"SELECT n_sup, trial, start, n_rows, {_rounded('acc_sup', 'acc_full', 'acc_reduced')} FROM weighted"
+    q["weighted_summary"] = _weighted() + _summary("weighted", "n_sup", "sup", "full", "reduced")
+    q["share_trials"] = _SHARES + f"SELECT share, trial, n_labelled, n_label0, n_unlabelled, n_rows, {_rounded('acc_sup', 'acc_em')} FROM shares"
+    q["share_summary"] = _SHARES + _summary("shares", "share", "sup", "em")
     shares = ", ".join(f"({i}, {s})" for i, s in enumerate(S.LABEL_SHARES))
     seed2, seed3 = S.SEED + 1, S.SEED + 2
     q["labelled_share_sweep"] = _with(COUNTS, CORPUS, f"""shares AS (SELECT * FROM (VALUES {shares}) v(run, share)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelspring.catalog import settings as S
 from labelspring.functions import vectors
+from labelspring.functions.gamma import log_gamma
 from labelspring.functions.text import (
     explode_counts,
     flat_tokens,
@@ -19,10 +20,10 @@ from labelspring.functions.text import (
     with_hashed_counts,
     without_stop_words,
 )
-from labelspring.operators import aggregates, evaluate, labels, splits
-from labelspring.plans import bayes, em, likelihood, newsgroups, pipeline, scoring, trials
+from labelspring.operators import aggregates, evaluate, labels, sampling, splits
+from labelspring.plans import bayes, classifier, em, likelihood, newsgroups, pipeline, scoring, trials
 from labelspring.runtime import scratch_path, spread
-from labelspring.sources import corpus, labeled_points, text
+from labelspring.sources import corpus, labeled_points, nested_text, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,6 +205,38 @@ def parquet_roundtrip(spark, folder):
     )
 
 
+@query
+def nested_numbers(spark, folder):
+    """Labelled points as nested numbers: whole, and broken in the three ways that have a name."""
+    lines = labeled_point_format(spark, folder)
+    variants = {
+        "whole": "line",
+        "cut": "left(line, length(line) - 1)",
+        "comma": "concat(left(line, instr(line, ',')), substring(line, instr(line, ',')))",
+        "number": "concat('(', 'x', substring(line, 2))",
+        "deeper": "concat('((', line, '), [ 1.5,2,])')",
+    }
+    broken = [lines.selectExpr("doc_id", f"'{name}' AS variant", f"{how} AS line") for name, how in variants.items()]
+    parsed = nested_text.parse_nested(reduce(DataFrame.unionByName, broken), "line")
+    return parsed.selectExpr(
+        "doc_id", "variant", "error", "error_at", "md5(shape) AS shape_md5", "size(numbers) AS n_numbers",
+        "round(aggregate(numbers, 0D, (s, x) -> s + x), 6) AS total",
+    )
+
+
+@query
+def ordered_lines(spark, folder):
+    """Texts written line by line, one file for each source, and read back in order."""
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    lines = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
+    path = scratch_path(spark, "ordered")
+    files = lines.repartition("source").sortWithinPartitions("source", "doc_id", "pos")
+    text.write_lines(files.select("source", "value"), path, "source")
+    read = text.read_ordered_lines(spark, path)
+    topic = F.expr(f"substring_index({text.path_part('filename', 2)}, '=', -1)")
+    return read.select(topic.alias("source"), "line", F.md5("value").alias("line_md5"))
+
+
 # ---------------------------------------------------------------- projections and filters
 
 
@@ -657,6 +690,56 @@ def dirichlet_prior(spark, folder):
     return value.select("label", F.round("dirichlet_log2", 4).alias("dirichlet_log2"))
 
 
+@query
+def log_gamma_values(spark, folder):
+    """Log-gamma of small, large and negative numbers."""
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "CAST(l_quantity AS DOUBLE) / 7 AS x", "CAST(l_extendedprice AS DOUBLE) AS y"
+    )
+    return lines.selectExpr(
+        "l_orderkey", "l_linenumber",
+        f"round({log_gamma('x')}, 6) AS small", f"round({log_gamma('y')} / y, 6) AS large", f"round({log_gamma('-x - 0.25D')}, 6) AS negative",
+    )
+
+
+@query
+def dirichlet_by_feature(spark, folder):
+    """Dirichlet density with a parameter for every feature, and for every class and feature."""
+    model = _quality_model(spark, folder).frozen()
+    by_feature = spark.range(S.N_FEATURES).selectExpr("CAST(id AS INT) AS bucket", "0.25D + (id % 4) * 0.5D AS alpha")
+    both = by_feature.selectExpr("bucket", "alpha", "explode(array(0, 1)) AS label").selectExpr("bucket", "label", "alpha + label AS alpha")
+    parts = [
+        likelihood.dirichlet_log2_prior_by_feature(model, alpha).select(
+            F.lit(name).alias("alphas"), "label", F.round("dirichlet_log2", 4).alias("dirichlet_log2")
+        )
+        for name, alpha in (("feature", by_feature), ("class and feature", both))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def saved_classifier(spark, folder):
+    """Language of every document, by a classifier that was fitted, written and read again."""
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    settings = classifier.Settings(label="lang")
+    train = docs.where(~held_back())
+    path = scratch_path(spark, "classifier")
+    classifier.TextClassifier.fit(train, PARAMS, settings).save(path)
+    done = classifier.TextClassifier.load(spark, path).transform(docs.drop("lang"))
+    return done.select("doc_id", "prediction")
+
+
+@query
+def em_resumed(spark, folder):
+    """EM that ends after one epoch and goes on from its journal."""
+    journal = scratch_path(spark, "journal")
+    settings = em.EMParams(max_epoch=S.EPOCHS, min_improvement=S.MIN_IMPROVEMENT)
+    with em.prepared(em_corpus(spark, folder), PARAMS) as rows:
+        em.run_em(rows, PARAMS, settings, cache=False, journal=journal, stop_after=1)
+        trace = em.run_em(rows, PARAMS, settings, cache=False, journal=journal).trace
+    return _rounded_trace(trace)
+
+
 # ---------------------------------------------------------------- expectation maximisation
 
 
@@ -789,6 +872,15 @@ def trial_grid(spark, folder):
     )
 
 
+@query
+def trial_grid_joined(spark, folder):
+    """The same grid with the models in tables and the weights of all runs in one join."""
+    train, test = language_sets(spark, folder)
+    em_params = em.EMParams(max_epoch=S.GRID_EPOCHS, way="joined")
+    grid, _ = trials.trial_grid(train, test, PARAMS, S.GRID_SIZES, S.GRID_TRIALS, S.SEED, em_params)
+    return _rounded(grid, "n_sup", "trial", "start", "n_rows")
+
+
 @query
 def trial_summary(spark, folder):
     summary = evaluate.trial_summary(_grid(spark, folder), "n_sup")
@@ -798,6 +890,72 @@ def trial_summary(spark, folder):
     )
 
 
+def _rounded(df: DataFrame, *keep: str) -> DataFrame:
+    """Accuracies, means and deviations to 6 places, behind the columns to keep."""
+    return df.select(*keep, *[F.round(c, 6).alias(c) for c in df.columns if c.startswith(("acc_", "mean_", "sd_"))])
+
+
+def _random_grid(spark, folder) -> DataFrame:
+    train, test = language_sets(spark, folder)
+    grid, _ = trials.random_grid(
+        train, test, PARAMS, S.RANDOM_SIZES, S.RANDOM_TRIALS, S.SEED, em.EMParams(max_epoch=S.GRID_EPOCHS)
+    )
+    return grid
+
+
+@query
+def random_size_grid(spark, folder):
+    return _rounded(_random_grid(spark, folder), "n_sup", "trial", "n_labelled", "n_label0", "n_rows")
+
+
+@query
+def random_size_summary(spark, folder):
+    return _rounded(evaluate.trial_summary(_random_grid(spark, folder), "n_sup"), "n_sup", "n_trials")
+
+
+@query
+def sample_bounds(spark, folder):
+    """Last row of every random sample of the documents."""
+    ids = table(spark, folder, "documents", "doc_id")
+    found = sampling.nth_least(ids, "doc_id", S.RANDOM_SIZES, range(1, S.RANDOM_TRIALS + 1), S.SEED)
+    return found.select("trial", "size", "hash", F.col("id").alias("doc_id"))
+
+
+def _weighted_grid(spark, folder) -> DataFrame:
+    train, test = language_sets(spark, folder)
+    em_params = em.EMParams(max_epoch=S.GRID_EPOCHS, weighting="row")
+    grid, _ = trials.weighted_grid(train, test, PARAMS, S.GRID_SIZES, S.GRID_TRIALS, S.SEED, em_params)
+    return grid
+
+
+@query
+def weighted_grid(spark, folder):
+    """EM with full and with reduced weight of the unlabelled rows, in every cell."""
+    return _rounded(_weighted_grid(spark, folder), "n_sup", "trial", "start", "n_rows")
+
+
+@query
+def weighted_summary(spark, folder):
+    return _rounded(evaluate.trial_summary(_weighted_grid(spark, folder), "n_sup"), "n_sup", "n_trials")
+
+
+def _share_trials(spark, folder) -> DataFrame:
+    done, _ = trials.share_trials(
+        partly_labelled(spark, folder), PARAMS, S.LABEL_SHARES, S.SHARE_TRIALS, S.SEED, em.EMParams(max_epoch=S.GRID_EPOCHS)
+    )
+    return done
+
+
+@query
+def share_trials(spark, folder):
+    return _rounded(_share_trials(spark, folder), "share", "trial", "n_labelled", "n_label0", "n_unlabelled", "n_rows")
+
+
+@query
+def share_summary(spark, folder):
+    return _rounded(evaluate.trial_summary(_share_trials(spark, folder), "share"), "share", "n_trials")
+
+
 @query
 def labelled_share_sweep(spark, folder):
     rows = em_corpus(spark, folder)

@@ -16,3 +16,6 @@ GRID_EPOCHS = 2
 COMPARE_SIZES = (1, 4, 16, 64)
 LABEL_SHARES = (0.7, 0.8, 0.9)
 STRATA_FRACTIONS = {0: 0.5, 1: 0.1}
+RANDOM_SIZES = (10, 40, 160, 640)
+RANDOM_TRIALS = 3
+SHARE_TRIALS = 3

@@ -19,13 +19,11 @@ def accuracy(
 
 
 def trial_summary(trials: DataFrame, *by: str) -> DataFrame:
-    """Mean and population standard deviation of both accuracies."""
+    """Mean and population standard deviation of every accuracy (columns ``acc_<name>``)."""
+    names = [c.removeprefix("acc_") for c in trials.columns if c.startswith("acc_")]
     return trials.groupBy(*by).agg(
         F.count("*").alias("n_trials"),
-        F.avg("acc_sup").alias("mean_sup"),
-        F.stddev_pop("acc_sup").alias("sd_sup"),
-        F.avg("acc_em").alias("mean_em"),
-        F.stddev_pop("acc_em").alias("sd_em"),
+        *[f(f"acc_{n}").alias(f"{kind}_{n}") for n in names for kind, f in (("mean", F.avg), ("sd", F.stddev_pop))],
     )
 
 

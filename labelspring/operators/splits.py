@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 HASH_RANGE = 1 << 32
 
 
-def unit_hash(*parts: Column) -> Column:
-    """A number in [0, 1) fixed by the parts, the same on every engine and retry."""
+def hash32(*parts: Column) -> Column:
+    """A whole number below 2^32 fixed by the parts, the same on every engine and retry."""
     digest = F.md5(F.concat_ws(":", *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(HASH_RANGE))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
+def unit_hash(*parts: Column) -> Column:
+    """The same as a number in [0, 1)."""
+    return hash32(*parts) / F.lit(float(HASH_RANGE))
 
 
 def _bounds(weights: Sequence[float]) -> list[float]:

@@ -14,9 +14,9 @@ Several runs, which differ in which rows are labelled, share every pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from labelspring.functions import sql
 from labelspring.functions.vectors import checked, length_of
 from labelspring.plans import scoring
+from labelspring.plans.journal import Journal
 from labelspring.plans.bayes import Model, Params, class_cells
 from labelspring.plans.likelihood import LN2, log_probs, relative_difference
 from labelspring.runtime import durable, spread
@@ -127,8 +128,21 @@ def _per_run(runs: Sequence[int], n_classes: int, *fields: str) -> str:
     return f"transform({sql.array(runs)}, (run, i) -> {scores})"
 
 
+def _free_weight(em: EMParams, weights: Mapping[int, float] | None) -> str:
+    """SQL: weight of an unlabelled row, which may differ by ``run``."""
+    if weights is None or em.weighting == "hard":
+        return sql.literal(1.0 if em.weighting == "hard" else float(em.unlabeled_weight))
+    own = " ".join(f"WHEN {int(r)} THEN {sql.literal(float(w))}" for r, w in weights.items())
+    return f"(CASE run {own} ELSE {sql.literal(float(em.unlabeled_weight))} END)"
+
+
 def _assignments(
-    rows: DataFrame, params: Params, em: EMParams, labels: Sequence, runs: Sequence[int]
+    rows: DataFrame,
+    params: Params,
+    em: EMParams,
+    labels: Sequence,
+    runs: Sequence[int],
+    weights: Mapping[int, float] | None = None,
 ) -> DataFrame:
     """One row per (document, run) with its class, weight and marker."""
     label, buckets, counts = (sql.name(c) for c in (params.label, params.buckets, params.counts))
@@ -141,17 +155,19 @@ def _assignments(
         # rows may be left out of some runs altogether
         each = f"filter({each}, a -> array_contains(used, a.run))"
     length = "row_length" if "row_length" in rows.columns else length_of(counts)
+    # a row is a test row of all runs, or of those that its column ``held`` names
+    test = "array_contains(held, _a.run)" if "held" in rows.columns else "(part = 'test')"
     per_run = rows.selectExpr(
         label, buckets, counts, f"{length} AS row_length",
-        "part = 'test' AS _test", "known", f"explode({each}) AS _a",
+        *[c for c in ("part", "held") if c in rows.columns], "known", f"explode({each}) AS _a",
     ).selectExpr(
         "_a.run AS run",
         f"{label} AS _truth",
-        f"CASE WHEN _test THEN CAST(array() AS ARRAY<INT>) ELSE {buckets} END AS {buckets}",
+        f"CASE WHEN {test} THEN CAST(array() AS ARRAY<INT>) ELSE {buckets} END AS {buckets}",
         counts,
         "row_length",
-        "_test",
-        "_test OR array_contains(known, _a.run) AS _settled",
+        f"{test} AS _test",
+        f"{test} OR array_contains(known, _a.run) AS _settled",
         f"{scoring.label_at('_a.best', labels)} AS _guess",
         *(["_a.posterior AS _posterior"] if soft else []),
     )
@@ -161,7 +177,7 @@ def _assignments(
         f" WHEN _truth <=> _guess THEN {LABELLED_HIT} ELSE {LABELLED_MISS} END"
     )
     hard = "CASE WHEN _settled THEN _truth ELSE _guess END"
-    free = sql.literal(1.0 if em.weighting == "hard" else float(em.unlabeled_weight))
+    free = _free_weight(em, weights)
     shared = ["run", buckets, counts, "row_length", f"{marker} AS row_bucket"]
     if not soft:
         return per_run.selectExpr(
@@ -230,36 +246,48 @@ class _DenseState:
         return self.cells.filter(pc.field("run").isin(list(runs)))
 
     def finished_cells(self, runs: Sequence[int], like: DataFrame) -> DataFrame:
-        local = like.sparkSession.createDataFrame(self._cells_of(runs), like.schema)
-        return durable(local, "model")
+        return durable(self.as_table(runs, like), "model")
+
+    def as_table(self, runs: Sequence[int], like: DataFrame) -> DataFrame:
+        return like.sparkSession.createDataFrame(self._cells_of(runs), like.schema)
+
+    def restored(self, cells: DataFrame, runs: Sequence[int]) -> _DenseState:
+        table = cells.toArrow()
+        return _DenseState(scoring.DenseModel.from_cells(table, self.model.params, runs, self.model.labels), table)
 
 
 class _TableState:
     """Model kept as a table in the shared folder, for sizes beyond the inline limit."""
 
-    def __init__(self, model: Model, labels: Sequence):
-        self.model, self.labels = model, labels
+    def __init__(self, model: Model, labels: Sequence, frequent: DataFrame):
+        self.model, self.labels, self.frequent = model, labels, frequent
 
     def with_raw(self, rows: DataFrame, id_col: str) -> DataFrame:
-        return scoring.with_raw_joined(rows, self.model, self.labels, id_col)
+        return scoring.with_raw_joined(rows, self.model, self.labels, id_col, self.frequent)
 
     def advance(self, stats: DataFrame, epoch: int) -> tuple[_TableState, list[dict]]:
         table = durable(stats, f"epoch{epoch}")
         markers = [r.asDict() for r in table.where(F.col("bucket") < 0).collect()]
         cells = table.where(F.col("bucket") >= UNLABELLED)
         model = Model(cells, self.model.params, self.model.runs, True)
-        return _TableState(model, self.labels), markers
+        return _TableState(model, self.labels, self.frequent), markers
 
     def log_probs(self) -> dict[int, tuple[float, float]]:
         rows = log_probs(self.model).collect()
         return {r["run"]: (r["model_log_prob"], r["data_log_prob"]) for r in rows}
 
     def restricted(self, runs: Sequence[int]) -> _TableState:
-        return _TableState(self.model.restricted(runs), self.labels)
+        return _TableState(self.model.restricted(runs), self.labels, self.frequent)
 
     def finished_cells(self, runs: Sequence[int], like: DataFrame) -> DataFrame:
+        return self.as_table(runs, like)
+
+    def as_table(self, runs: Sequence[int], like: DataFrame) -> DataFrame:
         return self.model.restricted(runs).cells
 
+    def restored(self, cells: DataFrame, runs: Sequence[int]) -> _TableState:
+        return _TableState(Model(cells, self.model.params, tuple(runs), True), self.labels, self.frequent)
+
 
 def run_em(
     rows: DataFrame,
@@ -268,16 +296,26 @@ def run_em(
     id_col: str = "doc_id",
     runs: Sequence[int] = (0,),
     cache: bool = True,
+    weights: Mapping[int, float] | None = None,
+    journal: str | None = None,
+    stop_after: int | None = None,
 ) -> EMResult:
     """Run EM for every run over ``rows`` as built by :func:`em_rows`.
 
-    An optional array column ``used`` names the runs a row takes part in.
+    Optional array columns give a row another role in every run: ``used`` names the runs
+    it takes part in, ``held`` those it is a test row of.  ``weights`` gives runs an
+    unlabelled weight of their own.
+
+    ``journal`` names a folder of the shared store.  Every finished epoch is recorded there,
+    and a call with the same settings goes on behind the last one, in whatever session.
+    ``stop_after`` ends the call after that epoch; the result then holds what there is so far.
 
     A run stops when its relative change falls below ``min_improvement``; the
-    others go on.  Inline runs share their passes as far as ``inline_cells``
-    allows; joined runs follow each other.
+    others go on.  Runs share their passes as far as :func:`scoring.runs_at_once` allows.
     """
     runs = tuple(runs)
+    if weights is not None and em.weighting == "hard":
+        raise ValueError("hard weighting counts every row once; use 'row' or 'soft' with weights")
     with prepared(rows, params, id_col, cache, em.keep) as kept:
         if cache:
             # the kept rows have been checked
@@ -286,9 +324,12 @@ def run_em(
         if size > 1:
             k = kept.where("size(known) > 0").select(params.label).distinct().count()
             size = scoring.runs_at_once(em.way, params, k)
-        parts = [
-            _loop(kept, params, em, id_col, runs[i : i + size]) for i in range(0, len(runs), size)
-        ]
+        parts = []
+        for i in range(0, len(runs), size):
+            some = runs[i : i + size]
+            settings = [asdict(params), asdict(em), some, weights]
+            log = journal and Journal(kept.sparkSession, f"{journal}/runs{i}", settings)
+            parts.append(_loop(kept, params, em, id_col, some, weights, log, stop_after))
     return parts[0] if len(parts) == 1 else _combined(parts, params, runs)
 
 
@@ -330,17 +371,30 @@ def _combined(parts: list[EMResult], params: Params, runs: tuple[int, ...]) -> E
     )
 
 
-def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tuple[int, ...]) -> EMResult:
+def _loop(
+    rows: DataFrame,
+    params: Params,
+    em: EMParams,
+    id_col: str,
+    runs: tuple[int, ...],
+    weights: Mapping[int, float] | None,
+    journal: Journal | None = None,
+    stop_after: int | None = None,
+) -> EMResult:
     spark = rows.sparkSession
     seed_rows = (
-        rows.where(F.col("part") == "train")
+        rows.where((F.col("part") == "train") & (F.size("known") > 0))
         .select(
             F.explode("known").alias("run"), params.label, params.buckets, params.counts,
             *[c for c in rows.columns if c == "row_length"],
         )
         .where(F.col("run").isin(list(runs)))
     )
-    supervised = Model(class_cells(seed_rows, params), params, runs).frozen("supervised")
+    first = class_cells(seed_rows, params)
+    if journal:
+        supervised = Model(journal.kept("supervised", first), params, runs, True)
+    else:
+        supervised = Model(first, params, runs).frozen("supervised")
     labels = scoring.labels_of(supervised.cells)
     if len(runs) > scoring.runs_at_once(em.way, params, len(labels)):
         raise ValueError(f"{len(runs)} runs do not fit one {em.way} pass")
@@ -349,16 +403,25 @@ def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tupl
         dense = scoring.DenseModel.from_cells(cells, params, runs, labels)
         state: _DenseState | _TableState = _DenseState(dense, cells)
     else:
-        state = _TableState(supervised, labels)
+        state = _TableState(supervised, labels, scoring.frequent_features(rows, params))
 
     active = runs
     last: dict[int, float] = {}
     trace: list[dict] = []
     finished: list[DataFrame] = []
     epochs: dict[int, int] = {}
-    for epoch in range(1, em.max_epoch + 1):
+    done_before = journal.last() if journal else None
+    if done_before:
+        trace = done_before["trace"]
+        for t in trace:
+            epochs[t["run"]], last[t["run"]] = t["epoch"], t["log_prob"]
+        finished = [journal.table(name) for name in done_before["finished"]]
+        active = tuple(done_before["active"])
+        if active:
+            state = state.restored(journal.table(done_before["cells"]), active)
+    for epoch in range(done_before["epoch"] + 1 if done_before else 1, em.max_epoch + 1 if active else 0):
         scored = state.with_raw(rows, id_col)
-        stats = class_cells(_assignments(scored, params, em, labels, active), params)
+        stats = class_cells(_assignments(scored, params, em, labels, active, weights), params)
         state, markers = state.advance(stats, epoch)
         logs = state.log_probs()
         done = []
@@ -381,11 +444,18 @@ def _loop(rows: DataFrame, params: Params, em: EMParams, id_col: str, runs: tupl
             if epoch == em.max_epoch or (change is not None and change < em.min_improvement):
                 done.append(run)
         if done:
-            finished.append(state.finished_cells(done, supervised.cells))
+            cells = state.finished_cells(done, supervised.cells)
+            finished.append(journal.write(f"finished{epoch}", cells) if journal else cells)
             active = tuple(r for r in active if r not in done)
-            if not active:
-                break
+        if active:
             state = state.restricted(active)
+        if journal:
+            state = journal.close_epoch(epoch, state, active, trace, supervised.cells)
+        if not active:
+            break
+        if epoch == stop_after:
+            finished.append(state.finished_cells(active, supervised.cells))
+            break
     columns = [c.split(" ")[0] for c in TRACE_SCHEMA.split(", ")]
     frame = spark.createDataFrame([[t[c] for c in columns] for t in trace], TRACE_SCHEMA)
     final = Model(reduce(DataFrame.unionByName, finished), params, runs, True)
@@ -417,7 +487,10 @@ def pseudo_labelled(
 
 
 def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str = "inline") -> DataFrame:
-    """``(run, n_rows, accuracy)`` of every run of the model on labelled rows."""
+    """``(run, n_rows, accuracy)`` of every run of the model on labelled rows.
+
+    With a column ``held``, a run is tested on the rows that name it there.
+    """
     model = model.frozen()
     labels = scoring.labels_of(model.cells)
     k = len(labels)
@@ -426,6 +499,8 @@ def run_accuracy(rows: DataFrame, model: Model, id_col: str = "doc_id", way: str
     for first in range(0, len(model.runs), size):
         part = model.restricted(model.runs[first : first + size])
         best = _per_run(part.runs, k, f"'best', {scoring.best_of('own')}")
+        if "held" in rows.columns:
+            best = f"filter({best}, a -> array_contains(held, a.run))"
         label = sql.name(model.params.label)
         guesses = scoring.with_raw(rows, part, labels, id_col, way).selectExpr(
             label, f"explode({best}) AS _a"

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelspring.functions.gamma import log_gamma
 from labelspring.plans.bayes import Model
 
 LN2 = math.log(2.0)
@@ -98,3 +99,39 @@ def dirichlet_log2_prior(model: Model, alpha: float) -> DataFrame:
         "run", "label",
         F.when(improper, F.raise_error(message).cast("double")).otherwise(density).alias("dirichlet_log2"),
     )
+
+
+def dirichlet_log2_prior_by_feature(model: Model, alpha: DataFrame) -> DataFrame:
+    """Dirichlet log2 density of every class's feature distribution, with a parameter for each feature.
+
+    ``alpha`` has columns ``bucket`` and ``alpha``, and ``label`` where classes differ; features
+    it does not name have a parameter of 1, which leaves the density as it is but counts in the
+    normalising constant.  Nothing is collected: the constants are aggregates over ``alpha``,
+    and only seen cells meet it in a join, unseen ones share one value per class.
+    """
+    v = model.params.n_features
+    classes = model.prior.select("run", "label", "log_denom")
+    by_class = "label" in alpha.columns
+    own = alpha.withColumn("alpha", F.col("alpha").cast("double"))
+    bad = ~(F.col("alpha") > 0) | F.isnan("alpha") | (F.col("alpha") == math.inf)
+    message = F.lit("alpha must be positive and finite")
+    own = own.withColumn("alpha", F.when(bad, F.raise_error(message).cast("double")).otherwise(F.col("alpha")))
+    keys = ["label"] if by_class else []
+    # without classes of its own the table of sums has one row, for the one value of a constant key
+    group = keys or ["_all"]
+    sums = own.withColumn("_all", F.lit(0)).groupBy(*group).agg(
+        F.sum("alpha").alias("_sum"), F.count("*").alias("_named"),
+        F.sum(F.expr(log_gamma("alpha"))).alias("_gammas"), F.sum(F.col("alpha") - 1.0).alias("_excess"),
+    )
+    joined = classes.withColumn("_all", F.lit(0)).join(sums, group, "left")
+    filled = joined.fillna({"_sum": 0.0, "_named": 0, "_gammas": 0.0, "_excess": 0.0})
+    # parameters of 1 add 1 to the sum and nothing to the log-gammas
+    total = F.col("_sum") + (v - F.col("_named"))
+    constant = filled.withColumn("_total", total).withColumn("_constant", F.expr(f"{log_gamma('_total')} - _gammas"))
+    unseen = F.lit(math.log(model.params.smoothing)) - F.col("log_denom")
+    seen = model.theta.join(own, ["bucket", *keys]).join(classes, ["run", "label"])
+    above = seen.groupBy("run", "label").agg(
+        F.sum((F.col("alpha") - 1.0) * (F.col("log_theta") - unseen)).alias("_above")
+    )
+    log = F.col("_constant") + F.col("_excess") * unseen + F.coalesce("_above", F.lit(0.0))
+    return constant.join(above, ["run", "label"], "left").select("run", "label", (log / LN2).alias("dirichlet_log2"))

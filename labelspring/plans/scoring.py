@@ -5,8 +5,8 @@ Scores use the raw counts, although the fit normalises them.  Two equal ways:
 * ``inline``: the model is a dense matrix, sent once to every executor; each
   document is scored inside its own row.  Nothing is shuffled.  A model of more
   than ``Params.inline_cells`` cells is refused before anything is collected.
-* ``joined``: for any size.  Term counts meet the weights in a salted shuffle
-  join on the feature, and the products are summed per document.
+* ``joined``: for any size.  Term counts meet the weights of all runs in a join on
+  the feature, and the products are summed per document.
 
 The caller names the way; no size picks it.
 """
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from labelspring.functions import sql
 from labelspring.functions.vectors import length_of
+from labelspring.operators.joins import HOT
 from labelspring.plans.bayes import Model, Params
+from labelspring.runtime import durable
 
 # Scores closer than this are a tie, won by the first label.
 TIE = 1e-9
-SALTS = 32
+JOINED_SLOTS = 96  # (run, class) sums of one joined pass; what generated code takes in one piece
 WAYS = ("inline", "joined")
 _BLOCK = 1 << 20
 
@@ -146,7 +148,7 @@ def runs_at_once(way: str, params: Params, n_classes: int) -> int:
     if way not in WAYS:
         raise ValueError(f"unknown way {way!r}; use one of {WAYS}")
     if way == "joined":
-        return 1
+        return max(1, JOINED_SLOTS // max(1, n_classes))
     size = params.inline_cells // max(1, n_classes * params.n_features)
     if size < 1:
         raise ValueError(
@@ -200,94 +202,102 @@ def with_raw_inline(rows: DataFrame, model: DenseModel) -> DataFrame:
     return rows.withColumn("raw", score(F.col(p.buckets), values))
 
 
+def _absent_bias(model: Model, unseen: np.ndarray, slots: dict) -> np.ndarray:
+    """Per (run, class): ln(1 - e^theta) over all features, unseen cells in closed form."""
+    base = np.log1p(-np.exp(unseen))
+    out = model.params.n_features * base
+    sums = model.theta.groupBy("run", "label").agg(
+        F.sum(F.log1p(-F.exp("log_theta"))).alias("s"), F.count("*").alias("c")
+    )
+    for r in sums.collect():
+        i = slots[r["run"], r["label"]]
+        out[i] += r["s"] - r["c"] * base[i]
+    return out
+
+
+def packed_weights(model: Model, slots: dict, floor: np.ndarray) -> DataFrame:
+    """``(bucket, _w)``: one row per seen feature with its weights for all (run, class) slots.
+
+    Weights are differences to the value of an unseen cell, so a missing one is zero.  The
+    table is written once; the array has one entry for each slot, at most JOINED_SLOTS or one run.
+    """
+    n = len(slots)
+    number = F.create_map(*[
+        F.lit(x) for (run, label), i in slots.items() for x in (f"{run}:{label}", i)
+    ])
+    theta = F.col("log_theta")
+    if model.params.model_type == "bernoulli":
+        theta = theta - F.log1p(-F.exp(theta))
+    cells = model.theta.select(
+        "bucket", F.element_at(number, F.concat_ws(":", "run", F.col("label").cast("string"))).alias("_slot"), theta.alias("_theta")
+    )
+    base = F.array(*[F.lit(float(x)) for x in floor])
+    cells = cells.select("bucket", "_slot", (F.col("_theta") - F.get(base, F.col("_slot"))).alias("_x"))
+    packed = cells.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_x"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    return durable(packed.select("bucket", dense.alias("_w")), "weights")
+
+
+def frequent_features(rows: DataFrame, params: Params) -> DataFrame:
+    """``(bucket, _copies)`` of the features with more than one of HOT terms, at most HOT of them.
+
+    A feature's terms are dealt out over its copies, so that none of them gets more than a
+    fixed share of all terms.  Depends on the rows alone: one table serves all epochs and models.
+    """
+    terms = rows.select(F.explode(params.buckets).alias("bucket"))
+    counts = durable(terms.groupBy("bucket").agg(F.count("*").alias("n")), "feature_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    copies = F.ceil(F.col("n") * (8 * HOT) / F.lit(max(1, total))).cast("int").alias("_copies")
+    return durable(counts.where(F.col("n") * HOT > total).select("bucket", copies), "frequent")
+
+
 def with_raw_joined(
-    rows: DataFrame, model: Model, labels: Sequence, id_col: str, salts: int = SALTS
+    rows: DataFrame, model: Model, labels: Sequence, id_col: str, frequent: DataFrame | None = None
 ) -> DataFrame:
-    """Score by a shuffle join; one run at a time.
+    """Score by a join on the feature, all runs of the model at once.
 
-    Weights are packed to one row per feature, holding the difference to the
-    unseen value for every class.  A frequent feature would gather its rows in
-    one task, so the weights are repeated over ``salts`` and the documents are
-    dealt out over them.
+    Every seen feature is one row with an array of weights, one for each (run, class), so
+    the model is shuffled once whatever the number of runs.  The terms of a ``frequent``
+    feature would gather in one task; only such features are repeated, once for each copy.
     """
-    if len(model.runs) != 1:
-        raise ValueError("the joined way scores one run at a time")
+    if frequent is None:
+        frequent = frequent_features(rows, model.params)
     p = model.params
-    v = p.n_features
-    classes = range(len(labels))
-    found = {r["label"]: r for r in class_rows(model)}
-    pi = np.array([found[x]["pi"] if x in found else -np.inf for x in labels])
-    unseen = np.array(
-        [np.log(p.smoothing) - found[x]["log_denom"] if x in found else 0.0 for x in labels]
-    )
-    theta = model.theta.select("label", "bucket", "log_theta")
-    bernoulli = p.model_type == "bernoulli"
-
-    def weight(log_theta: Column) -> Column:
-        return log_theta - F.log1p(-F.exp(log_theta)) if bernoulli else log_theta
-
-    if bernoulli:
-        # ln(1 - e^theta) over all features: seen cells exactly, the rest in closed form
-        base = np.log1p(-np.exp(unseen))
-        absent = {
-            r["label"]: (r["s"], r["c"])
-            for r in theta.groupBy("label")
-            .agg(F.sum(F.log1p(-F.exp("log_theta"))).alias("s"), F.count("*").alias("c"))
-            .collect()
-        }
-        rest = [absent.get(x, (0.0, 0)) for x in labels]
-        bias = pi + [s + (v - c) * base[i] for i, (s, c) in enumerate(rest)]
-        floor = unseen - base
+    slots = {(r, x): i for i, (r, x) in enumerate((r, x) for r in model.runs for x in labels)}
+    prior = {(r["run"], r["label"]): r for r in class_rows(model)}
+    pi = np.array([prior[s]["pi"] if s in prior else -np.inf for s in slots])
+    unseen = np.array([np.log(p.smoothing) - prior[s]["log_denom"] if s in prior else 0.0 for s in slots])
+    if p.model_type == "bernoulli":
+        # a class without rows has no cells; any finite value does for it
+        base = np.where(np.isfinite(pi), unseen, -1.0)
+        bias, floor = pi + _absent_bias(model, base, slots), base - np.log1p(-np.exp(base))
     else:
         bias, floor = pi, unseen
-    packed = theta.groupBy("bucket").agg(
-        *[
-            F.max(
-                F.when(
-                    F.col("label") == labels[c],
-                    weight(F.col("log_theta")) - float(floor[c]),
-                )
-            ).alias(f"_w{c}")
-            for c in classes
-        ]
-    )
-    salted = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    weights = packed_weights(model, slots, floor)
     values = F.expr(_presence(sql.name(p.counts), p.model_type))
     terms = (
         rows.select(id_col, values.alias("_values"), F.posexplode_outer(p.buckets).alias("_pos", "bucket"))
         .where(F.col("bucket").isNotNull())
-        .select(
-            id_col,
-            "bucket",
-            F.get("_values", F.col("_pos")).cast("double").alias("_tf"),
-            F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_salt"),
-        )
-    )
-    sums = (
-        terms.join(salted, ["bucket", "_salt"])
-        .groupBy(id_col)
-        .agg(
-            *[
-                F.sum(F.col("_tf") * F.coalesce(F.col(f"_w{c}"), F.lit(0.0))).alias(f"_s{c}")
-                for c in classes
-            ]
-        )
+        .select(id_col, "bucket", F.get("_values", F.col("_pos")).cast("double").alias("_tf"))
     )
+    few = F.broadcast(frequent)
+    salt = F.pmod(F.xxhash64(id_col), F.coalesce("_copies", F.lit(1))).cast("int")
+    terms = terms.join(few, "bucket", "left").withColumn("_salt", salt).drop("_copies")
+    salts = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
+    weights = weights.join(few, "bucket", "left").withColumn("_salt", F.explode(salts)).drop("_copies")
+    each = [F.sum(F.col("_tf") * F.get("_w", F.lit(i))).alias(f"_s{i}") for i in range(len(slots))]
+    sums = terms.join(weights, ["bucket", "_salt"]).groupBy(id_col).agg(*each)
     # documents without any seen feature have no sum and keep the base score
     total = F.expr(length_of(_presence(sql.name(p.counts), p.model_type)))
-    raw = F.array(
-        *[
-            F.lit(float(bias[c]))
-            + F.col("_total") * F.lit(float(floor[c]))
-            + F.coalesce(F.col(f"_s{c}"), F.lit(0.0))
-            for c in classes
-        ]
-    )
+    raw = F.array(*[
+        F.lit(float(bias[i])) + F.col("_total") * F.lit(float(floor[i])) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
+        for i in range(len(slots))
+    ])
     return (
         rows.withColumn("_total", total)
         .join(sums, id_col, "left")
         .withColumn("raw", raw)
-        .drop("_total", *[f"_s{c}" for c in classes])
+        .drop("_total", *[f"_s{i}" for i in range(len(slots))])
     )
 
 
@@ -312,7 +322,7 @@ def label_at(position: str, labels: Sequence) -> str:
 def with_raw(
     rows: DataFrame, model: Model, labels: Sequence, id_col: str, way: str = "inline"
 ) -> DataFrame:
-    """Add ``raw``: one score per label, runs one after the other.
+    """Add ``raw``: one score per (run, label), run after run.
 
     ``model`` should be frozen: it is read here, when the plan is built.
     """

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from labelspring.functions import sql
 from labelspring.functions.text import space_tokens
+from labelspring.operators.ranking import rank_within
+from labelspring.runtime import durable
 
 # 0-based field positions of the two delimited tweet layouts.
 COMMA_FIELDS = {"polarity": 3, "text": 5}
@@ -23,6 +25,25 @@ def read_lines_with_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("filename"))
 
 
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with ``filename`` and ``line``, their number in the file (from 0).
+
+    A large file is read in blocks by several tasks.  Lines are ordered by the start of
+    their block, then by their place in it, and numbered by exact ranks over ranges of that
+    order, so a file that holds most of the input is spread like the rest.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("filename"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        # a block is read by one task from its start to its end
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    # written once, so that the places stay what they are
+    ranked = rank_within(durable(lines, "lines"), "filename", [F.col("_block"), F.col("_place")], "line")
+    return ranked.select("value", "filename", "line")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file.
 

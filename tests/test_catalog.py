@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from labelspring.catalog.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,7 +20,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
     from verify import compare
 
@@ -27,8 +28,8 @@ def test_query_agrees_with_sql(spark, con, name):
     assert outcome.startswith(("ok", "rows only")), outcome
 
 
-def test_every_query_but_the_random_ones_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"random_split", "ml_pipeline"}
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
