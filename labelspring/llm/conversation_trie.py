@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.llm.common import written
-from labelspring.llm.skew import join_groups
+from labelspring.operators.joins import join_groups
 from labelspring.operators.ranking import rank_within
 
 GROUP = 100  # conversations that share the opening turns of the first of them

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelspring.llm.common import written
-from labelspring.llm.skew import join_groups
 from labelspring.llm.words import mix
+from labelspring.operators.joins import join_groups
 from labelspring.operators.ranking import rank_within
 
 LEAST = 30  # occurrences of a phrase
@@ -43,9 +43,10 @@ TOP = 2000  # phrases of a language
 COVERED = 80  # a phrase goes if a longer one has this percentage of its occurrences
 SCALE = 2_000_000
 
-SHARD_WORDS = 2 << 20  # words of a shard; one longer text is a shard of its own
+SHARD_WORDS = 1 << 20  # words of a shard; one longer text is a shard of its own
+HELD_SHARDS = 3  # a task gives all its shards to Spark when they hold this many times as many words
 SLICE = 1 << 20  # bytes that are split into words at once
-CAPACITY = 1 << 21  # entries of a filter before it is given to Spark
+CAPACITY = 1 << 20  # entries of a filter before it is given to Spark
 BITMAP = 1 << 27  # most bits of a bitmap: 16 MB
 SPARSE = 16  # bits for each frequent phrase, while the bitmap has room
 
@@ -98,13 +99,15 @@ def word_codes(text: bytes, codes: dict) -> Iterator[np.ndarray]:
 
 class _Shard:
     def __init__(self):
-        self.codes, self.parts = _Codes(), []
+        self.codes, self.parts, self.words = _Codes(), [], 0
 
     def add(self, text: bytes) -> int:
         """Take in a text; the number of its words and borders."""
         parts = [*word_codes(text, self.codes), np.zeros(1, np.uint32)]
         self.parts += parts
-        return sum(map(len, parts))
+        added = sum(map(len, parts))
+        self.words += added
+        return added
 
     def row(self) -> tuple:
         sequence = np.concatenate(self.parts)
@@ -112,16 +115,19 @@ class _Shard:
         return [w for w in self.codes if w != _BORDER], counts, sequence.tobytes()
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    held: dict[str, _Shard] = {}
-    words = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        nonlocal number
-        for lang, shard in held.items():
+def _shards(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: dict[str, _Shard] = {}
+        total = 0
+
+        def row(lang: str) -> pa.RecordBatch:
+            nonlocal number, total
+            shard = held.pop(lang)
+            total -= shard.words
             found, counts, sequence = shard.row()
-            yield pa.RecordBatch.from_arrays(
+            number += 1
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()), pa.array([lang]),
                     pa.array([found], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
@@ -129,24 +135,26 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["shard", "lang", "words", "counts", "codes"],
             )
-            number += 1
-        held.clear()
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words += held.setdefault(lang, _Shard()).add(text.as_buffer().to_pybytes())
-            if words >= SHARD_WORDS:
-                yield from rows()
-                words = 0
-    yield from rows()
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shard = held.setdefault(lang, _Shard())
+                total += shard.add(text.as_buffer().to_pybytes())
+                if shard.words >= limit:
+                    yield row(lang)
+                if total >= HELD_SHARDS * limit:
+                    yield from map(row, list(held))
+        yield from map(row, list(held))
+
+    return run
 
 
-def shards_of(docs: DataFrame) -> DataFrame:
+def shards_of(docs: DataFrame, limit: int = SHARD_WORDS) -> DataFrame:
     """shard, lang, words, counts, codes: the coded texts as a written table."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     return written(
-        rows.mapInArrow(_shards, "shard long, lang string, words array<string>, counts array<long>, codes binary"), "shards"
+        rows.mapInArrow(_shards(limit), "shard long, lang string, words array<string>, counts array<long>, codes binary"), "shards"
     )
 
 
@@ -249,19 +257,29 @@ class QuotientFilter:
         return self
 
     def _sorted_sums(self, quotient, remainder, counts) -> QuotientFilter:
+        if not len(quotient):
+            return self._set(quotient, remainder, np.zeros(0, np.int64))
         if self.n == 2:
-            order = np.argsort((quotient << _U(32)) | remainder, kind="stable")
+            # both halves fit one number
+            keys = (quotient << _U(32)) | remainder
+            if counts is None:
+                keys.sort()
+            else:
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], counts[order]
+                del order
+            same = keys[1:] == keys[:-1]
         else:
             order = np.lexsort((remainder, quotient))
-        quotient, remainder = quotient[order], remainder[order]
-        if len(order):
-            first = np.empty(len(order), bool)
-            first[0] = True
-            first[1:] = (quotient[1:] != quotient[:-1]) | (remainder[1:] != remainder[:-1])
-            at = np.flatnonzero(first)
-            sums = np.diff(np.append(at, len(order))) if counts is None else np.add.reduceat(counts[order], at)
-            return self._set(quotient[at], remainder[at], sums)
-        return self._set(quotient, remainder, np.zeros(0, np.int64))
+            quotient, remainder = quotient[order], remainder[order]
+            counts = None if counts is None else counts[order]
+            same = (quotient[1:] == quotient[:-1]) & (remainder[1:] == remainder[:-1])
+        at = np.flatnonzero(np.concatenate([[True], ~same]))
+        sums = np.diff(np.append(at, len(same) + 1)) if counts is None else np.add.reduceat(counts, at)
+        if self.n == 2:
+            keys = keys[at]
+            return self._set(keys >> _U(32), keys & _U(0xFFFFFFFF), sums)
+        return self._set(quotient[at], remainder[at], sums)
 
     @classmethod
     def of(cls, quotient: np.ndarray, remainder: np.ndarray, n: int) -> QuotientFilter:
@@ -299,7 +317,7 @@ def windows(ids: np.ndarray, n: int, bitmaps: dict[int, np.ndarray]) -> np.ndarr
     return good
 
 
-def _filters(n: int, shared):
+def _filters(n: int, shared, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = {k: b.value for k, b in shared.items()}
         held = QuotientFilter(n)
@@ -307,10 +325,10 @@ def _filters(n: int, shared):
             for value in batch.column(0):
                 ids = np.frombuffer(value.as_buffer(), np.uint32)
                 at = windows(ids, n, bitmaps)
-                for i in range(0, len(at), CAPACITY):
-                    part = at[i : i + CAPACITY]
+                for i in range(0, len(at), capacity):
+                    part = at[i : i + capacity]
                     held = held.merge(QuotientFilter.of(*permuted([ids[part + j] for j in range(n)]), n))
-                    if len(held) >= CAPACITY:
+                    if len(held) >= capacity:
                         yield from _filter_rows(held)
                         held = QuotientFilter(n)
         yield from _filter_rows(held)
@@ -358,12 +376,12 @@ def _unpacked(n: int):
 _WORDS = [f"w{i + 1}" for i in range(LONGEST)]
 
 
-def frequent_phrases(sequences: DataFrame, least: int) -> DataFrame:
+def frequent_phrases(sequences: DataFrame, least: int, capacity: int = CAPACITY) -> DataFrame:
     """w1 .. w4 (word ids, 0 behind the last), f: every phrase of 2 to 4 words found ``least`` times."""
     spark = sequences.sparkSession
     shared, out = {}, None
     for n in range(2, LONGEST + 1):
-        counted = sequences.mapInArrow(_filters(n, shared), "quotient long, remainder long, f long")
+        counted = sequences.mapInArrow(_filters(n, shared, capacity), "quotient long, remainder long, f long")
         frequent = written(
             counted.groupBy("quotient", "remainder").agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"phrases_{n}"
         )
@@ -436,12 +454,14 @@ def uncovered(phrases: DataFrame, percent: int) -> DataFrame:
     return joined.where(f"longer IS NULL OR 100 * longer < {percent} * f").select(*_WORDS)
 
 
-def phrases_by_score(docs: DataFrame, least: int = LEAST, percent: int = COVERED, top: int = TOP) -> DataFrame:
+def phrases_by_score(
+    docs: DataFrame, least: int = LEAST, percent: int = COVERED, top: int = TOP, shard: int = SHARD_WORDS, capacity: int = CAPACITY
+) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of every language."""
-    shards = shards_of(docs)
+    shards = shards_of(docs, shard)
     totals = shards.select("lang", F.expr("aggregate(counts, 0L, (s, c) -> s + c)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = frequent_words(shards, least)
-    phrases = frequent_phrases(id_sequences(shards, words), least)
+    phrases = frequent_phrases(id_sequences(shards, words), least, capacity)
     left = written(scored(phrases, words).join(uncovered(phrases, percent), _WORDS), "scored")
     lang = words.select(F.col("id").alias("w1"), "lang")
     placed = join_groups(left, lang, ["w1"])

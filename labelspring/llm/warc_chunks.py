@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from labelspring.llm.arrow_tokens import open_folder
 from labelspring.llm.common import written
-from labelspring.llm.skew import join_groups
+from labelspring.operators.joins import join_groups
 from labelspring.runtime import scratch_path
 
 CHUNK = 64 << 10  # bytes of a chunk
@@ -90,7 +90,10 @@ def chunk_table(pages: DataFrame, size: int = CHUNK) -> DataFrame:
     """The written chunk table of ``pages`` (page_id, url, html); writing fixes the record ids."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    return written(rows.mapInArrow(_chunks(size), CHUNK_SCHEMA), "chunks")
+    chunks = rows.mapInArrow(_chunks(size), CHUNK_SCHEMA)
+    path = scratch_path(pages.sparkSession, "chunks")
+    chunks.write.option("compression", "zstd").parquet(path)
+    return pages.sparkSession.read.schema(chunks.schema).parquet(path)
 
 
 def records_of(chunks: DataFrame, least: int = 0) -> DataFrame:
