@@ -95,13 +95,13 @@ class Minima:
         return self.values[bisect.bisect_right(self.places, place)]
 
 
-def join(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The text of all strings, each with its own end mark, and where each begins."""
+def join(strings: list) -> tuple[np.ndarray, np.ndarray]:
+    """The text of all strings (bytes or arrays of numbers from 0), each with its own end mark, and where each begins."""
     k = len(strings)
     starts = np.cumsum([0] + [len(s) + 1 for s in strings])
     text = np.empty(starts[-1], np.int64)
     for i, s in enumerate(strings):
-        text[starts[i] : starts[i + 1] - 1] = np.frombuffer(s, np.uint8).astype(np.int64) + k
+        text[starts[i] : starts[i + 1] - 1] = k + (np.frombuffer(s, np.uint8).astype(np.int64) if isinstance(s, bytes) else s)
         text[starts[i + 1] - 1] = k - 1 - i  # the last one is the smallest of all
     return text, starts[:-1]
 

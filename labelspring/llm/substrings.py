@@ -9,18 +9,19 @@ A byte goes if a LENGTH-byte string that covers it also starts anywhere else.
    stretches (anchor, hash of the whole stretch, range of string starts).
 2. Stretches whose anchor occurs once hold no repeated string.  Stretches of an anchor
    that are all equal are repeated as a whole.  Only where different stretches share
-   an anchor are suffixes sorted: one representative of each distinct stretch, with
-   its bytes.  A stretch is first split into blocks of BLOCK starts; a block whose
-   common core no other stretch has is done.
-3. Blocks with equal bytes are repeated as a whole; one of each goes on.  Tasks sort
-   the suffixes of their blocks by induced sorting (``induced_sort``); neighbours with
-   LENGTH common bytes are repeated.  The blocks of one core are sorted together, so
-   a core with more than SHARD_BYTES of different blocks is not sorted: its blocks are
-   split into single starts, whose common core is the whole string, and Spark counts
-   the digests of these strings.  No task holds more than two shards of text.
-4. Starts come together per document, are widened to bytes and cut out.
-
-Text moves twice: the documents with stretches to sort, and those that lose bytes.
+   an anchor, one representative of each is split into blocks of BLOCK starts.  The
+   strings of a block have LENGTH - BLOCK + 1 bytes in common, its core; a block is the digest of
+   its core and the few bytes before and behind it.
+3. Blocks whose core no other block has are done, equal blocks are repeated as a whole, and one
+   of each goes on.  Tasks sort the suffixes of their blocks by induced sorting
+   (``induced_sort``), a core being one symbol: neighbours that have BLOCK symbols in common, the
+   core among them, have LENGTH bytes in common.  The blocks of one core are sorted
+   together, so a core with more than SHARD different symbols is not sorted: its single strings
+   are grouped by Spark.  No task holds more than two shards.
+4. Starts come together per document as ranges, are widened to bytes and cut out.
+
+Text moves twice: the documents with stretches to sort, and those that lose bytes.  Joins on an
+anchor, a stretch or a block keep hot ones spread.
 
 Defined cases: null and empty texts, and texts below LENGTH bytes, lose nothing.
 Rows repeated with one id and text are repeats of each other.  An empty table gives
@@ -39,11 +40,13 @@ from pyspark.sql import functions as F
 
 from labelspring.llm import induced_sort, words
 from labelspring.llm.common import whole_text, written
+from labelspring.operators.joins import join_groups
 
 LENGTH = 400
 GRAM = 100
-BLOCK = 32
-SHARD_BYTES = 1 << 20  # text that is gathered for one sort, and the most that one core brings to it
+BLOCK = 8
+SHARD = 1 << 19  # symbols that are gathered for one sort, and the most that one core brings to it
+ROWS = 20_000  # blocks given to Spark at once
 _U = np.uint64
 
 
@@ -111,35 +114,47 @@ def _stretch_rows(length: int, gram: int):
     return run
 
 
+_BLOCK_SCHEMA = pa.schema([
+    ("anchor", pa.int64()), ("whole", pa.int64()), ("shift", pa.int32()), ("n_starts", pa.int32()),
+    ("core", pa.binary()), ("before", pa.binary()), ("after", pa.binary()),
+])
+
+
 def _block_rows(length: int, block: int):
-    """Bytes of the blocks of each stretch to sort: (anchor, whole, shift, n_starts, core, same, piece); ``same`` is a digest of the piece."""
+    """The blocks of each stretch: its first start (``shift``) and number of starts, core digest, bytes around the core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in _BLOCK_SCHEMA]
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _BLOCK_SCHEMA)], schema=_BLOCK_SCHEMA)
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 data = text.as_buffer().to_pybytes()
                 for w in wanted.as_py():
+                    place = w["place"]
                     # blocks by the distance of the start before the anchor, so equal strings are in one block
-                    far, near = w["place"] - w["low"], w["place"] - w["high"]
+                    far, near = place - w["low"], place - w["high"]
                     for b in range(near // block, far // block + 1):
-                        low = w["place"] - min(far, b * block + block - 1)
-                        high = w["place"] - max(near, b * block)
+                        low, high = place - min(far, b * block + block - 1), place - max(near, b * block)
                         # bytes that every string of a full block has
-                        core = data[w["place"] - b * block : w["place"] - b * block - block + 1 + length]
-                        digest = hashlib.blake2b(core, digest_size=8, person=str(b).encode()[:16]).digest()
-                        piece = data[low : high + length]
-                        same = hashlib.blake2b(piece, digest_size=16).digest()
-                        for column, value in zip(out, (w["anchor"], w["whole"], low - w["low"], high - low + 1, int.from_bytes(digest, "little", signed=True), same, piece)):
+                        begin = place - b * block
+                        end = begin - block + 1 + length
+                        core = hashlib.blake2b(data[begin:end], digest_size=16, person=b.to_bytes(8, "little")).digest()
+                        values = w["anchor"], w["whole"], low - w["low"], high - low + 1, core, data[low:begin], data[end : high + length]
+                        for column, value in zip(out, values):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "whole", "shift", "n_starts", "core", "same", "piece"])
+                    if len(out[0]) >= ROWS:
+                        yield rows()
+                        out = [[] for _ in _BLOCK_SCHEMA]
+        yield rows()
 
     return run
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[list[int]]:
-    """For each piece the starts of ``length`` bytes that start elsewhere in the pieces too, by suffix order."""
+def repeated_starts(pieces: list, least: int) -> list[list[int]]:
+    """For each piece (bytes or numbers) the starts whose ``least`` symbols start elsewhere in the pieces too, by suffix order."""
     text, begins = induced_sort.join(pieces)
     found: list[list[int]] = [[] for _ in pieces]
     owner = np.repeat(np.arange(len(pieces)), [len(p) + 1 for p in pieces])
@@ -149,54 +164,53 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[list[int]]:
         found[owner[at]].append(int(at - begins[owner[at]]))
 
     for at, lcp in induced_sort.sorted_suffixes(text):
-        if lcp >= length:
+        if lcp >= least:
             if not marked:
                 mark(previous)
             mark(at)
-        marked, previous = lcp >= length, at
+        marked, previous = lcp >= least, at
     return found
 
 
-def _string_rows(length: int):
-    """Each string of the pieces: (anchor, whole, start, string), the last one a digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column(3).to_pylist()
-            counts = np.array([len(p) - length + 1 for p in pieces], np.int64)
-            take = pa.array(np.repeat(np.arange(len(pieces)), counts))
-            ahead = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = batch.column(2).take(take).to_numpy(zero_copy_only=False) + ahead
-            digests = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(digests, pa.binary())],
-                names=["anchor", "whole", "start", "string"],
-            )
-
-    return run
+def symbols(core: int, before: bytes, after: bytes) -> np.ndarray:
+    """A block as a string of numbers; the core is one of them."""
+    out = np.empty(len(before) + 1 + len(after), np.int64)
+    out[: len(before)] = np.frombuffer(before, np.uint8)
+    out[len(before)] = 256 + core
+    out[len(before) + 1 :] = np.frombuffer(after, np.uint8)
+    return out
 
 
-def _sorted_blocks(length: int, shard: int):
+def _sorted_blocks(block: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size, last = 0, None
+        cores = size = 0
+        last = None
 
         def done() -> pa.RecordBatch:
-            found = repeated_starts([r[3] for r in rows], length)
-            starts = [[r[2] + s for s in f] for r, f in zip(rows, found)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(starts, pa.list_(pa.int32()))],
-                names=["anchor", "whole", "starts"],
-            )
+            found = repeated_starts([r[3] for r in rows], block)
+            out: list[list] = [[] for _ in range(4)]
+            for (anchor, whole, shift, _), starts in zip(rows, found):
+                if starts:
+                    at = np.sort(np.array(starts, np.int64)) + shift
+                    cut = np.flatnonzero(np.diff(at) > 1)
+                    for first, end in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]):
+                        for column, value in zip(out, (anchor, whole, first, end)):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "whole", "first", "last"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for anchor, whole, shift, core, piece in zip(*columns):
-                if size >= shard and core != last:
-                    yield done()
-                    rows, size = [], 0
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for anchor, whole, shift, core, before, after in zip(*columns):
+                if core != last:
+                    if size >= shard:
+                        yield done()
+                        rows, size, cores = [], 0, 0
+                    cores, last = cores + 1, core
+                piece = symbols(cores, before, after)
                 rows.append((anchor, whole, shift, piece))
-                size, last = size + len(piece), core
+                size += len(piece) + 1
         if rows:
             yield done()
 
@@ -239,19 +253,36 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def divided(blocks: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks with equal ones, and one of each different block: of cores to sort, and of cores with more than ``shard`` bytes."""
+    """Ranges of equal blocks, and one of each different block: of cores to sort, and of cores with more than ``shard`` symbols."""
     place = ["anchor", "whole", "shift"]
-    kinds = written(
-        blocks.groupBy("core", "same").agg(F.count("*").alias("n"), F.min(F.struct(*place, F.octet_length("piece").alias("size"))).alias("one")), "kinds"
+    kind = ["core", "before", "after"]
+    one = F.min(F.struct(*place, "n_starts")).alias("one")
+    kinds = written(blocks.groupBy(*kind).agg(F.count("*").alias("n"), one), "kinds")
+    equal = join_groups(blocks, kinds.where("n > 1").select(*kind, "n"), kind, "n").select(
+        "anchor", "whole", F.col("shift").cast("long").alias("first"), (F.col("shift") + F.col("n_starts") - 1).cast("long").alias("last")
     )
-    equal = blocks.join(kinds.where("n > 1").select("core", "same"), ["core", "same"]).select(*place, "n_starts")
-    cores = written(kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("one.size").alias("size")).where("kinds > 1"), "cores")
-    ones = kinds.join(cores.select("core", "size"), "core").select("one.anchor", "one.whole", "one.shift", "size")
-    different = written(blocks.select(*place, "core", "piece").join(ones, place), "different")
+    size = F.sum(2 + F.octet_length("before") + F.octet_length("after")).alias("size")
+    cores = written(kinds.groupBy("core").agg(F.count("*").alias("kinds"), size).where("kinds > 1"), "cores")
+    different = written(join_groups(kinds, cores, ["core"], "kinds").select("one.*", *kind, "size"), "different")
     return equal, different.where(F.col("size") <= shard), different.where(F.col("size") > shard)
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD_BYTES) -> DataFrame:
+def single_strings(blocks: DataFrame, block: int) -> DataFrame:
+    """Ranges (of one start) of the strings that several of these blocks hold."""
+    left = "octet_length(before) - start"
+    strings = written(
+        blocks.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_starts") - 1))).selectExpr(
+            "anchor", "whole", "CAST(shift + start AS BIGINT) AS first", "core", "substring(before, start + 1) AS head",
+            f"substring(after, 1, {block - 1} - ({left})) AS tail",
+        ),
+        "strings",
+    )
+    key = ["core", "head", "tail"]
+    often = strings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return join_groups(strings, written(often, "often"), key, "n").select("anchor", "whole", "first", F.col("first").alias("last"))
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """name of a document, and low, high: ranges of starts of repeated strings."""
     rows = _named(docs)
     found = rows.select("name", "text", "text_hash").mapInArrow(
@@ -262,41 +293,43 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
     groups = found.groupBy("anchor").agg(
         F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")
     ).where("n > 1")
-    shared = written(found.join(groups.select("anchor", "mixed"), "anchor"), "shared")
+    shared = written(join_groups(found, written(groups, "anchors"), ["anchor"], "n").drop("n"), "shared")
     equal = shared.where("not mixed").select("name", "low", "high")
 
     mixed = shared.where("mixed")
     one = F.min(F.struct("name", "place", "low", "high")).alias("one")
-    distinct = written(mixed.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), one), "distinct_stretches")
+    stretch = ["anchor", "whole"]
+    distinct = written(mixed.groupBy(*stretch).agg(F.count("*").alias("copies"), one), "distinct_stretches")
     wanted = distinct.groupBy(F.col("one.name").alias("name")).agg(
         F.collect_list(F.struct("anchor", "whole", "one.place", "one.low", "one.high")).alias("wanted")
     )
     blocks = written(
-        rows.select("name", "text").join(wanted, "name").select("text", "wanted")
-        .mapInArrow(_block_rows(length, block), "anchor long, whole long, shift int, n_starts int, core long, same binary, piece binary"),
+        rows.select("name", "text").join(wanted, "name").select("text", "wanted").mapInArrow(
+            _block_rows(length, block),
+            "anchor long, whole long, shift int, n_starts int, core binary, before binary, after binary",
+        ),
         "blocks",
     )
     equal_blocks, few, many = divided(blocks, shard)
-    ranges = equal_blocks.select("anchor", "whole", F.col("shift").alias("first"), (F.col("shift") + F.col("n_starts") - 1).alias("last"))
-    sorted_ = few.repartition("core").sortWithinPartitions("core").select("anchor", "whole", "shift", "core", "piece").mapInArrow(
-        _sorted_blocks(length, shard), "anchor long, whole long, starts array<int>"
-    )
-    strings = written(
-        many.select("anchor", "whole", "shift", "piece").mapInArrow(_string_rows(length), "anchor long, whole long, start int, string binary"),
-        "strings",
+    # one task a partition, whatever their bytes: sorting costs far more than reading
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = few.repartition(tasks, "core").sortWithinPartitions("core").select("anchor", "whole", "shift", "core", "before", "after").mapInArrow(
+        _sorted_blocks(block, shard), "anchor long, whole long, first long, last long"
     )
-    often = written(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "often")
-    starts = sorted_.select("anchor", "whole", F.explode("starts").alias("start")).unionByName(
-        strings.join(often, "string").select("anchor", "whole", "start")
+    ranges = written(equal_blocks.unionByName(sorted_).unionByName(single_strings(many, block)), "ranges")
+    # at most one range for each start of a stretch
+    ranges = ranges.groupBy(*stretch).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    named = distinct.join(ranges, stretch, "left").select(*stretch, "copies", "ranges")
+    named = written(named.where("copies > 1 OR ranges IS NOT NULL"), "repeated_stretches")
+    again = join_groups(mixed.drop("mixed"), named, stretch, "copies")
+    several = again.where("copies > 1").select("name", "low", "high")
+    single = again.where("copies = 1").select("name", "low", F.explode("ranges").alias("r")).select(
+        "name", (F.col("low") + F.col("r.first")).alias("low"), (F.col("low") + F.col("r.last")).alias("high")
     )
-    starts = written(ranges.unionByName(starts.select("anchor", "whole", F.col("start").alias("first"), F.col("start").alias("last"))), "starts")
-    several = mixed.join(distinct.where("copies > 1").select("anchor", "whole"), ["anchor", "whole"]).select("name", "low", "high")
-    first, last = (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last")).alias("high")
-    single = mixed.join(starts, ["anchor", "whole"]).select("name", first, last)
     return equal.unionByName(several).unionByName(single)
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD_BYTES) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (remaining bytes) of every row."""
     spans = repeated(docs, length, gram, block, shard).groupBy("name").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     spans = written(spans, "spans")
