@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ from labelspring.functions.text import (
 )
 from labelspring.operators import aggregates, evaluate, labels, sampling, splits
 from labelspring.plans import bayes, classifier, em, likelihood, newsgroups, pipeline, scoring, trials
-from labelspring.runtime import scratch_path, spread
+from labelspring.runtime import durable, scratch_path, spread
 from labelspring.sources import corpus, labeled_points, nested_text, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -794,11 +793,13 @@ def relative_change(spark, folder):
 @query
 def em_loop(spark, folder):
     em_params = em.EMParams(max_epoch=S.EPOCHS, min_improvement=S.MIN_IMPROVEMENT)
-    result = em.run_em(em_corpus(spark, folder), PARAMS, em_params)
-    rows = counted(documents(spark, folder, "doc_id", "text"))
-    return scoring.transform(rows, result.model, keep_scores=False).select(
-        "doc_id", "prediction", F.lit(result.epochs[0]).alias("epochs")
-    )
+    with em.prepared(em_corpus(spark, folder), PARAMS) as rows:
+        result = em.run_em(rows, PARAMS, em_params, cache=False)
+        # the kept rows are all documents, counted already
+        done = scoring.transform(rows, result.model, keep_scores=False).select(
+            "doc_id", "prediction", F.lit(result.epochs[0]).alias("epochs")
+        )
+        return durable(done, "predicted")
 
 
 @query
@@ -974,22 +975,13 @@ def ml_pipeline(spark, folder):
     docs = documents(spark, folder, "doc_id", "text", "lang")
     words = docs.selectExpr("doc_id", "lang AS topic", f"{regex_tokens('text')} AS words")
     train, test = splits.hash_split(words, "doc_id", [9, 1], S.SEED)
-    done = pipeline.classify(train, test, S.N_FEATURES, S.SMOOTHING)
-    # the long form fed with the same vectors has to predict the same class
-    size = f"CAST(sequence(0, {S.N_FEATURES - 1}) AS ARRAY<INT>)"
-
-    def long_form(rows: DataFrame) -> DataFrame:
-        dense = rows.withColumn("_v", vector_to_array("features"))
-        return dense.selectExpr(
-            "doc_id", "CAST(label AS INT) AS label", *[c for c in ("prediction",) if c in rows.columns],
-            "CAST(aggregate(_v, 0D, (s, y) -> s + y) AS BIGINT) AS n_terms",
-            f"filter({size}, i -> _v[i] <> 0) AS buckets",
-            f"transform(filter({size}, i -> _v[i] <> 0), i -> CAST(_v[i] AS INT)) AS counts",
-        )
-
     features = pipeline.fit_features(train, S.N_FEATURES)
-    model = bayes.fit(long_form(features.transform(train)), PARAMS)
-    both = scoring.transform(long_form(done).withColumnRenamed("prediction", "ml"), model, keep_scores=False)
+    train, test = features.transform(train), features.transform(test)
+    done = pipeline.fit_normalised(train, S.SMOOTHING).transform(test)
+    # the long form fed with the same sparse vectors has to predict the same class
+    model = bayes.fit(pipeline.sparse_counts(train), PARAMS)
+    rows = pipeline.sparse_counts(done.withColumnRenamed("prediction", "ml"), "ml")
+    both = scoring.transform(rows, model, keep_scores=False)
     return both.select(
         "doc_id", "label", "n_terms", (F.col("ml").cast("int") == F.col("prediction")).cast("int").alias("same")
     )

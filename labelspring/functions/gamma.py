@@ -36,7 +36,7 @@ def _positive(x: str) -> str:
 def log_gamma(value: str) -> str:
     """SQL: ln |Gamma(value)|; infinite at 0 and the negative whole numbers, null for null."""
     # ln |Gamma(x)| = ln pi - ln |sin(pi x)| - ln Gamma(1 - x)
-    reflected = sql.bind("y", "1D - v", f"{sql.literal(math.log(math.pi))} - ln(sin(pi() * (v - floor(v)))) - ({_positive('y')})")
+    reflected = sql.bind("y", "1D - v", f"{sql.literal(math.log(math.pi))} - ln(abs(sin(pi() * (v - rint(v))))) - ({_positive('y')})")
     infinite = "CAST('Infinity' AS DOUBLE)"
     body = (
         f"CASE WHEN v IS NULL OR isnan(v) THEN v WHEN abs(v) = {infinite} THEN {infinite}"

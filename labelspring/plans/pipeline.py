@@ -46,3 +46,15 @@ def classify(train: DataFrame, test: DataFrame, n_features: int, smoothing: floa
     features = fit_features(train, n_features)
     model = fit_normalised(features.transform(train), smoothing)
     return model.transform(features.transform(test))
+
+
+def sparse_counts(df: DataFrame, *keep: str, id_col: str = "doc_id", label: str = "label") -> DataFrame:
+    """``features`` vectors as ``buckets`` and ``counts``, read from the vector's own arrays."""
+    vector = df.withColumn("_v", F.unwrap_udt("features"))
+    return vector.select(
+        id_col, F.col(label).cast("int").alias(label), *keep,
+        F.expr("CAST(aggregate(_v.values, 0D, (s, y) -> s + y) AS BIGINT)").alias("n_terms"),
+        # dense vectors have no indices
+        F.expr("coalesce(_v.indices, CAST(sequence(0, size(_v.values) - 1) AS ARRAY<INT>))").alias("buckets"),
+        F.expr("transform(_v.values, x -> CAST(x AS INT))").alias("counts"),
+    )

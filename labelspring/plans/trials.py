@@ -266,7 +266,7 @@ def share_roles(rows: DataFrame, runs: Sequence[ShareRun], label: str, free_shar
     return (
         rows.withColumns({"_t": drawn(0), "_l": drawn(1), "_f": drawn(2)})
         .selectExpr(
-            *[sql.name(c) for c in rows.columns],
+            *[sql.name(c) for c in rows.columns if c not in ("known", "held", "used")],
             f"IF({labelled}, {runs_where(f'NOT ({is_test}) AND get(_l, w.at) < w.share')}, {none}) AS known",
             f"IF({labelled}, {runs_where(is_test)}, {none}) AS held",
             f"IF({labelled}, {none}, {runs_where(f'get(_f, w.at) < {sql.literal(float(free_share))}')}) AS _free",
