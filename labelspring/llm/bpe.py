@@ -3,8 +3,9 @@
 The tokenizer splits text before merging, and a space followed by a character
 that is not white space always starts a new piece.  So a text may be cut there,
 each part encoded by the library once, and its ids kept for the next occurrence.
-A part of letters only is one piece, which goes to the library's merging directly;
-a comma or full stop behind letters is a piece of its own.
+A part of letters only is one piece, which goes to the library's merging directly.
+Signs behind letters are a piece of their own, and so are a line end and the letters
+and signs behind it; such a part is put together from its pieces and need not be kept.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from array import array
 
 from public_tokenizers import path
 
-KEPT_PARTS = 400_000  # parts in each of two generations remembered by one worker
+KEPT_PARTS = 200_000  # parts in each of two generations remembered by one worker
 KEPT_CHARS = 48  # longer parts are not remembered
 
+# letters, signs (no apostrophe, which may take letters with it), and the same again on a new line
+_SIGNS = r"[!-&(-/:-@\[-`{-~]*"
+_PIECES = re.compile(rf"([^\W\d_]+)({_SIGNS})(?:\n([^\W\d_]+)({_SIGNS}))?")
+
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -44,12 +49,28 @@ class Memory(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= KEPT_CHARS:
-            if len(self) >= self.kept:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            self.keep(key, value)
         return value
 
+    def keep(self, key: str, value) -> None:
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class _Parts(Memory):
+    """Parts of one piece are remembered, others put together from them."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(encoder._word)
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isalpha():
+            return super().__missing__(part)
+        return self.encoder._composed(part)
+
 
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
@@ -62,8 +83,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(file)
         self.merges = self.library.model
-        self.parts = Memory(self._part)
-        self.marks = {c: self.whole(c) for c in ".,"}
+        self.parts = _Parts(self)
+        self.first_words = Memory(self._bare, KEPT_PARTS // 8)  # words that begin a line
+        self.others = Memory(self.whole, KEPT_PARTS // 8)
+        self.line_end = self.whole("\n")
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -72,14 +95,29 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a part behind its space."""
-        if part.isalpha():
-            spelled = (" " + part).encode().decode("latin-1").translate(_SPELLED)
-            return self._bytes([t.id for t in self.merges.tokenize(spelled)])
-        if part[-1:] in self.marks and part[:-1].isalpha():
-            return self.parts[part[:-1]] + self.marks[part[-1]]
-        return self.whole(" " + part)
+    def _merged(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece[0] != " " else piece.encode().decode("latin-1").translate(_SPELLED)
+        return self._bytes([t.id for t in self.merges.tokenize(spelled)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word behind its space."""
+        if word.isascii():
+            return self._bytes([t.id for t in self.merges.tokenize(_SPELLED[32] + word)])
+        return self._merged(" " + word)
+
+    _bare = _merged
+
+    def _composed(self, part: str) -> bytes:
+        """Ids of a part that is not one word, behind its space."""
+        found = _PIECES.fullmatch(part)
+        if found:
+            word, signs, line_word, line_signs = found.groups()
+            if word.isalpha() and (line_word is None or line_word.isalpha()):
+                ids = self.parts[word] + (self.others[signs] if signs else b"")
+                if line_word is not None:
+                    ids += self.line_end + self.first_words[line_word] + (self.others[line_signs] if line_signs else b"")
+                return ids
+        return self.others[" " + part]
 
     @classmethod
     def shared(cls, name: str = "byte_bpe_50k.json") -> Encoder:

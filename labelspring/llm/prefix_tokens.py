@@ -35,6 +35,7 @@ LIMIT = 4096
 KEPT_WORDS = 600_000  # words in each of two generations remembered by one worker
 KEPT_CHARS = 48
 KEPT_PAIRS = 1_000_000
+PORTION = 8 << 20  # characters whose new words are worked out together
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -50,8 +51,11 @@ class PieceCounter:
         with open(file, "rb") as f:
             model.ParseFromString(f.read())
         self.score = {p.piece: p.score for p in model.pieces if p.type == protocol.ModelProto.SentencePiece.NORMAL}
-        self.longest = max(map(len, self.score))
+        # every end of a piece, and whether it is a piece itself
+        self.suffixes = {p[i:]: False for p in self.score for i in range(1, len(p))} | dict.fromkeys(self.score, True)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.endings: dict[str, tuple] = {}
+        self.beginnings: dict[str, tuple] = {}
         self.reachable: dict[str, bool] = {}
         self.words: dict[str, list[int]] = {}
         self.totals = Memory(self._total, KEPT_WORDS)  # tokens of a word behind its space
@@ -77,39 +81,133 @@ class PieceCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merges(self, piece: str) -> Iterator[tuple[float, list[str]]]:
+        """The score of every merge that makes a piece, in order, and the parts behind it."""
+        parts = list(piece)
+        while len(parts) > 1:
+            scores = [self.score.get(a + b) for a, b in zip(parts, parts[1:])]
+            best = max((s for s in scores if s is not None), default=None)
+            if best is None:
+                return
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            yield best, parts
+
+    def _edge(self, piece: str, side: int) -> tuple:
+        """The outermost part of a piece at its end (-1) or its beginning (0), as its merges go on.
+
+        Once for each piece: the first part, and (score, part) after each merge.
+        """
+        table = self.endings if side else self.beginnings
+        known = table.get(piece)
+        if known is None:
+            known = table[piece] = piece[side], [(score, parts[side]) for score, parts in self._merges(piece)]
+        return known
+
     def _fits(self, left: str, right: str) -> bool:
+        """Whether two pieces, each made by its own merges, stay apart.
+
+        Until something merges across their border, both sides go on as they do alone, the better
+        merge first.  So their merges are played against each other, and the border is
+        tried whenever it would be next.
+        """
         key = (left, right)
         known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
-        return known
+        if known is not None:
+            return known
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        last, ahead = self._edge(left, -1)
+        first, behind = self._edge(right, 0)
+        i = j = 0
+        apart = None
+        while apart is None:
+            a = ahead[i][0] if i < len(ahead) else None
+            b = behind[j][0] if j < len(behind) else None
+            across = self.score.get(last + first)
+            # among equal scores the leftmost goes first
+            if across is not None and (a is None or across > a) and (b is None or across >= b):
+                apart = False
+            elif a is not None and (b is None or a >= b):
+                last = ahead[i][1]
+                i += 1
+            elif b is not None:
+                first = behind[j][1]
+                j += 1
+            else:
+                apart = True
+        self.pairs[key] = apart
+        return apart
 
     def _whole(self, piece: str) -> bool:
+        """Whether the piece's own letters merge to it."""
         known = self.reachable.get(piece)
         if known is None:
-            known = self.reachable[piece] = len(piece) == 1 or self.merged(piece) == [piece]
+            known = self.reachable[piece] = self.merged(piece) == [piece]
         return known
 
     def prefix_counts(self, word: str) -> list[int]:
         """Token counts of word[:0], word[:1], ... word."""
         counts, last = [0], [""]
-        score = self.score
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+        self._extend(word, counts, last)
+        return counts
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the totals of words behind their space.
+
+        In sorted order each word goes on where it leaves the one before, so a prefix that
+        words share is worked out once.
+        """
+        counts, last, before = [0], [""], ""
+        for w in sorted(words):
+            word = SPACE + w.replace(" ", SPACE)
+            same = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self._extend(word, counts, last)
+            self.totals.keep(w, counts[-1])
+            before = word
+
+    def learn_words_of(self, texts: list[str]) -> None:
+        """``learn`` what is new in texts (an optional step before ``count``)."""
+        seen, old = self.totals, self.totals.old
+        words = {w for text in texts for w in text.split(" ")} if texts else set()
+        self.learn({w for w in words if w and len(w) <= KEPT_CHARS and SPACE not in w and w not in seen and w not in old})
+
+    def _extend(self, word: str, counts: list[int], last: list[str]) -> None:
+        """Go on with the counts and last tokens of the prefixes that the lists hold."""
+        suffixes, pairs = self.suffixes, self.pairs
+        for end in range(len(counts), len(word) + 1):
+            # pieces of two letters and more that end here; nothing longer than a known suffix can be one
+            found = []
+            start = end - 2
+            while start >= 0:
                 piece = word[start:end]
-                if end - start == 1:
-                    size = 1 if piece in score else len(piece.encode())
-                elif piece in score and self._whole(piece):
-                    size = 1
-                else:
-                    continue
-                if not start or self._fits(last[start], piece):
-                    counts.append(counts[start] + size)
-                    last.append(piece)
+                kind = suffixes.get(piece)
+                if kind is None:
                     break
-        return counts
+                if kind and self._whole(piece):
+                    found.append((start, piece))
+                start -= 1
+            for start, piece in reversed(found):
+                if start:
+                    before = last[start]
+                    apart = pairs.get((before, piece))
+                    if apart is None:
+                        apart = self._fits(before, piece)
+                    if not apart:
+                        continue
+                counts.append(counts[start] + 1)
+                last.append(piece)
+                break
+            else:
+                # every prefix has one last token, so it is the letter itself
+                piece = word[end - 1]
+                counts.append(counts[end - 1] + (1 if piece in self.score else len(piece.encode())))
+                last.append(piece)
 
     def _total(self, word: str) -> int:
         return self.prefix_counts(SPACE + word.replace(" ", SPACE))[-1]
@@ -151,6 +249,14 @@ class PieceCounter:
             total, end = total + counts[-1], match.end() - 1
         return max(0, min(end, len(text)))
 
+    def borders(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Where words begin, with the end of the last, and the tokens up to there."""
+        starts, sums = [0], [0]
+        for w in words:
+            starts.append(starts[-1] + len(w))
+            sums.append(sums[-1] + (self.totals[w[1:]] if w[0] == SPACE and SPACE not in w[1:] else self.word_counts(w)[-1]))
+        return starts, sums
+
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
@@ -158,13 +264,13 @@ class PieceCounter:
 class PrefixTable:
     """Counts of all prefixes of one text: sums at word borders, and each word's own counts."""
 
-    def __init__(self, counter: PieceCounter, text: str):
+    def __init__(self, counter: PieceCounter, text: str, starts: list[int] | None = None, sums: list[int] | None = None):
+        """``starts`` and ``sums`` as stored by ``prefix_tables``; without them they are made from the text."""
         self.counter, self.text = counter, text
         self.words = _WORD.findall(counter._marked(text))
-        self.starts, self.sums = [0], [0]  # in marked characters, one ahead of the text's
-        for w in self.words:
-            self.starts.append(self.starts[-1] + len(w))
-            self.sums.append(self.sums[-1] + counter.word_counts(w)[-1])
+        self.starts, self.sums = starts, sums  # in marked characters, one ahead of the text's
+        if starts is None or sums is None:
+            self.starts, self.sums = counter.borders(self.words)
 
     def count_at(self, end: int) -> int:
         """Tokens of text[:end]."""
@@ -187,17 +293,30 @@ class PrefixTable:
         return max(0, min(end, len(self.text)))
 
 
+def _portions(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in lists of about PORTION characters."""
+    texts, size = [], 0
+    for scalar in column:
+        texts.append(scalar.as_py())
+        size += len(texts[-1])
+        if size >= PORTION:
+            yield texts
+            texts, size = [], 0
+    yield texts
+
+
 def _counts(limit: int, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter.shared(model)
         for batch in batches:
             n_bytes, n_tokens, fits = [], [], []
-            for scalar in batch.column(1):
-                text = scalar.as_py()
-                n = counter.count(text)
-                n_bytes.append(scalar.as_buffer().size)
-                n_tokens.append(n)
-                fits.append(len(text) if n <= limit else counter.fit(text, limit))
+            for texts in _portions(batch.column(1)):
+                counter.learn_words_of(texts)
+                for text in texts:
+                    n = counter.count(text)
+                    n_bytes.append(len(text) if text.isascii() else len(text.encode()))
+                    n_tokens.append(n)
+                    fits.append(len(text) if n <= limit else counter.fit(text, limit))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),
@@ -214,3 +333,32 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, model: str = MODEL) -> Dat
     return whole_text(docs).mapInArrow(
         _counts(limit, model), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
     )
+
+
+def _tables(model: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PieceCounter.shared(model)
+        for batch in batches:
+            row = 0
+            for texts in _portions(batch.column(1)):
+                counter.learn_words_of(texts)
+                found = [counter.borders(_WORD.findall(counter._marked(text))) for text in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(row, len(texts)), pa.array([f[0] for f in found], pa.list_(pa.int32())),
+                        pa.array([f[1] for f in found], pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "starts", "sums"],
+                )
+                row += len(texts)
+
+    return run
+
+
+def prefix_tables(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, starts, sums: the stored prefix table of every text, one entry for each word border.
+
+    ``PrefixTable(counter, text, starts, sums)`` answers the count of any prefix, and the
+    longest prefix within any budget, with the program of a single word and no encoding.
+    """
+    return whole_text(docs).mapInArrow(_tables(model), "doc_id long, starts array<int>, sums array<int>")

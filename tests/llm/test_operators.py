@@ -266,7 +266,7 @@ def cut_brute(docs, length=400):
     return want
 
 
-@pytest.mark.parametrize("shard", [3_000, 1 << 20])
+@pytest.mark.parametrize("shard", [40, 1 << 20])
 def test_substrings_of_a_hot_passage(spark, monkeypatch, shard):
     """Different blocks of one core beyond the shard are not sorted in one task, equal ones only once."""
     passage, ends = prose(200), [prose(4) for _ in range(6)]
@@ -277,8 +277,9 @@ def test_substrings_of_a_hot_passage(spark, monkeypatch, shard):
     found = Counter(tuple(r) for r in substrings.remove_repeated(frame, shard=shard).drop("kept").collect())
     assert found == cut_brute(docs)
     equal, few, many = seen[0]
-    assert equal.count() > 0 and bool(many.count()) == (shard == 3_000)
-    for core in few.groupBy("core").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("kinds"), F.sum(F.octet_length("piece")).alias("size")).collect():
+    assert equal.count() > 0 and bool(many.count()) == (shard == 40)
+    size = F.sum(F.octet_length("before") + F.octet_length("after") + 2)
+    for core in few.groupBy("core").agg(F.count("*").alias("n"), F.count_distinct("before", "after").alias("kinds"), size.alias("size")).collect():
         assert core.n == core.kinds and core["size"] <= shard
 
 
@@ -513,3 +514,36 @@ def test_pipeline(spark):
             want = {i for i, (_, c) in near_brute(rows, 5, 80).items() if i == c}
             assert {r.doc_id for r in kept.collect()} == want
     assert kept.agg(F.countDistinct("doc_id")).first()[0] == before.count()
+
+
+def test_stored_prefix_tables(odd):
+    """Counts and budgets from the stored table equal those of the library on the prefixes."""
+    import sentencepiece
+    from public_tokenizers import path
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path(prefix_tokens.MODEL))
+    counter = prefix_tokens.PieceCounter.shared()
+    texts = defaultdict(list)
+    for i, t in ODD:
+        texts[i].append(text(t))
+    rows = prefix_tokens.prefix_tables(odd).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: len(t) for i, t in texts.items()})
+    for r in rows:
+        own = [t for t in texts[r.doc_id] if counter.table(t).sums == list(r.sums)]
+        assert own and r.starts[-1] == len(counter._marked(own[0]))
+        t = own[0]
+        table = prefix_tokens.PrefixTable(counter, t, r.starts, r.sums)
+        for end in {0, 1, len(t) // 3, len(t) // 2, len(t)}:
+            if end <= len(t) <= 3000:
+                assert table.count_at(end) == len(library.encode(t[:end], num_threads=1))
+        budget = r.sums[-1] // 2
+        end = table.fit(budget)
+        assert table.count_at(end) <= budget and (end == len(t) or table.count_at(end + 1) > budget)
+
+
+def test_new_words_are_learnt_like_single_ones():
+    counter = prefix_tokens.PieceCounter(__import__("public_tokenizers").path(prefix_tokens.MODEL))
+    words = {"".join(rng.choice("abthein.,é中") for _ in range(rng.randrange(1, 12))) for _ in range(3000)}
+    counter.learn(words)
+    for w in words:
+        assert counter.totals[w] == counter.prefix_counts(prefix_tokens.SPACE + w)[-1]
