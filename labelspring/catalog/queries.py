@@ -804,13 +804,15 @@ def em_loop(spark, folder):
 
 @query
 def em_weighting(spark, folder):
-    parts = []
+    parts, first = [], None
     with em.prepared(em_corpus(spark, folder), PARAMS) as rows:
         for weighting in em.WEIGHTINGS:
             em_params = em.EMParams(
                 max_epoch=S.EPOCHS, weighting=weighting, unlabeled_weight=S.UNLABELED_WEIGHT
             )
-            trace = _rounded_trace(em.run_em(rows, PARAMS, em_params, cache=False).trace)
+            result = em.run_em(rows, PARAMS, em_params, cache=False, supervised=first)
+            first = result.supervised
+            trace = _rounded_trace(result.trace)
             parts.append(trace.select(F.lit(weighting).alias("weighting"), "*"))
     return reduce(DataFrame.unionByName, parts)
 

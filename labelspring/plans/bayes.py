@@ -58,8 +58,9 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
     """Per (run, label, bucket): weight, summed normalised value, rows holding the bucket.
 
     ``rows`` may carry ``run``, ``row_weight``, ``counted`` (whether the row counts
-    towards ``df``), ``row_bucket`` (which negative bucket stands for the row) and
-    ``row_length`` (the sum of the counts, where it is known already).
+    towards ``df``), ``row_bucket`` (which negative bucket stands for the row),
+    ``row_length`` (the sum of the counts, where it is known already) and ``row_raw`` (true
+    for rows whose values are not normalised, whatever the parameters say).
     Partial aggregation bounds the shuffle by classes x features per task, however
     unequal the classes are.
     """
@@ -75,17 +76,18 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
         f"CAST({optional('counted', '1')} AS INT) AS _counted",
         f"{counts} AS _counts",
         f"{optional('row_length', length_of(counts))} AS _length",
+        f"{optional('row_raw', 'false')} AS _raw",
         f"concat(array(CAST({optional('row_bucket', str(ROW))} AS INT)), {buckets}) AS _buckets",
     ).selectExpr(
-        "run", "label", "_w", "_counted", "_counts", "_length",
+        "run", "label", "_w", "_counted", "_counts", "_length", "_raw",
         # the arrays are never empty; outer only avoids a size filter below the scan
         "posexplode_outer(_buckets) AS (_pos, bucket)",
-    ).selectExpr("run", "label", "_w", "_counted", "_length", "bucket", "get(_counts, _pos - 1) AS _v")
+    ).selectExpr("run", "label", "_w", "_counted", "_length", "_raw", "bucket", "get(_counts, _pos - 1) AS _v")
     value = "_v"
     if params.validate:
         value = checked(value, params.model_type)
     if params.normalise:
-        value = f"({value}) * {length_multiplier('_length')}"
+        value = f"({value}) * {length_multiplier('CASE WHEN _raw THEN 0 ELSE _length END')}"
     return long.groupBy("run", "label", "bucket").agg(
         F.expr("sum(_w) AS weight"),
         F.expr(f"sum(_w * CASE WHEN bucket < 0 THEN 0D ELSE {value} END) AS mass"),

@@ -299,6 +299,7 @@ def run_em(
     weights: Mapping[int, float] | None = None,
     journal: str | None = None,
     stop_after: int | None = None,
+    supervised: Model | None = None,
 ) -> EMResult:
     """Run EM for every run over ``rows`` as built by :func:`em_rows`.
 
@@ -309,6 +310,7 @@ def run_em(
     ``journal`` names a folder of the shared store.  Every finished epoch is recorded there,
     and a call with the same settings goes on behind the last one, in whatever session.
     ``stop_after`` ends the call after that epoch; the result then holds what there is so far.
+    ``supervised`` is the first model where an earlier call over the same rows has fitted it.
 
     A run stops when its relative change falls below ``min_improvement``; the
     others go on.  Runs share their passes as far as :func:`scoring.runs_at_once` allows.
@@ -329,7 +331,7 @@ def run_em(
             some = runs[i : i + size]
             settings = [asdict(params), asdict(em), some, weights]
             log = journal and Journal(kept.sparkSession, f"{journal}/runs{i}", settings)
-            parts.append(_loop(kept, params, em, id_col, some, weights, log, stop_after))
+            parts.append(_loop(kept, params, em, id_col, some, weights, log, stop_after, supervised and supervised.restricted(some)))
     return parts[0] if len(parts) == 1 else _combined(parts, params, runs)
 
 
@@ -380,6 +382,7 @@ def _loop(
     weights: Mapping[int, float] | None,
     journal: Journal | None = None,
     stop_after: int | None = None,
+    given: Model | None = None,
 ) -> EMResult:
     spark = rows.sparkSession
     seed_rows = (
@@ -390,9 +393,11 @@ def _loop(
         )
         .where(F.col("run").isin(list(runs)))
     )
-    first = class_cells(seed_rows, params)
+    first = class_cells(seed_rows, params) if given is None else given.cells
     if journal:
         supervised = Model(journal.kept("supervised", first), params, runs, True)
+    elif given is not None:
+        supervised = given
     else:
         supervised = Model(first, params, runs).frozen("supervised")
     labels = scoring.labels_of(supervised.cells)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -171,26 +171,33 @@ def compare_on_samples(
     way: str = "inline",
 ) -> DataFrame:
     """``(variant, n_sup, trial, n_rows, accuracy)``: supervised accuracy of several
-    parameter sets on the same balanced samples."""
-    runs = tuple(c.run for c in cells)
+    parameter sets on the same balanced samples.
+
+    Variants that differ only in ``normalise`` are runs of one model: one aggregate fits them,
+    one pass over the test rows scores them.
+    """
+    n = len(cells)
     # on the index alone, so that rows outside every window are dropped before any work
     inside = train.where(F.col("ind") < max(c.start + c.n_sup for c in cells))
     inside = inside.where(F.col("ind") >= min(c.start for c in cells))
-    out = []
+    alike: dict[Params, list[str]] = {}
     for name, params in variants.items():
+        alike.setdefault(replace(params, normalise=True), []).append(name)
+    out = []
+    for params, names in alike.items():
+        each = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(not variants[v].normalise).alias("raw")) for i, v in enumerate(names)])
         sample = inside.select(
-            F.explode(known_runs(cells)).alias("run"), params.label, params.buckets, params.counts
+            F.explode(known_runs(cells)).alias("_cell"), params.label, params.buckets, params.counts
+        ).withColumn("_variant", F.explode(each))
+        sample = sample.withColumn("run", F.col("_cell") + n * F.col("_variant.at")).withColumn("row_raw", F.col("_variant.raw"))
+        runs = {c.run + n * i: (v, c) for i, v in enumerate(names) for c in cells}
+        model = Model(class_cells(sample.drop("_cell", "_variant"), params), params, tuple(runs)).frozen("variants")
+        table = train.sparkSession.createDataFrame(
+            [(run, v, c.n_sup, c.trial) for run, (v, c) in runs.items()], "run int, variant string, n_sup int, trial int"
         )
-        model = Model(class_cells(sample, params), params, runs).frozen(name)
-        out.append(
-            run_accuracy(test, model, id_col, way).select(
-                F.lit(name).alias("variant"), "run", "n_rows", "accuracy"
-            )
-        )
-    table = train.sparkSession.createDataFrame(
-        [(c.run, c.n_sup, c.trial) for c in cells], "run int, n_sup int, trial int"
-    )
-    return reduce(DataFrame.unionByName, out).join(table, "run").drop("run")
+        done = run_accuracy(test, model, id_col, way).join(table, "run")
+        out.append(done.select("variant", "n_rows", "accuracy", "n_sup", "trial"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def share_sweep(
