@@ -8,12 +8,12 @@ last sequence.  Uncompressed batches of fixed width give any sequence by
 arithmetic on a memory map, without a copy.  A second file per range lists its
 documents (doc_id, start in the file, n_tokens).
 
-Tasks write under their own attempt's name and move the finished file into place, so a
-lost executor's work is simply done again.  The manifest has one row per file, and
-the starts of files are sums over it.
+A file's name holds the attempt that wrote it, and the manifest has one row for each file of
+an attempt that Spark accepted, so a lost executor's work is simply done again and files of
+two attempts never mix.  The starts of files are sums over the manifest.
 
 Defined cases: a null or empty text is the end id alone; null ids come first;
-repeated ids keep the order of their files' rows.  An empty table writes no file and
+repeated ids are ordered by the hash of their text.  An empty table writes no file and
 reads back as no rows.  Other columns are ignored.
 """
 
@@ -139,7 +139,8 @@ def _write(folder: str, length: int, end_id: int, tokenizer: str, vocabulary: in
         part, own = context.partitionId(), f"{context.taskAttemptId()}-{uuid.uuid4().hex}"
         rows, first = 0, None
         index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        with store.open_output_stream(f"{root}/.{own}.ids") as sink, store.open_output_stream(f"{root}/.{own}.docs") as side:
+        name = f"part-{part:06d}-{own}"
+        with store.open_output_stream(f"{root}/{name}.ids.arrow") as sink, store.open_output_stream(f"{root}/{name}.docs.arrow") as side:
             writer, index = SequenceWriter(sink, length, vocabulary), pa.ipc.new_file(side, index_schema)
             while batch is not None:
                 starts, counts = [], []
@@ -155,9 +156,6 @@ def _write(folder: str, length: int, end_id: int, tokenizer: str, vocabulary: in
                 batch = next(batches, None)
             writer.close()
             index.close()
-        name = f"part-{part:06d}"
-        for kind in ("ids", "docs"):
-            store.move(f"{root}/.{own}.{kind}", f"{root}/{name}.{kind}.arrow")
         yield pa.RecordBatch.from_arrays(
             [pa.array([name]), pa.array([part], pa.int32()), pa.array([rows], pa.int64()), pa.array([writer.total], pa.int64())],
             names=["name", "part", "n_docs", "n_ids"],
@@ -172,7 +170,7 @@ def write_tokens(
 ) -> DataFrame:
     """Write the files and return the manifest: name, part, n_docs, n_ids, start (ids of earlier files)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = whole_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = whole_text(docs, hashed=True).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text_hash")
     manifest = written(
         ordered.mapInArrow(_write(folder, length, end_id, tokenizer, vocabulary), "name string, part int, n_docs long, n_ids long"),
         "manifest",

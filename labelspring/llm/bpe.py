@@ -16,6 +16,8 @@ from array import array
 
 from public_tokenizers import path
 
+from labelspring.llm.common import keeps
+
 KEPT_PARTS = 200_000  # parts in each of two generations remembered by one worker
 KEPT_CHARS = 48  # longer parts are not remembered
 
@@ -130,3 +132,6 @@ class Encoder:
         parts = _CUT.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
         first = self.whole(parts[0]) if parts[0] else b""
         return first + b"".join(map(self.parts.__getitem__, parts[1:]))
+
+
+keeps("bpe", Encoder._shared.clear)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspring.runtime import scratch_path
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = str(8 << 20)
+
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,10 +32,58 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """``df`` as a Parquet table in the shared folder: no lineage, exact size, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with small_batches(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of at most BATCH_BYTES to and from Python for the jobs inside.
+
+    Spark holds a few of them for every task, outside its heap, and the worker as many.
+    """
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Tell that worker processes keep something for ``owner``, and how to drop it."""
+    _kept[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    """Drop, in this worker, what is kept for others."""
+    for name, forget in _kept.items():
+        if name != owner:
+            forget()
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = ""):
+    """The Arrow function ``run``, whose worker first drops what it keeps for others than ``owner``.
+
+    Workers serve one stage after the other, and so would hold the memories of all of them.
+    At the end freed buffers go back to the system.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, A_TO_Z, A_TO_Z.lower())

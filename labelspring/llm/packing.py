@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.llm.bpe import Encoder
-from labelspring.llm.common import whole_text, written
+from labelspring.llm.common import releasing, whole_text, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -68,7 +68,7 @@ def _pieces(capacity: int, end_id: int, tokenizer: str):
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     return whole_text(docs).mapInArrow(
-        _pieces(capacity, end_id, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        releasing(_pieces(capacity, end_id, tokenizer), "bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

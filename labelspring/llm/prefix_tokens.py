@@ -28,7 +28,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame
 
 from labelspring.llm.bpe import Memory
-from labelspring.llm.common import whole_text
+from labelspring.llm.common import keeps, whole_text
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -261,6 +261,9 @@ class PieceCounter:
         return PrefixTable(self, text)
 
 
+keeps("prefix", PieceCounter._shared.clear)
+
+
 class PrefixTable:
     """Counts of all prefixes of one text: sums at word borders, and each word's own counts."""
 

@@ -1,5 +1,6 @@
 """Operators of the package against brute-force versions, on odd rows and on given tables."""
 
+import functools
 import hashlib
 import os
 import random
@@ -294,11 +295,16 @@ def test_induced_sorting(held):
         assert list(induced_sort.sorted_suffixes(numbers, held)) == list(zip(order, common))
 
 
-def encoded(t):
+@functools.cache
+def library_tokenizer():
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text(t), add_special_tokens=False).ids
+    return Tokenizer.from_file(path("byte_bpe_50k.json"))
+
+
+def encoded(t):
+    return library_tokenizer().encode(text(t), add_special_tokens=False).ids
 
 
 def test_packing(odd, empty):
@@ -387,9 +393,9 @@ def test_token_counts(odd, empty):
 
 
 def test_encoder_cuts_safely():
-    letters = list("abcé ñ\n\t 。中😀01.,;'") + [" ", "  "]
+    letters = list("abcé ñ\n\t 。中😀01.,;'$!_²Ⅷ") + [" ", "  ", " ab", " the.\nIt", " It's", " x$$\n", "!.\nÉa,"]
     encoder = bpe.Encoder.shared()
-    for _ in range(400):
+    for _ in range(20_000):
         t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(encoder.encode(t), dtype="<u4").tolist() == encoded(t)
 
@@ -547,3 +553,28 @@ def test_new_words_are_learnt_like_single_ones():
     counter.learn(words)
     for w in words:
         assert counter.totals[w] == counter.prefix_counts(prefix_tokens.SPACE + w)[-1]
+
+
+def test_repeated_blocks_go():
+    block = [11, 12, 13]
+    later = [1, *block, 2, *block, 3, *block, 4]
+    assert line_diff.aligned_blocks(later, [7, *block, 8], set(block)) == [1, 2, 3, 5, 6, 7, 9, 10, 11]
+    # nothing in this gap is unique on both sides
+    assert line_diff.aligned_blocks([5, 6, 5, 6, 1], [2, 6, 5, 6, 5], {5, 6}) == [0, 1, 2, 3]
+    assert line_diff.aligned_blocks([0, 0, 9], [0, 8, 0], {9}) == []
+
+
+def test_alignment_is_a_common_subsequence():
+    for _ in range(300):
+        later, earlier = ([rng.randrange(7) for _ in range(rng.randrange(15))] for _ in range(2))
+        pairs = line_diff.patience(later, earlier)
+        assert all(later[i] == earlier[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        if {x for x in later if x} & set(earlier):
+            assert pairs
+        anchors = set(earlier) - {0}
+        gone = line_diff.aligned_blocks(later, earlier, anchors)
+        assert gone == sorted(set(gone)) and all(later[i] in earlier for i in gone)
+        # with every line an anchor nothing that is common stays, but blank lines
+        rest = [x for i, x in enumerate(later) if i not in set(gone)]
+        assert not {x for x in rest if x} & set(earlier)
