@@ -16,8 +16,7 @@ def docs(spark):
     return spark.createDataFrame(DOCS, "doc_id long, text string, kind string, prediction int")
 
 
-@pytest.mark.parametrize("expectation", [None, em.EMParams(max_epoch=3)])
-@pytest.mark.parametrize("way", ["inline", "joined"])
+@pytest.mark.parametrize("expectation,way", [(None, "inline"), (em.EMParams(max_epoch=3), "joined")])
 def test_saved_classifier_predicts_the_same(spark, docs, tmp_path, expectation, way):
     settings = Settings(label="kind", way=way)
     fitted = TextClassifier.fit(docs, PARAMS, settings, expectation)
