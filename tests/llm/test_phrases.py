@@ -108,8 +108,7 @@ def table(seed, docs=60, words=12, length=80):
     return rows + [(None, "big red house", "en"), (90, None, "en"), (91, "", None), (91, "", None)] + rows[:20]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("shard,capacity", [(1 << 20, 1 << 20), (50, 64)])
+@pytest.mark.parametrize("seed,shard,capacity", [(1, 1 << 20, 1 << 20), (2, 50, 64)])
 def test_whole_table_equals_brute_force(spark, seed, shard, capacity):
     rows = table(seed)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
