@@ -44,9 +44,9 @@ COVERED = 80  # a phrase goes if a longer one has this percentage of its occurre
 SCALE = 2_000_000
 
 SHARD_WORDS = 1 << 20  # words of a shard; one longer text is a shard of its own
-HELD_SHARDS = 3  # a task gives all its shards to Spark when they hold this many times as many words
+HELD_SHARDS = 2  # a task gives all its shards to Spark when they hold this many times as many words
 SLICE = 1 << 20  # bytes that are split into words at once
-CAPACITY = 1 << 20  # entries of a filter before it is given to Spark
+CAPACITY = 3 << 18  # entries of a filter before it is given to Spark
 BITMAP = 1 << 27  # most bits of a bitmap: 16 MB
 SPARSE = 16  # bits for each frequent phrase, while the bitmap has room
 
