@@ -52,7 +52,11 @@ def longest_increasing(values: list[int]) -> list[int]:
 
 
 def patience(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
-    """Aligned (later, earlier) places: unique common lines in order, then the gaps between, then equal neighbours."""
+    """Aligned (later, earlier) places: unique common lines in order, then the gaps between, then equal neighbours.
+
+    Blank lines (0) are aligned as neighbours only.  A gap without unique common lines goes by
+    the order of their occurrences.
+    """
     pairs: list[tuple[int, int]] = []
     stack = [(0, len(later), 0, len(earlier))]
     while stack:
@@ -67,20 +71,29 @@ def patience(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
             continue
         here, there = Counter(later[a:b]), Counter(earlier[c:d])
         place = {earlier[j]: j for j in range(c, d) if there[earlier[j]] == 1}
-        common = [i for i in range(a, b) if here[later[i]] == 1 and later[i] in place]
-        chain = [common[k] for k in longest_increasing([place[later[i]] for i in common])]
-        if not chain:
-            continue
+        common = [i for i in range(a, b) if later[i] and here[later[i]] == 1 and later[i] in place]
+        meets = {i: place[later[i]] for i in common} or by_occurrence(later, earlier, a, b, c, d)
+        common = list(meets)
+        chain = [common[k] for k in longest_increasing(list(meets.values()))]
         left, low = a, c
         for i in chain:
-            j = place[later[i]]
+            j = meets[i]
             pairs.append((i, j))
             stack.append((left, i, low, j))
             left, low = i + 1, j + 1
-        stack.append((left, b, low, d))
+        if chain:
+            stack.append((left, b, low, d))
     return sorted(pairs)
 
 
+def by_occurrence(later: list[int], earlier: list[int], a: int, b: int, c: int, d: int) -> dict[int, int]:
+    """In a gap without lines unique on both sides: the k-th of equal lines meets the k-th, blank ones aside."""
+    places: dict[int, list[int]] = {}
+    for j in range(d - 1, c - 1, -1):
+        places.setdefault(earlier[j], []).append(j)
+    return {i: places[later[i]].pop() for i in range(a, b) if later[i] and places.get(later[i])}
+
+
 def aligned_blocks(later: list[int], earlier: list[int], anchors: set[int]) -> list[int]:
     """Places of the later document in aligned blocks with an anchor line."""
     out: list[int] = []
