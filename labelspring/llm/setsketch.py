@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.llm import words
-from labelspring.llm.common import whole_text, without, written
+from labelspring.llm.common import releasing, whole_text, without, written
 
 ROWS = 4  # registers in a band
 MISS = 1e-6  # probability that a pair at the threshold shares no band
@@ -49,6 +49,7 @@ RATE = 20.0  # rate of the exponential variates
 TOP = (1 << 16) - 2  # registers are truncated to 0 .. TOP + 1
 DEVIATIONS = 6  # estimates this far below the threshold are dropped before the check
 PARITIES = 1024  # hash classes whose parity is kept, 64 in a long
+PART = 256  # members of a bucket that one key of a later round's join holds
 BLOCK = 4096  # elements of a set whose variates are made at once
 _U = np.uint64
 
@@ -120,7 +121,7 @@ def _sketches(size: int, bands: int):
                 n = end - first
                 counts = np.zeros(n, np.int64)
                 digests = np.zeros((n, 2), _U)
-                registers = np.zeros((n, bands * ROWS), np.int64)
+                registers = np.zeros((n, bands * ROWS), np.int32)
                 odd = np.zeros((n, PARITIES // 64), np.int64)
                 for i in range(n):
                     s = words.shingles(hashes[at[i] : at[i + 1]], size)
@@ -129,7 +130,7 @@ def _sketches(size: int, bands: int):
                         digests[i] = s.sum(), words.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum()
                         registers[i] = sketch(s, a, b)
                         odd[i] = parities(s)
-                flat = pa.array(registers.astype(np.int32).ravel())
+                flat = pa.array(registers.ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, n),
@@ -165,13 +166,13 @@ def _sets(size: int):
 def sketch_documents(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     bands = band_count(threshold)
     return whole_text(docs, hashed=True).mapInArrow(
-        _sketches(size, bands),
+        releasing(_sketches(size, bands)),
         "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, registers array<int>, odd array<long>",
     )
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    return whole_text(docs).mapInArrow(_sets(size), "doc_id long, elements array<long>")
+    return whole_text(docs).mapInArrow(releasing(_sets(size)), "doc_id long, elements array<long>")
 
 
 def connected_components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -286,22 +287,25 @@ def _more_pairs(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame,
 
     The smallest member of a bucket and about ``hubs`` others, chosen by hash, meet all members
     that their sizes and parities allow.  A bucket of up to ``hubs`` members is finished at once.
+    The members of a large bucket are dealt over parts of about PART, and its hubs repeated for each.
     """
     is_hub = (F.col("doc_id") == F.col("first")) | (
         F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("members") / hubs).cast("long")) == 0
     )
-    marked = members.withColumn("is_hub", is_hub)
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    part = F.pmod(F.xxhash64("bucket", "doc_id"), parts).cast("int")
+    marked = members.withColumn("is_hub", is_hub).withColumn("part", part)
     hub = marked.where("is_hub").select(
-        F.col("bucket").alias("b"), F.col("doc_id").alias("h"), F.col("component").alias("of_h"),
+        F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), F.col("doc_id").alias("h"), F.col("component").alias("of_h"),
         F.col("n_shingles").alias("n_h"), F.col("odd").alias("odd_h"),
     )
     possible = (
-        (F.col("bucket") == F.col("b")) & (F.col("component") != F.col("of_h"))
+        (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")) & (F.col("component") != F.col("of_h"))
         & (100 * F.least("n_shingles", "n_h") >= percent * F.greatest("n_shingles", "n_h"))
         & may_link("odd", "odd_h", "n_shingles", "n_h", percent)
     )
     pairs = marked.join(hub, possible).select(F.least("doc_id", "h").alias("u"), F.greatest("doc_id", "h").alias("v"))
-    return pairs.distinct(), marked.where("not is_hub").drop("is_hub")
+    return pairs.distinct(), marked.where("not is_hub").drop("is_hub", "part")
 
 
 def _of_documents(sketches: DataFrame, classes: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.llm import words
-from labelspring.llm.common import whole_text
+from labelspring.llm.common import releasing, whole_text
 
 SAMPLE = 8_000  # labelled rows used for fitting
 TERMS = 512  # terms with a weight
@@ -41,6 +41,8 @@ STEPS = 400
 GRADE_AT = (2, 4)  # terms from which a toxic row has grade 2 and 3
 LIMIT = 0.5  # probability of grade 1 or more from which a document is rejected
 
+OUT_ROWS = 1000  # rows given back at once
+
 
 @dataclass
 class Model:
@@ -77,7 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     )
     rows = whole_text(docs).join(F.broadcast(chosen), "doc_id")
-    return rows.select("doc_id", "text", "grade").mapInArrow(_distinct_terms, "grade int, terms array<long>").limit(2 * size)
+    return rows.select("doc_id", "text", "grade").mapInArrow(releasing(_distinct_terms), "grade int, terms array<long>").limit(2 * size)
 
 
 def select_terms(terms: list[np.ndarray], toxic: np.ndarray, limit: int) -> np.ndarray:
@@ -201,7 +203,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "p_toxic", "expected_severity", "grade", "rejected"],
             )
 
-    return whole_text(docs).mapInArrow(run, "doc_id long, p_toxic double, expected_severity double, grade int, rejected boolean")
+    return whole_text(docs).mapInArrow(releasing(run), "doc_id long, p_toxic double, expected_severity double, grade int, rejected boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -210,7 +212,9 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(at), "")
-            yield batch.filter(pa.array(model.above(linear_scores(texts, model))[:, 0] < LIMIT))
+            for first in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(first, OUT_ROWS)
+                texts = pc.fill_null(part.column(at), "")
+                yield part.filter(pa.array(model.above(linear_scores(texts, model))[:, 0] < LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # bytes of text that are hashed at once; a longer document is a slice of its own
+SLICE_BYTES = 512 << 10  # bytes of text that are hashed at once; a longer document is a slice of its own
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
