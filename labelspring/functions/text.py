@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelspring.functions import sql
+from labelspring.functions.blocks import row_blocks
 from labelspring.functions.stopwords import ENGLISH_STOP_WORDS
 
 # Token pattern and shortest token kept.
@@ -85,6 +91,47 @@ def hashed_counts(tokens: str, n_features: int, hash_fn: str = "md5") -> str:
     return sql.bind("o", ordered, sql.bind("f", starts, counted))
 
 
+def _md5_counts(n_features: int):
+    """Arrow function with the result of ``hashed_counts``; hashes the distinct tokens of a batch once."""
+
+    @F.arrow_udf("struct<buckets:array<int>,counts:array<int>,n_terms:int>")
+    def count(tokens: pa.Array) -> pa.Array:
+        sizes = tokens.value_lengths().to_numpy()
+        coded = tokens.flatten().dictionary_encode()
+        terms = coded.dictionary.cast(pa.binary()).to_pylist()
+        # a null token sorts before all buckets
+        bucket_of_code = np.array(
+            [int.from_bytes(hashlib.md5(t).digest()[:4], "big") % n_features for t in terms] + [-1], dtype=np.int64
+        )
+        bucket = bucket_of_code[coded.indices.fill_null(len(terms)).to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        found, counts, n_found = [], [], np.zeros(len(sizes), dtype=np.int64)
+        for first, stop in row_blocks(ends):
+            owner = np.repeat(np.arange(stop - first), sizes[first:stop])
+            key = np.sort(owner * (n_features + 1) + bucket[ends[first] : ends[stop]] + 1)
+            row, place = np.divmod(key, n_features + 1)
+            # as in SQL, where a comparison with a null starts no new run
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | ((place[1:] != place[:-1]) & (place[:-1] > 0))
+            start = np.flatnonzero(new)
+            found.append(place[start] - 1)
+            counts.append(np.diff(np.append(start, len(key))))
+            n_found[first:stop] = np.bincount(row[start], minlength=stop - first)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n_found)]), pa.int32())
+        found = np.concatenate([np.zeros(0, np.int64), *found])
+        counts = np.concatenate([np.zeros(0, np.int64), *counts])
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32(), mask=found < 0)),
+                pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
+                pa.array(sizes, pa.int32()),
+            ],
+            names=["buckets", "counts", "n_terms"],
+        )
+
+    return count
+
+
 def with_hashed_counts(
     df: DataFrame,
     tokens: str,
@@ -101,7 +148,11 @@ def with_hashed_counts(
     if n_features < 1:
         raise ValueError("n_features must be positive")
     kept = [sql.name(c) for c in (keep if keep is not None else df.columns)]
-    hashed = df.selectExpr(*kept, f"{hashed_counts(tokens, n_features, hash_fn)} AS _hashed")
+    if hash_fn == "md5":
+        words = F.expr(f"coalesce({tokens}, CAST(array() AS ARRAY<STRING>))")
+        hashed = df.select(*[F.expr(c) for c in kept], _md5_counts(int(n_features))(words).alias("_hashed"))
+    else:
+        hashed = df.selectExpr(*kept, f"{hashed_counts(tokens, n_features, hash_fn)} AS _hashed")
     return hashed.selectExpr(*kept, "_hashed.buckets", "_hashed.counts", "_hashed.n_terms")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions import sql
+from labelspring.functions.blocks import row_blocks
 from labelspring.functions.vectors import length_of
 from labelspring.operators.joins import HOT
 from labelspring.plans.bayes import Model, Params
@@ -32,7 +33,6 @@ from labelspring.runtime import durable
 TIE = 1e-9
 JOINED_SLOTS = 96  # (run, class) sums of one joined pass; what generated code takes in one piece
 WAYS = ("inline", "joined")
-_BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -170,17 +170,12 @@ def _row_scorer(spark, bias: np.ndarray, weights: np.ndarray):
         start = counts.offsets.to_numpy()[0] - ends[0]
         index, value = buckets.values.to_numpy(), counts.values.to_numpy()
         out = np.tile(b, (n, 1))
-        row = 0
-        while row < n:
-            # bound the working set by terms, not rows: documents vary in length
-            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + _BLOCK, "right")) - 1)
-            stop = min(stop, n)
+        for row, stop in row_blocks(ends):
             lo, hi = ends[row], ends[stop]
             owner = np.repeat(np.arange(stop - row), np.diff(ends[row : stop + 1]))
             j, x = index[lo:hi], value[lo + start : hi + start]
             for c in range(m):
                 out[row:stop, c] += np.bincount(owner, weights=w[c, j] * x, minlength=stop - row)
-            row = stop
         offsets = pa.array(np.arange(0, (n + 1) * m, m, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
 
@@ -244,7 +239,8 @@ def frequent_features(rows: DataFrame, params: Params) -> DataFrame:
     A feature's terms are dealt out over its copies, so that none of them gets more than a
     fixed share of all terms.  Depends on the rows alone: one table serves all epochs and models.
     """
-    terms = rows.select(F.explode(params.buckets).alias("bucket"))
+    # outer, or the planner would put a size filter below and make the buckets twice
+    terms = rows.select(F.explode_outer(params.buckets).alias("bucket")).where(F.col("bucket").isNotNull())
     counts = durable(terms.groupBy("bucket").agg(F.count("*").alias("n")), "feature_counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     copies = F.ceil(F.col("n") * (8 * HOT) / F.lit(max(1, total))).cast("int").alias("_copies")
@@ -329,7 +325,8 @@ def with_raw(
     if len(model.runs) > runs_at_once(way, model.params, len(labels)):
         raise ValueError(f"{len(model.runs)} runs do not fit one {way} pass")
     if way == "joined":
-        return with_raw_joined(rows, model, labels, id_col)
+        # read three times
+        return with_raw_joined(durable(rows, "rows"), model, labels, id_col)
     return with_raw_inline(
         rows, DenseModel.from_cells(model.cells.toArrow(), model.params, model.runs, labels)
     )

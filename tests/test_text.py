@@ -10,6 +10,7 @@ from labelspring.functions.text import (
     TOKEN_PATTERN,
     bucket_of,
     explode_counts,
+    hashed_counts,
     regex_tokens,
     space_tokens,
     with_hashed_counts,
@@ -99,3 +100,12 @@ def test_unknown_hash_and_size_are_rejected(spark):
 
 def test_java_hash_uses_utf16_units(spark):
     assert spark.sql(f"SELECT {bucket_of(repr('😀ok'), 1000, 'java')} AS b").first().b == 487
+
+
+def test_batched_counts_are_those_of_sql(spark):
+    words = [["b", "a", "b", None, None], [], None, ["é", "b", None], ["x"]]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id int, w array<string>")
+    got = with_hashed_counts(rows, "w", 7, keep=("doc_id",))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    want = rows.selectExpr("doc_id", f"{hashed_counts('w', 7)} AS h").selectExpr("doc_id", "h.*")
+    assert got.orderBy("doc_id").collect() == want.orderBy("doc_id").collect()
