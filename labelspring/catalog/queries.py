@@ -215,8 +215,10 @@ def nested_numbers(spark, folder):
         "number": "concat('(', 'x', substring(line, 2))",
         "deeper": "concat('((', line, '), [ 1.5,2,])')",
     }
-    broken = [lines.selectExpr("doc_id", f"'{name}' AS variant", f"{how} AS line") for name, how in variants.items()]
-    parsed = nested_text.parse_nested(reduce(DataFrame.unionByName, broken), "line")
+    # one row for each variant of a line that is made once
+    each = ", ".join(f"named_struct('variant', '{name}', 'line', {how})" for name, how in variants.items())
+    broken = lines.selectExpr("doc_id", f"explode(array({each})) AS _v").selectExpr("doc_id", "_v.variant", "_v.line")
+    parsed = nested_text.parse_nested(broken, "line")
     return parsed.selectExpr(
         "doc_id", "variant", "error", "error_at", "md5(shape) AS shape_md5", "size(numbers) AS n_numbers",
         "round(aggregate(numbers, 0D, (s, x) -> s + x), 6) AS total",

@@ -4,6 +4,7 @@ A tuple ``( )`` holds numbers, arrays and tuples, an array ``[ ]`` numbers; a co
 before it, and may be the last thing before a close.  What follows the first complete value
 is ignored.  The line is checked by a stack machine over its tokens: one aggregate per
 row, whose state is the stack of open brackets, so nesting has no limit and nothing is shuffled.
+Plain numbers that each have a comma behind them are one token, as they leave any open bracket as it is.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ from pyspark.sql import DataFrame
 
 from labelspring.functions import sql
 
-TOKEN = r"[()\[\],]|[^()\[\],]+"
+ITEM = r"[^()\[\],]+"
+TOKEN = rf"[()\[\],]|{ITEM}"
+# behind a bracket or comma only: what stands first in a line may be the whole value
+RUN = r"(?<=[()\[\],])(?:[0-9]++(?:\.[0-9]++)?+,){1,200}+"
 BLANK = r"^[\x00-\x20]*$"
+# the same inside a line; ``$`` lets one line end of Unicode stand behind the blanks
+BLANK_ITEM = r"(?<=^|[()\[\],])(?:[\x00-\x20]++[\u0085\u2028\u2029]?+|[\u0085\u2028\u2029])(?=$|[()\[\],])"
 
 NO_TOKEN, BAD_COMMA, MISSING_CLOSE, BAD_NUMBER = "no token", "bad comma", "missing close", "bad number"
 
@@ -30,6 +36,7 @@ def _step() -> str:
     comma = f"IF(s.comma, {_state(comma='false')}, {_state(error=sql.literal(BAD_COMMA))})"
     return f"""CASE
         WHEN s.error IS NOT NULL OR (s.at > 0 AND s.stack = '') THEN s
+        WHEN right(t, 1) = ',' AND t <> ',' THEN {_state(comma='false')}
         WHEN t IN ('(', '[') AND {top} <> '[' THEN {_state(push, 'false')}
         WHEN s.stack = '' THEN {number}
         WHEN t = ',' THEN {comma}
@@ -52,7 +59,7 @@ def checked_tokens(line: str) -> str:
     place = f"""CASE WHEN size(a) = 0 THEN 1 WHEN f.error IS NOT NULL THEN {before} + 1
         WHEN f.stack <> '' THEN aggregate(a, 0, (n, t) -> n + length(t)) + 1 END"""
     result = f"named_struct('tokens', slice(a, 1, f.at), 'error', {error}, 'error_at', {place})"
-    tokens = f"regexp_extract_all(coalesce({line}, ''), {sql.literal(TOKEN)}, 0)"
+    tokens = f"regexp_extract_all(coalesce({line}, ''), {sql.literal(f"{RUN}|{TOKEN}")}, 0)"
     return sql.bind("a", tokens, sql.bind("f", final, result))
 
 
@@ -62,14 +69,16 @@ def parse_nested(df: DataFrame, line: str = "value") -> DataFrame:
     ``shape`` is the value with ``n`` for every number and without blanks, ``numbers`` are its
     numbers in order, so both together are the value; a bad line has neither.
     """
-    kind = f"CASE WHEN t IN ('(', ')', '[', ']', ',') THEN t WHEN t RLIKE {sql.literal(BLANK)} THEN '' ELSE 'n' END"
     names = ("shape", "numbers", "error", "error_at")
     kept = [sql.name(c) for c in df.columns if c not in names]
     checked = df.selectExpr(*[sql.name(c) for c in df.columns], f"{checked_tokens(sql.name(line))} AS _checked")
-    return checked.selectExpr(
+    value = checked.selectExpr(*kept, "_checked.error", "_checked.error_at", "IF(_checked.error IS NULL, array_join(_checked.tokens, ''), NULL) AS _value")
+    shape = f"regexp_replace(regexp_replace(_value, {sql.literal(BLANK_ITEM)}, ''), {sql.literal(ITEM)}, 'n')"
+    items = f"regexp_extract_all(_value, {sql.literal(ITEM)}, 0)"
+    return value.selectExpr(
         *kept,
-        f"IF(_checked.error IS NULL, array_join(transform(_checked.tokens, t -> {kind}), ''), NULL) AS shape",
-        "IF(_checked.error IS NULL, filter(transform(_checked.tokens, t -> try_cast(t AS DOUBLE)), x -> x IS NOT NULL), NULL) AS numbers",
-        "_checked.error AS error",
-        "_checked.error_at AS error_at",
+        f"{shape} AS shape",
+        f"filter(transform({items}, t -> try_cast(t AS DOUBLE)), x -> x IS NOT NULL) AS numbers",
+        "error",
+        "error_at",
     )

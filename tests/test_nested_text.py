@@ -126,3 +126,24 @@ def test_lines_of_split_files_keep_their_order(spark, tmp_path, block):
     for r in read.withColumn("name", F.element_at(F.split("filename", "/"), -1)).collect():
         got.setdefault(r.name, {})[r.line] = r.value
     assert got == {name: dict(enumerate(content)) for name, content in lines.items()}
+
+
+def test_plain_numbers_are_one_token(spark):
+    """A long list is few steps of the stack machine; what is first in a line stays a token of its own."""
+    lines = spark.createDataFrame([("(" + "1,2.5," * 50 + "3)",), ("1,2,3",), ("(1,2,x,4)",), ("(1,2,,3)",)], "value string")
+    sizes = [r.n for r in lines.selectExpr(f"size({nested_text.checked_tokens('value')}.tokens) AS n").collect()]
+    assert sizes[:2] == [4, 1]
+    parsed = nested_text.parse_nested(lines).collect()
+    assert parsed[0].numbers == [1.0, 2.5] * 50 + [3.0] and parsed[0].shape == "(" + "n," * 100 + "n)"
+    assert (parsed[1].shape, parsed[1].numbers) == ("n", [1.0])
+    assert [(r.error, r.error_at) for r in parsed[2:]] == [("bad number", 6), ("bad comma", 6)]
+
+
+def test_variants_of_a_line_read_the_documents_once(spark, tmp_path):
+    from labelspring.catalog.queries import QUERIES
+
+    spark.createDataFrame([(1, "ab cd ab"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = QUERIES["nested_numbers"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert found.count() == 10
