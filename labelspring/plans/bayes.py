@@ -14,15 +14,18 @@ keeps the model as sparse as the data and the feature count a free parameter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions import sql
-from labelspring.functions.vectors import checked, length_multiplier, length_of, violation
+from labelspring.functions.blocks import rejected, row_blocks, row_values
+from labelspring.functions.vectors import length_multiplier, length_of, violation
 from labelspring.runtime import durable
 
 MODEL_TYPES = ("multinomial", "bernoulli")
@@ -30,6 +33,9 @@ MODEL_TYPES = ("multinomial", "bernoulli")
 # Negative buckets stand for the document row itself, so that class sizes and
 # hit counts come out of the same pass as the feature sums.
 ROW = -1
+_NO_BUCKET = -(1 << 31)
+
+HELD_CELLS = 1 << 20  # cells whose sums a task holds at once, 32 bytes each
 
 
 @dataclass(frozen=True)
@@ -61,40 +67,132 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
     towards ``df``), ``row_bucket`` (which negative bucket stands for the row),
     ``row_length`` (the sum of the counts, where it is known already) and ``row_raw`` (true
     for rows whose values are not normalised, whatever the parameters say).
-    Partial aggregation bounds the shuffle by classes x features per task, however
-    unequal the classes are.
+    Every task sums its rows by itself, without making a row of every term, which bounds the
+    shuffle by classes x features per task, however unequal the classes are.
     """
     counts, buckets = sql.name(params.counts), sql.name(params.buckets)
 
     def optional(column: str, otherwise: str) -> str:
         return column if column in rows.columns else otherwise
 
-    long = rows.selectExpr(
+    length = optional("row_length", length_of(counts))
+    prepared = rows.selectExpr(
         f"CAST({optional('run', '0')} AS INT) AS run",
         f"{sql.name(params.label)} AS label",
         f"CAST({optional('row_weight', '1')} AS DOUBLE) AS _w",
         f"CAST({optional('counted', '1')} AS INT) AS _counted",
-        f"{counts} AS _counts",
-        f"{optional('row_length', length_of(counts))} AS _length",
-        f"{optional('row_raw', 'false')} AS _raw",
-        f"concat(array(CAST({optional('row_bucket', str(ROW))} AS INT)), {buckets}) AS _buckets",
-    ).selectExpr(
-        "run", "label", "_w", "_counted", "_counts", "_length", "_raw",
-        # the arrays are never empty; outer only avoids a size filter below the scan
-        "posexplode_outer(_buckets) AS (_pos, bucket)",
-    ).selectExpr("run", "label", "_w", "_counted", "_length", "_raw", "bucket", "get(_counts, _pos - 1) AS _v")
-    value = "_v"
-    if params.validate:
-        value = checked(value, params.model_type)
-    if params.normalise:
-        value = f"({value}) * {length_multiplier('CASE WHEN _raw THEN 0 ELSE _length END')}"
-    return long.groupBy("run", "label", "bucket").agg(
-        F.expr("sum(_w) AS weight"),
-        F.expr(f"sum(_w * CASE WHEN bucket < 0 THEN 0D ELSE {value} END) AS mass"),
-        F.expr("sum(_counted) AS df"),
+        # a row without features keeps a cell of its own, outside all buckets
+        f"IF({buckets} IS NULL, NULL, CAST({optional('row_bucket', str(ROW))} AS INT)) AS _row_bucket",
+        f"coalesce({buckets}, CAST(array() AS ARRAY<INT>)) AS _buckets",
+        f"coalesce({counts}, array()) AS _counts",
+        f"{length_multiplier(f'CASE WHEN {optional('row_raw', 'false')} THEN 0 ELSE {length} END') if params.normalise else '1D'} AS _factor",
+    )
+    kind = rows.schema[params.label].dataType.simpleString()
+    partial = prepared.mapInArrow(
+        _partial_cells(params.model_type, params.validate),
+        f"run int, label {kind}, bucket int, weight double, mass double, df bigint",
+    )
+    return partial.groupBy("run", "label", "bucket").agg(
+        F.sum("weight").alias("weight"), F.sum("mass").alias("mass"), F.sum("df").alias("df")
     )
 
 
+def _partial_cells(model_type: str, validate: bool):
+    """Arrow function: sums of each (run, label, bucket) of the rows of a task.
+
+    Sums are held for at most HELD_CELLS cells, and handed on whenever others are needed; a block
+    of rows that has more of them by itself is summed by sorting.  Spark adds up what comes out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["run", "label", "bucket", "weight", "mass", "df"]
+        held: dict[tuple, np.ndarray] = {}
+        kind = None
+
+        def cells(keys: list[tuple], group: np.ndarray, bucket: pa.Array, sums: Sequence[np.ndarray]) -> pa.RecordBatch:
+            weight, mass, df = sums
+            runs = np.array([k[0] for k in keys], dtype=np.int32)[group]
+            labels = pa.array([k[1] for k in keys], kind).take(pa.array(group))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(runs), labels, bucket, pa.array(weight, pa.float64()), pa.array(mass, pa.float64()), pa.array(df.astype(np.int64))],
+                names=names,
+            )
+
+        def release() -> Iterator[pa.RecordBatch]:
+            for key, sums in held.items():
+                seen = np.flatnonzero(sums[3])
+                if len(seen):
+                    yield cells([key], np.zeros(len(seen), np.int64), pa.array(seen, pa.int32()), sums[:3, seen])
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(1).type
+            coded = batch.column(1).dictionary_encode(null_encoding="encode")
+            label_of = coded.dictionary.to_pylist()
+            numbers, group = np.unique(
+                batch.column(0).to_numpy() * np.int64(len(label_of)) + coded.indices.to_numpy(), return_inverse=True
+            )
+            keys = [(int(k) // len(label_of), label_of[int(k) % len(label_of)]) for k in numbers]
+            w, counted = batch.column(2).fill_null(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
+
+            # the rows themselves
+            row_bucket = batch.column(4)
+            code = row_bucket.fill_null(_NO_BUCKET).to_numpy().astype(np.int64)
+            found, at = np.unique(np.stack([group, code]), axis=1, return_inverse=True)
+            at = at.reshape(-1)
+            size = found.shape[1]
+            yield cells(
+                keys, found[0], pa.array(found[1], pa.int32(), mask=found[1] == _NO_BUCKET),
+                (np.bincount(at, w, size), np.zeros(size), np.bincount(at, counted, size)),
+            )
+
+            # their features
+            lengths = batch.column(5).value_lengths().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            bucket = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+            values = row_values(batch.column(5), batch.column(6))
+            if validate:
+                bad = np.flatnonzero(rejected(values, model_type))
+                if len(bad):
+                    allowed = "0 or 1" if model_type == "bernoulli" else "nonnegative"
+                    raise ValueError(f"{model_type} features must be {allowed}, found {values[bad[0]]}")
+            factor = batch.column(7).fill_null(0).to_numpy()
+            for first, stop in row_blocks(ends):
+                lo, hi = ends[first], ends[stop]
+                if lo == hi:
+                    continue
+                n = lengths[first:stop]
+                span = int(bucket[lo:hi].max()) + 1
+                cell = np.repeat(group[first:stop] * span, n) + bucket[lo:hi]
+                entry = np.repeat(w[first:stop], n)
+                mass = entry * (values[lo:hi] * np.repeat(factor[first:stop], n))
+                entries = entry, mass, np.repeat(counted[first:stop], n)
+                if len(keys) * span > HELD_CELLS:
+                    found, at = np.unique(cell, return_inverse=True)
+                    sums = [np.bincount(at, x, len(found)) for x in entries]
+                    yield cells(keys, found // span, pa.array(found % span, pa.int32()), sums)
+                    continue
+                size = len(keys) * span
+                sums = np.stack([np.bincount(cell, x, size) for x in (*entries, None)]).reshape(4, len(keys), span)
+                for i, key in enumerate(keys):
+                    if not sums[3, i].any():
+                        continue
+                    own = held.get(key)
+                    if own is None or own.shape[1] < span:
+                        wide = np.zeros((4, max(span, 0 if own is None else own.shape[1])))
+                        if own is not None:
+                            wide[:, : own.shape[1]] = own
+                        own = held[key] = wide
+                    own[:, :span] += sums[:, i]
+                if sum(x.shape[1] for x in held.values()) > HELD_CELLS:
+                    yield from release()
+        yield from release()
+
+    return run
+
+
 def feature_violations(rows: DataFrame, value: str, model_type: str) -> DataFrame:
     """How many long-form values the model type would reject."""
     return rows.agg(

@@ -169,3 +169,20 @@ def test_certainty(spark, p, ranked, positional):
 def test_normalise_array(spark):
     df = spark.createDataFrame([([1.0, 3.0],), ([0.0, 0.0],), ([],)], "x array<double>")
     assert [r.n for r in df.selectExpr(f"{vectors.normalise('x')} AS n").collect()] == [[0.25, 0.75], [0.0, 0.0], []]
+
+
+def test_cells_make_no_row_of_a_term(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(0, "a", [0, 2], [1, 3]), (0, "a", [2], [2]), (1, None, [5, 900], [1, 1]), (1, "b", [], []), (1, "b", None, None)],
+        "run int, label string, buckets array<int>, counts array<int>",
+    ).coalesce(1)
+    want = [
+        (0, "a", -1, 2.0, 0.0, 2), (0, "a", 0, 1.0, 0.25, 1), (0, "a", 2, 2.0, 1.75, 2),
+        (1, None, -1, 1.0, 0.0, 1), (1, None, 5, 1.0, 0.5, 1), (1, None, 900, 1.0, 0.5, 1),
+        (1, "b", None, 1.0, 0.0, 1), (1, "b", -1, 1.0, 0.0, 1),
+    ]
+    for held in (bayes.HELD_CELLS, 10, 1):
+        monkeypatch.setattr(bayes, "HELD_CELLS", held)
+        cells = bayes.class_cells(rows, bayes.Params(1000))
+        assert "Generate" not in cells._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, cells.collect()), key=str) == sorted(want, key=str)
