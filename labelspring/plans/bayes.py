@@ -67,6 +67,8 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
     towards ``df``), ``row_bucket`` (which negative bucket stands for the row),
     ``row_length`` (the sum of the counts, where it is known already) and ``row_raw`` (true
     for rows whose values are not normalised, whatever the parameters say).
+    A row that stands in many runs or classes carries ``roles`` instead, an array of ROLE structs, so
+    that its features go to Python once whatever their number.
     Every task sums its rows by itself, without making a row of every term, which bounds the
     shuffle by classes x features per task, however unequal the classes are.
     """
@@ -75,19 +77,21 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
     def optional(column: str, otherwise: str) -> str:
         return column if column in rows.columns else otherwise
 
+    if "roles" in rows.columns:
+        roles = "roles"
+        kind = rows.schema["roles"].dataType.elementType["label"].dataType.simpleString()
+    else:
+        # a row without features keeps a cell of its own, outside all buckets
+        own = f"IF({buckets} IS NULL, NULL, {optional('row_bucket', str(ROW))})"
+        roles = f"array({role(optional('run', '0'), sql.name(params.label), optional('row_weight', '1'), optional('counted', '1'), own)})"
+        kind = rows.schema[params.label].dataType.simpleString()
     length = optional("row_length", length_of(counts))
     prepared = rows.selectExpr(
-        f"CAST({optional('run', '0')} AS INT) AS run",
-        f"{sql.name(params.label)} AS label",
-        f"CAST({optional('row_weight', '1')} AS DOUBLE) AS _w",
-        f"CAST({optional('counted', '1')} AS INT) AS _counted",
-        # a row without features keeps a cell of its own, outside all buckets
-        f"IF({buckets} IS NULL, NULL, CAST({optional('row_bucket', str(ROW))} AS INT)) AS _row_bucket",
+        f"{roles} AS _roles",
         f"coalesce({buckets}, CAST(array() AS ARRAY<INT>)) AS _buckets",
         f"coalesce({counts}, array()) AS _counts",
         f"{length_multiplier(f'CASE WHEN {optional('row_raw', 'false')} THEN 0 ELSE {length} END') if params.normalise else '1D'} AS _factor",
     )
-    kind = rows.schema[params.label].dataType.simpleString()
     partial = prepared.mapInArrow(
         _partial_cells(params.model_type, params.validate),
         f"run int, label {kind}, bucket int, weight double, mass double, df bigint",
@@ -97,6 +101,14 @@ def class_cells(rows: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def role(run: str, label: str, weight: str, counted: str, row_bucket: str, featured: str = "true") -> str:
+    """SQL: ROLE struct, the part a row plays in one run and class; ``featured``: its features count."""
+    return (
+        f"named_struct('run', CAST({run} AS INT), 'label', {label}, 'weight', CAST({weight} AS DOUBLE),"
+        f" 'counted', CAST({counted} AS INT), 'row_bucket', CAST({row_bucket} AS INT), 'featured', {featured})"
+    )
+
+
 def _partial_cells(model_type: str, validate: bool):
     """Arrow function: sums of each (run, label, bucket) of the rows of a task.
 
@@ -126,68 +138,96 @@ def _partial_cells(model_type: str, validate: bool):
             held.clear()
 
         for batch in batches:
-            if not batch.num_rows:
+            n_roles = batch.column(0).value_lengths().fill_null(0).to_numpy()
+            roles = batch.column(0).flatten()
+            if not len(roles):
                 continue
-            kind = batch.column(1).type
-            coded = batch.column(1).dictionary_encode(null_encoding="encode")
+            run_of, label, weight, counted, row_bucket, featured = roles.flatten()
+            kind = label.type
+            coded = label.dictionary_encode(null_encoding="encode")
             label_of = coded.dictionary.to_pylist()
             numbers, group = np.unique(
-                batch.column(0).to_numpy() * np.int64(len(label_of)) + coded.indices.to_numpy(), return_inverse=True
+                run_of.to_numpy() * np.int64(len(label_of)) + coded.indices.to_numpy(), return_inverse=True
             )
             keys = [(int(k) // len(label_of), label_of[int(k) % len(label_of)]) for k in numbers]
-            w, counted = batch.column(2).fill_null(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
+            w, counted = weight.fill_null(0).to_numpy(), counted.fill_null(0).to_numpy()
+            featured = featured.fill_null(True).to_numpy(zero_copy_only=False)
 
             # the rows themselves
-            row_bucket = batch.column(4)
             code = row_bucket.fill_null(_NO_BUCKET).to_numpy().astype(np.int64)
-            found, at = np.unique(np.stack([group, code]), axis=1, return_inverse=True)
-            at = at.reshape(-1)
-            size = found.shape[1]
+            found, at = np.unique((group.astype(np.int64) << 32) + (code - _NO_BUCKET), return_inverse=True)
+            size = len(found)
+            code = (found & 0xFFFFFFFF) + _NO_BUCKET
             yield cells(
-                keys, found[0], pa.array(found[1], pa.int32(), mask=found[1] == _NO_BUCKET),
+                keys, found >> 32, pa.array(code, pa.int32(), mask=code == _NO_BUCKET),
                 (np.bincount(at, w, size), np.zeros(size), np.bincount(at, counted, size)),
             )
 
             # their features
-            lengths = batch.column(5).value_lengths().to_numpy()
+            lengths = batch.column(1).value_lengths().to_numpy()
             ends = np.concatenate([[0], np.cumsum(lengths)])
-            bucket = batch.column(5).flatten().to_numpy(zero_copy_only=False)
-            values = row_values(batch.column(5), batch.column(6))
+            bucket = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            values = row_values(batch.column(1), batch.column(2))
+            factor = batch.column(3).fill_null(0).to_numpy()
+            first_role = np.cumsum(n_roles) - n_roles
             if validate:
-                bad = np.flatnonzero(rejected(values, model_type))
+                owner = np.repeat(np.arange(len(n_roles)), n_roles)
+                taken = np.bincount(owner[featured], minlength=len(n_roles)) > 0
+                bad = np.flatnonzero(rejected(values, model_type) & np.repeat(taken, lengths))
                 if len(bad):
                     allowed = "0 or 1" if model_type == "bernoulli" else "nonnegative"
                     raise ValueError(f"{model_type} features must be {allowed}, found {values[bad[0]]}")
-            factor = batch.column(7).fill_null(0).to_numpy()
             for first, stop in row_blocks(ends):
                 lo, hi = ends[first], ends[stop]
                 if lo == hi:
                     continue
                 n = lengths[first:stop]
                 span = int(bucket[lo:hi].max()) + 1
-                cell = np.repeat(group[first:stop] * span, n) + bucket[lo:hi]
-                entry = np.repeat(w[first:stop], n)
-                mass = entry * (values[lo:hi] * np.repeat(factor[first:stop], n))
-                entries = entry, mass, np.repeat(counted[first:stop], n)
-                if len(keys) * span > HELD_CELLS:
-                    found, at = np.unique(cell, return_inverse=True)
-                    sums = [np.bincount(at, x, len(found)) for x in entries]
-                    yield cells(keys, found // span, pa.array(found % span, pa.int32()), sums)
-                    continue
-                size = len(keys) * span
-                sums = np.stack([np.bincount(cell, x, size) for x in (*entries, None)]).reshape(4, len(keys), span)
-                for i, key in enumerate(keys):
-                    if not sums[3, i].any():
+                scaled = values[lo:hi] * np.repeat(factor[first:stop], n)
+                for place in range(int(n_roles[first:stop].max())):
+                    # the role at this place of every row that has one: no row comes twice
+                    has = n_roles[first:stop] > place
+                    mine = first_role[first:stop][has] + place
+                    has[has] = featured[mine]
+                    mine = mine[featured[mine]]
+                    own, entry_bucket, mass = n, bucket[lo:hi], scaled
+                    if not has.all():
+                        own, chosen = n[has], np.repeat(has, n)
+                        entry_bucket, mass = entry_bucket[chosen], scaled[chosen]
+                    if not len(entry_bucket):
+                        continue
+                    some, among = np.unique(group[mine], return_inverse=True)
+                    cell = np.repeat(among * span, own) + entry_bucket
+                    if not (w[mine] == 1).all():
+                        mass = mass * np.repeat(w[mine], own)
+                    if len(some) * span > HELD_CELLS:
+                        found, cell = np.unique(cell, return_inverse=True)
+                        size = len(found)
+                    else:
+                        found, size = None, len(some) * span
+                    # the number of entries is all there is to sum where each counts once
+                    entries = np.bincount(cell, minlength=size).astype(float)
+                    sums = [
+                        entries if (x[mine] == 1).all() else np.bincount(cell, np.repeat(x[mine], own), size) for x in (w, counted)
+                    ]
+                    sums = [sums[0], np.bincount(cell, mass, size), sums[1], entries]
+                    if found is not None:
+                        yield cells(keys, some[found // span], pa.array(found % span, pa.int32()), sums[:3])
                         continue
-                    own = held.get(key)
-                    if own is None or own.shape[1] < span:
-                        wide = np.zeros((4, max(span, 0 if own is None else own.shape[1])))
-                        if own is not None:
-                            wide[:, : own.shape[1]] = own
-                        own = held[key] = wide
-                    own[:, :span] += sums[:, i]
-                if sum(x.shape[1] for x in held.values()) > HELD_CELLS:
-                    yield from release()
+                    sums = np.stack(sums).reshape(4, len(some), span)
+                    for i, number in enumerate(some):
+                        if not sums[3, i].any():
+                            continue
+                        key = keys[number]
+                        kept = held.get(key)
+                        if kept is None or kept.shape[1] < span:
+                            wide = np.zeros((4, max(span, 0 if kept is None else kept.shape[1])))
+                            if kept is not None:
+                                wide[:, : kept.shape[1]] = kept
+                            kept = held[key] = wide
+                        kept[:, :span] += sums[:, i]
+                    if sum(x.shape[1] for x in held.values()) > HELD_CELLS:
+                        yield from release()
         yield from release()
 
     return run

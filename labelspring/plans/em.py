@@ -29,7 +29,7 @@ from labelspring.functions import sql
 from labelspring.functions.vectors import checked, length_of
 from labelspring.plans import scoring
 from labelspring.plans.journal import Journal
-from labelspring.plans.bayes import Model, Params, class_cells
+from labelspring.plans.bayes import Model, Params, class_cells, role
 from labelspring.plans.likelihood import LN2, log_probs, relative_difference
 from labelspring.runtime import durable, spread
 
@@ -129,11 +129,11 @@ def _per_run(runs: Sequence[int], n_classes: int, *fields: str) -> str:
 
 
 def _free_weight(em: EMParams, weights: Mapping[int, float] | None) -> str:
-    """SQL: weight of an unlabelled row, which may differ by ``run``."""
+    """SQL: weight of an unlabelled row, which may differ by the run of its role ``a``."""
     if weights is None or em.weighting == "hard":
         return sql.literal(1.0 if em.weighting == "hard" else float(em.unlabeled_weight))
     own = " ".join(f"WHEN {int(r)} THEN {sql.literal(float(w))}" for r, w in weights.items())
-    return f"(CASE run {own} ELSE {sql.literal(float(em.unlabeled_weight))} END)"
+    return f"(CASE a.run {own} ELSE {sql.literal(float(em.unlabeled_weight))} END)"
 
 
 def _assignments(
@@ -144,10 +144,15 @@ def _assignments(
     runs: Sequence[int],
     weights: Mapping[int, float] | None = None,
 ) -> DataFrame:
-    """One row per (document, run) with its class, weight and marker."""
+    """The rows with their ``roles``: class, weight and marker in every run, as class_cells takes them."""
     label, buckets, counts = (sql.name(c) for c in (params.label, params.buckets, params.counts))
     soft = em.weighting == "soft"
-    fields = [f"'best', {scoring.best_of('own')}"]
+    # a row is a test row of all runs, or of those that its column ``held`` names
+    test = "array_contains(held, run)" if "held" in rows.columns else "(part = 'test')"
+    fields = [
+        f"'test', {test}", f"'settled', {test} OR array_contains(known, run)",
+        f"'guess', {scoring.label_at(scoring.best_of('own'), labels)}",
+    ]
     if soft:
         fields.append(f"'posterior', {scoring.posterior_of('own')}")
     each = _per_run(runs, len(labels), *fields)
@@ -155,45 +160,22 @@ def _assignments(
         # rows may be left out of some runs altogether
         each = f"filter({each}, a -> array_contains(used, a.run))"
     length = "row_length" if "row_length" in rows.columns else length_of(counts)
-    # a row is a test row of all runs, or of those that its column ``held`` names
-    test = "array_contains(held, _a.run)" if "held" in rows.columns else "(part = 'test')"
-    per_run = rows.selectExpr(
-        label, buckets, counts, f"{length} AS row_length",
-        *[c for c in ("part", "held") if c in rows.columns], "known", f"explode({each}) AS _a",
-    ).selectExpr(
-        "_a.run AS run",
-        f"{label} AS _truth",
-        f"CASE WHEN {test} THEN CAST(array() AS ARRAY<INT>) ELSE {buckets} END AS {buckets}",
-        counts,
-        "row_length",
-        f"{test} AS _test",
-        f"{test} OR array_contains(known, _a.run) AS _settled",
-        f"{scoring.label_at('_a.best', labels)} AS _guess",
-        *(["_a.posterior AS _posterior"] if soft else []),
-    )
     marker = (
-        f"CASE WHEN _test THEN IF(_truth <=> _guess, {TEST_HIT}, {TEST_MISS})"
-        f" WHEN NOT _settled THEN {UNLABELLED}"
-        f" WHEN _truth <=> _guess THEN {LABELLED_HIT} ELSE {LABELLED_MISS} END"
+        f"CASE WHEN a.test THEN IF({label} <=> a.guess, {TEST_HIT}, {TEST_MISS})"
+        f" WHEN {buckets} IS NULL THEN NULL WHEN NOT a.settled THEN {UNLABELLED}"
+        f" WHEN {label} <=> a.guess THEN {LABELLED_HIT} ELSE {LABELLED_MISS} END"
     )
-    hard = "CASE WHEN _settled THEN _truth ELSE _guess END"
+    hard = f"CASE WHEN a.settled THEN {label} ELSE a.guess END"
     free = _free_weight(em, weights)
-    shared = ["run", buckets, counts, "row_length", f"{marker} AS row_bucket"]
     if not soft:
-        return per_run.selectExpr(
-            *shared, f"{hard} AS {label}", f"CASE WHEN _settled THEN 1D ELSE {free} END AS row_weight"
-        )
-    single = f"array(named_struct('c', {hard}, 'w', 1D, 'counted', 1))"
-    spread = (
-        f"zip_with({sql.array(labels)}, _posterior, (c, p) -> "
-        f"named_struct('c', c, 'w', p * {free}, 'counted', CAST(c = _guess AS INT)))"
-    )
-    return per_run.selectExpr(
-        *shared, f"explode(CASE WHEN _settled THEN {single} ELSE {spread} END) AS _c"
-    ).selectExpr(
-        "run", buckets, counts, "row_length", "row_bucket",
-        f"_c.c AS {label}", "_c.w AS row_weight", "_c.counted AS counted",
-    )
+        weight = f"CASE WHEN a.settled THEN 1D ELSE {free} END"
+        roles = f"transform({each}, a -> {role('a.run', hard, weight, '1', marker, 'NOT a.test')})"
+    else:
+        single = f"array({role('a.run', hard, '1', '1', marker, 'NOT a.test')})"
+        spread = role("a.run", "c", f"get(a.posterior, i) * {free}", "c <=> a.guess", marker, "NOT a.test")
+        spread = f"transform({sql.array(labels)}, (c, i) -> {spread})"
+        roles = f"flatten(transform({each}, a -> CASE WHEN a.settled THEN {single} ELSE {spread} END))"
+    return rows.selectExpr(label, buckets, counts, f"{length} AS row_length", f"{roles} AS roles")
 
 
 def _epoch_metrics(markers: list[dict], run: int) -> dict:

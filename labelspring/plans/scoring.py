@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions import sql
-from labelspring.functions.blocks import row_blocks
 from labelspring.functions.vectors import length_of
 from labelspring.operators.joins import HOT
 from labelspring.plans.bayes import Model, Params
@@ -160,7 +159,8 @@ def runs_at_once(way: str, params: Params, n_classes: int) -> int:
 
 def _row_scorer(spark, bias: np.ndarray, weights: np.ndarray):
     """Arrow function: per row, bias plus the weighted counts of each model row."""
-    shared = spark.sparkContext.broadcast((bias, weights))
+    # a feature's weights side by side, since an entry takes them all
+    shared = spark.sparkContext.broadcast((bias, np.ascontiguousarray(weights.T)))
 
     @F.arrow_udf("array<double>")
     def score(buckets: pa.Array, counts: pa.Array) -> pa.Array:
@@ -168,14 +168,11 @@ def _row_scorer(spark, bias: np.ndarray, weights: np.ndarray):
         n, m = len(buckets), len(b)
         ends = buckets.offsets.to_numpy()
         start = counts.offsets.to_numpy()[0] - ends[0]
-        index, value = buckets.values.to_numpy(), counts.values.to_numpy()
+        index, value = buckets.values.to_numpy(), counts.values.to_numpy().astype(np.float64)
         out = np.tile(b, (n, 1))
-        for row, stop in row_blocks(ends):
-            lo, hi = ends[row], ends[stop]
-            owner = np.repeat(np.arange(stop - row), np.diff(ends[row : stop + 1]))
-            j, x = index[lo:hi], value[lo + start : hi + start]
-            for c in range(m):
-                out[row:stop, c] += np.bincount(owner, weights=w[c, j] * x, minlength=stop - row)
+        for row in np.flatnonzero(np.diff(ends)):
+            lo, hi = ends[row], ends[row + 1]
+            out[row] += value[lo + start : hi + start] @ w[index[lo:hi]]
         offsets = pa.array(np.arange(0, (n + 1) * m, m, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
 
