@@ -23,6 +23,7 @@ KEPT_CHARS = 48  # longer parts are not remembered
 
 # letters, signs (no apostrophe, which may take letters with it), and the same again on a new line
 _SIGNS = r"[!-&(-/:-@\[-`{-~]*"
+_SIGN_LETTERS = "".join(c for c in map(chr, range(128)) if re.fullmatch(_SIGNS, c))
 _PIECES = re.compile(rf"([^\W\d_]+)({_SIGNS})(?:\n([^\W\d_]+)({_SIGNS}))?")
 
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -37,6 +38,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _SPELLED = _byte_letters()
+_SPACE = _SPELLED[32]
 
 
 class Memory(dict):
@@ -69,9 +71,18 @@ class _Parts(Memory):
         self.encoder = encoder
 
     def __missing__(self, part: str) -> bytes:
-        if part.isalpha():
-            return super().__missing__(part)
-        return self.encoder._composed(part)
+        if not part.isalpha():
+            return self.encoder._composed(part)
+        # as in Memory, without further calls: every new word of a text comes here
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.make(part)
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= self.kept:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
 
 
 class Encoder:
@@ -104,13 +115,16 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a word behind its space."""
         if word.isascii():
-            return self._bytes([t.id for t in self.merges.tokenize(_SPELLED[32] + word)])
+            return array("I", [t.id for t in self.merges.tokenize(_SPACE + word)]).tobytes()
         return self._merged(" " + word)
 
     _bare = _merged
 
     def _composed(self, part: str) -> bytes:
         """Ids of a part that is not one word, behind its space."""
+        word = part.rstrip(_SIGN_LETTERS)
+        if word.isalpha():
+            return self.parts[word] + self.others[part[len(word) :]]
         found = _PIECES.fullmatch(part)
         if found:
             word, signs, line_word, line_signs = found.groups()
